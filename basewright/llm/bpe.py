@@ -22,6 +22,7 @@ import re
 import unicodedata
 from itertools import chain
 
+import pandas as pd
 import regex
 
 LONG_WORD = 200
@@ -219,7 +220,6 @@ def decode(df, ids_col: str = "ids", text_col: str = "decoded", path: str | None
 
 
 def _mapped(df, col: str, out: str, kind: str, path: str, f):
-    import pandas as pd
     from pyspark.sql import functions as F
 
     @F.pandas_udf(kind)

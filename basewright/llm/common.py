@@ -76,6 +76,31 @@ def text_hash(col: str = "text") -> F.Column:
     return F.xxhash64(F.coalesce(F.col(col), F.lit("")))
 
 
+def spread_join(rows: DataFrame, groups: DataFrame, key: list[str], count: str, row_id: F.Column, inner: bool = False, hot_groups: int = 200) -> DataFrame:
+    """``rows`` left (or inner) joined with ``groups`` (one row a key, with its number of rows), hot keys spread.
+
+    A key with more than 1 / hot_groups of all counted rows is hot.  There are fewer
+    than hot_groups of those, so they are broadcast; rows with a hot key are dealt
+    out by ``row_id`` instead of the key.  All other keys meet in a shuffle.
+    Null keys never match.
+    """
+    total = groups.agg(F.sum(count)).first()[0] or 0
+    others = [c for c in groups.columns if c not in key]
+    hot = groups.filter(F.col(count) > max(1000, total / hot_groups))
+    named = hot.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(key)], *[F.col(c).alias(f"__hot_{c}") for c in others], F.lit(True).alias("__hot"))
+    on = [F.col(c) == F.col(f"__k{i}") for i, c in enumerate(key)]
+    marked = rows.join(F.broadcast(named), on, "left").drop(*[f"__k{i}" for i in range(len(key))])
+    is_hot = F.col("__hot").isNotNull()
+    marked = marked.withColumn("__salt", F.when(is_hot, row_id).otherwise(F.lit(0)).cast("long"))
+    for i, c in enumerate(key):
+        marked = marked.withColumn(f"__m{i}", F.when(~is_hot, F.col(c)))
+    cold = groups.filter(F.col(count) <= max(1000, total / hot_groups)).select(*[F.col(c).alias(f"__m{i}") for i, c in enumerate(key)], F.lit(0).cast("long").alias("__salt"), *[F.col(c).alias(f"__cold_{c}") for c in others], F.lit(True).alias("__cold"))
+    out = marked.join(cold, ["__salt", *[f"__m{i}" for i in range(len(key))]], "left")
+    if inner:
+        out = out.filter(is_hot | F.col("__cold").isNotNull())
+    return out.select(*rows.columns, *[F.when(is_hot, F.col(f"__hot_{c}")).otherwise(F.col(f"__cold_{c}")).alias(c) for c in others])
+
+
 def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
@@ -88,5 +113,5 @@ def opened(uri: str, mode: str):
     system, path = fs.FileSystem.from_uri(uri)
     if mode == "w":
         system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    with system.open_output_stream(path) if mode == "w" else system.open_input_file(path) as f:
+    with system.open_output_stream(path, compression=None) if mode == "w" else system.open_input_file(path) as f:
         yield f

@@ -5,24 +5,58 @@ from __future__ import annotations
 from .common import read_table
 
 
+def op1_url_filter(spark, sf_dir):
+    from .url_filter import judge
+
+    return judge(read_table(spark, sf_dir, "pages"))
+
+
 def op2_bpe(spark, sf_dir):
     from .bpe import round_trip
 
     return round_trip(read_table(spark, sf_dir, "documents"))
 
 
+def op3_top_k(spark, sf_dir):
+    from .topk import search
+
+    return search(read_table(spark, sf_dir, "embeddings"))
+
+
+def op5_warc(spark, sf_dir):
+    from .warc import index, read_all, write
+
+    return read_all(index(write(read_table(spark, sf_dir, "pages")))).drop("url")
+
+
 def op6_token_file(spark, sf_dir):
     from .token_file import read_all, write
 
     return read_all(write(read_table(spark, sf_dir, "documents")))
 
 
+def op8_merkle(spark, sf_dir):
+    from .merkle import compare_with_next
+
+    return compare_with_next(read_table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark, sf_dir):
     from .packing import pack
 
     return pack(read_table(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op10_language_id(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .language_id import held_out, predict, train
+
+    docs = read_table(spark, sf_dir, "documents").withColumn("held_out", held_out())
+    model = train(docs.filter(~F.col("held_out")))
+    return predict(docs, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
