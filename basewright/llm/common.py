@@ -115,3 +115,36 @@ def opened(uri: str, mode: str):
         system.create_dir(path.rsplit("/", 1)[0], recursive=True)
     with system.open_output_stream(path, compression=None) if mode == "w" else system.open_input_file(path) as f:
         yield f
+
+
+#: Rows of at most two whole-number columns that may be broadcast: 2 ** 20 of them take some 50 MB.
+BROADCAST_ROWS = 1 << 20
+
+
+def small_or_shuffled(ids: DataFrame) -> DataFrame:
+    """``ids`` with a broadcast hint where it was counted to be small; beyond that the join shuffles."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Rows (id, component): each vertex of the edges (a, b) and the smallest id it is connected with.
+
+    Alternating large-star and small-star steps, each a grouped minimum and a join
+    with it, until nothing changes; every step is written to the shared folder.
+    """
+    edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+    state = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m"))
+        large = spread_join(both, low, ["a"], "n", F.xxhash64("b"), inner=True).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = written(large, "large-star")
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        joined = spread_join(large, low, ["a"], "n", F.xxhash64("b"), inner=True)
+        small = joined.select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
+        edges = written(small, "small-star")
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == state or not now[0]:
+            break
+        state = now
+    return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

@@ -23,6 +23,12 @@ def op3_top_k(spark, sf_dir):
     return search(read_table(spark, sf_dir, "embeddings"))
 
 
+def op4_substring_dedup(spark, sf_dir):
+    from .substring_dedup import dedup
+
+    return dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark, sf_dir):
     from .warc import index, read_all, write
 
@@ -35,6 +41,12 @@ def op6_token_file(spark, sf_dir):
     return read_all(write(read_table(spark, sf_dir, "documents")))
 
 
+def op7_ngram_jaccard(spark, sf_dir):
+    from .ngram_join import link
+
+    return link(read_table(spark, sf_dir, "documents"), width=3, p=9, q=10)
+
+
 def op8_merkle(spark, sf_dir):
     from .merkle import compare_with_next
 
