@@ -47,6 +47,8 @@ SPARE = 0.25
 CACHE = 400_000
 #: Equal sets that a task has met already send no signatures again.
 SEEN = 1_000_000
+#: Bits of a set's parity sketch, in words of 64.
+SKETCH_WORDS = 16
 ROUNDS = 2
 
 
@@ -137,6 +139,15 @@ class PartEnum:
         return np.concatenate(out)
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parity of the number of features in each of 64 * SKETCH_WORDS buckets, as bits of signed words.
+
+    Two sets differ in at least as many features as their sketches in bits.
+    """
+    bucket = (mix(s, 23) % np.uint64(64 * SKETCH_WORDS)).astype("i8")
+    return np.packbits((np.bincount(bucket, minlength=64 * SKETCH_WORDS) & 1).astype("u1")).view("i8")
+
+
 def _digests(docs: DataFrame, width: int) -> DataFrame:
     """Rows (id, n, h1, h2): size and 128-bit hash of each row's set."""
 
@@ -177,19 +188,20 @@ def _signatures(docs: DataFrame, width: int, p: int, q: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """Rows (id, features) of the ids' sets."""
+    """Rows (id, features, sketch) of the ids' sets."""
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x.as_py(), width).astype("i8") for x in b.column(1)], pa.list_(pa.int64()))], names=["id", "features"])
+            sets = [shingles(x.as_py(), width) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.astype("i8") for x in sets], pa.list_(pa.int64())), pa.array([sketch(x) for x in sets], pa.list_(pa.int64()))], names=["id", "features", "sketch"])
 
-    return docs.join(small_or_shuffled(ids), "id", "left_semi").mapInArrow(run, "id long, features array<long>")
+    return docs.join(small_or_shuffled(ids), "id", "left_semi").mapInArrow(run, "id long, features array<long>, sketch array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
-    left = sets.toDF("a", "fa")
-    right = sets.toDF("b", "fb")
+    left = sets.select(F.col("id").alias("a"), F.col("features").alias("fa"))
+    right = sets.select(F.col("id").alias("b"), F.col("features").alias("fb"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
     na, nb = F.size("fa"), F.size("fb")
     both = both.filter((F.least(na, nb) * q >= F.greatest(na, nb) * p))
@@ -227,7 +239,7 @@ def link(docs: DataFrame, width: int = 5, p: int = 4, q: int = 5, id_col: str =
         edges = edges.unionByName(found)
         pairs = written(open_pairs.join(best, ["a", "b"], "left_anti"), "open-pairs")
         of = written(components(edges), "components")
-    rest = written(_unconnected(chained.select("sig", "id"), of), "unconnected")
+    rest = written(_unconnected(chained.select("sig", "id"), of, sets, p, q), "unconnected")
     if rest.limit(1).count():
         edges = edges.unionByName(_verified(rest, sets, p, q))
         of = written(components(edges), "components")
@@ -243,8 +255,9 @@ def _apart(pairs: DataFrame, of: DataFrame) -> DataFrame:
     return out.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(pairs.columns)
 
 
-def _unconnected(rows: DataFrame, of: DataFrame) -> DataFrame:
-    """Every pair (a, b), a < b, of rows (sig, id) with a signature in common and no connection yet.
+def _unconnected(rows: DataFrame, of: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
+    """Every pair (a, b), a < b, of rows (sig, id) with a signature in common and no connection yet
+    whose sizes and sketches leave it possible that they link.
 
     In each signature's group the members of its largest component meet the others,
     never each other; so a group of near copies that is connected by now costs nothing.
@@ -253,7 +266,15 @@ def _unconnected(rows: DataFrame, of: DataFrame) -> DataFrame:
     own = rows.join(of, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component")).join(sizes, "component", "left").select("sig", "id", "component", F.coalesce("members", F.lit(1)).alias("members"))
     own = written(own, "signature-components")
     main = own.groupBy("sig").agg(F.max(F.struct("members", "component"))["component"].alias("main"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    open_rows = written(own.join(main.select("sig", "main"), "sig").select("sig", "id", "component", "main"), "open-signatures")
-    few = open_rows.filter("component <> main").select("sig", F.col("id").alias("x"), F.col("component").alias("cx"))
-    met = few.join(open_rows.select("sig", F.col("id").alias("y"), F.col("component").alias("cy")), "sig").filter("cx <> cy")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    # one row of sizes and sketch a set: rows of one id with different texts are paired each
+    mine = sets.select("id", F.size("features").alias("size"), *[F.col("sketch")[k].alias(f"w{k}") for k in range(SKETCH_WORDS)])
+    open_rows = written(own.join(main.select("sig", "main"), "sig").select("sig", "id", "component", "main").join(mine, "id"), "open-signatures")
+    few = open_rows.filter("component <> main").drop("main")
+    few = few.toDF(*[c if c == "sig" else f"x_{c}" for c in few.columns])
+    others = open_rows.drop("main").withColumnRenamed("sig", "y_sig")
+    bits = F.lit(0)
+    for k in range(SKETCH_WORDS):
+        bits = bits + F.bit_count(F.col(f"x_w{k}").bitwiseXOR(F.col(f"w{k}")))
+    possible = (bits * (q + p) <= (F.col("x_size") + F.col("size")) * (q - p)) & (F.least("x_size", "size") * q >= F.greatest("x_size", "size") * p)
+    met = few.join(others, (F.col("sig") == F.col("y_sig")) & (F.col("x_component") != F.col("component")) & possible)
+    return met.select(F.least("x_id", "id").alias("a"), F.greatest("x_id", "id").alias("b")).distinct()
