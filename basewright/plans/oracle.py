@@ -1,2 +1,128 @@
-def oracle_sql():
-    return {}
+"""SQL of the queries, for an engine that reads the same tables."""
+
+from __future__ import annotations
+
+from ..functions.status import COLOURS, MERGEABLE, OVER
+from .standins import BLOCKS, IGNORED, INTERVALS, MEAN_PILE, MEDIAN_PILE, SIGNAL
+
+RGB = "CASE status " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in COLOURS.items()) + " ELSE '0,0,0' END"
+
+
+def _over(a: str, b: str) -> str:
+    return "(" + " OR ".join([f"({a} = '{k}' AND {b} IN {v})" for k, v in OVER.items()] + [f"({b} = 'good' AND {a} <> 'good')"]) + ")"
+
+
+def _stronger(a: str, b: str) -> str:
+    return f"CASE WHEN {_over(a, b)} THEN {a} ELSE {b} END"
+
+
+def _peak(x: str, low: float, high: float, drop: bool, src: str) -> str:
+    """CTEs that end in p_X(region_id, pos, X, X_median, X_stdev, X_zscore, X_peak)."""
+    return f"""a_{x} AS (SELECT region_id, pos, CAST({f'CASE WHEN {x} <> 0 THEN {x} END' if drop else x} AS DOUBLE) AS v FROM {src}),
+b_{x} AS (SELECT *, median(v) OVER (PARTITION BY region_id) AS med, avg(v) OVER (PARTITION BY region_id) AS mean FROM a_{x}),
+c_{x} AS (SELECT *, median(abs(v - med)) OVER (PARTITION BY region_id) AS mad, avg(abs(v - mean)) OVER (PARTITION BY region_id) AS aad FROM b_{x}),
+d_{x} AS (SELECT *, CASE WHEN mad = 0 THEN aad * CAST(1.253314 AS DOUBLE) ELSE mad * CAST(1.486 AS DOUBLE) END AS scale FROM c_{x}),
+p_{x} AS (SELECT region_id, pos, CAST(trunc(v) AS BIGINT) AS {x}, CASE WHEN v IS NOT NULL THEN med END AS {x}_median, CASE WHEN v IS NOT NULL THEN scale END AS {x}_stdev,
+  CASE WHEN v IS NULL THEN NULL WHEN scale = 0 THEN CAST('nan' AS DOUBLE) ELSE (v - med) / scale END AS {x}_zscore,
+  CASE WHEN v IS NULL THEN 'null' WHEN scale = 0 THEN 'high' WHEN v - med > scale * CAST({high} AS DOUBLE) THEN 'high' WHEN v - med < scale * CAST(-{low} AS DOUBLE) THEN 'low' ELSE 'null' END AS {x}_peak FROM d_{x})"""
+
+
+SIGNALS = ",\n".join(
+    [
+        MEAN_PILE,
+        "rolled AS (SELECT * REPLACE (avg(indel) OVER (PARTITION BY region_id ORDER BY pos ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS indel) FROM pile)",
+        *[_peak(x, low, high, drop, "rolled") for x, low, high, drop in (("cov", 3.5, 3.5, False), ("mismatch", 3.5, 3.5, True), ("indel", 5.0, 5.0, True), ("softclip", 3.5, 3.5, True), ("mapq", 1.0, 1.0, False))],
+        "joined AS (SELECT p_cov.region_id, p_cov.pos, p_cov.cov, mismatch, indel, softclip, p_mapq.mapq, mapq_max, cov_peak, mismatch_peak, indel_peak, softclip_peak, mapq_peak FROM p_cov JOIN p_mismatch USING (region_id, pos) JOIN p_indel USING (region_id, pos) JOIN p_softclip USING (region_id, pos) JOIN p_mapq USING (region_id, pos) JOIN (SELECT region_id, pos, mapq_max FROM pile) USING (region_id, pos))",
+        "based AS (SELECT *, floor(median(cov) OVER (PARTITION BY region_id)) AS base FROM joined)",
+        """classified AS (SELECT *, 0 AS bin, 'ctg' || region_id AS chrom, CASE WHEN mismatch >= cov * 0.1 AND mismatch_peak = 'high' THEN 'low_quality'
+  WHEN cov_peak = 'high' AND cov >= floor(base * 1.5) AND mapq_peak = 'low' AND (mismatch_peak = 'high' OR indel_peak = 'high') THEN 'collapse'
+  WHEN cov = 0 OR (cov_peak = 'low' AND mapq_peak = 'low' AND cov <= floor(base * 0.1)) THEN 'misjoin'
+  WHEN cov <= floor(base * 0.5) AND mapq_max = 0 THEN 'false_dupe'
+  WHEN indel >= cov * 0.2 AND indel_peak = 'high' THEN 'indel'
+  WHEN softclip >= cov * 0.5 AND softclip_peak = 'high' THEN 'softclip' ELSE 'good' END AS status FROM based)""",
+    ]
+)
+
+
+def _merge(src: str, distance: int, extra: str, folds: str, keys: str = "region_id") -> str:
+    return f"""m1 AS (SELECT *, coalesce(NOT (st - lag("end") OVER w <= {distance} {extra}), true) AS new FROM {src} WINDOW w AS (PARTITION BY {keys} ORDER BY st, ord)),
+m2 AS (SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY {keys} ORDER BY st, ord) AS grp FROM m1),
+merged AS (SELECT {keys}, min(st) AS st, arg_max("end", (st, ord)) AS "end", arg_min(ord, (st, ord)) AS ord, {folds} FROM m2 GROUP BY {keys}, grp)"""
+
+
+COV_FOLD = "list_reduce(list(cov ORDER BY st, ord), lambda a, x: (a + x) // 2) AS cov"
+STATUS_FOLD = f"list_reduce(list(status ORDER BY st, ord), lambda a, x: {_stronger('a', 'x')}) AS status"
+BAD = _merge("bad", 2, "", f"{STATUS_FOLD}, {COV_FOLD}")
+BAD = f"{INTERVALS}, bad AS (SELECT * FROM itvs WHERE status <> 'good'), {BAD}"
+BINS = 'bins AS (SELECT region_id, bin, CAST(floor(n * bin / 10.0::DOUBLE) AS BIGINT) AS st, CAST(floor(n * bin / 10.0::DOUBLE + n / 15.0::DOUBLE) AS BIGINT) AS "end" FROM (SELECT region_id, max(pos) AS n FROM signal GROUP BY 1), range(1, 10) t(bin))'
+GOODS = "good AS (SELECT * FROM signal WHERE cov % 3 <> 0), rolled AS (SELECT region_id, pos, median(cov) OVER w AS roll_median, stddev_samp(cov) OVER w AS roll_stdev FROM good WINDOW w AS (PARTITION BY region_id ORDER BY pos ROWS BETWEEN 25 PRECEDING AND 24 FOLLOWING))"
+
+
+def _peaks(drop: bool) -> str:
+    return f"WITH {SIGNAL}, {_peak('cov', 1.5, 1.5, drop, 'signal')} SELECT region_id, pos, cov, round(cov_median, 6) AS cov_median, round(cov_stdev, 6) AS cov_stdev, round(cov_zscore, 6) AS cov_zscore, cov_peak FROM p_cov"
+
+
+def oracle_sql() -> dict[str, str]:
+    mergeable = f"status IN {MERGEABLE}"
+    return {
+        "cigar_blocks": f"WITH {BLOCKS} SELECT region_id, op, b_st, b_end, mapq, count(*) AS n FROM clipped GROUP BY ALL",
+        "pileup_mapq_mean": f"WITH {MEAN_PILE} SELECT * FROM pile",
+        "pileup_mapq_median": f"WITH {MEDIAN_PILE} SELECT * FROM pile",
+        "rolling_mean_signal": f"WITH {SIGNAL} SELECT region_id, pos, round(avg(cov) OVER (PARTITION BY region_id ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING), 6) AS cov, round(avg(cov) OVER (PARTITION BY region_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING), 6) AS even FROM signal",
+        "peaks_keep_zero": _peaks(False),
+        "peaks_drop_zero": _peaks(True),
+        "signals_joined": f"WITH {SIGNALS} SELECT * FROM joined",
+        "classify_bases": f"WITH {SIGNALS} SELECT chrom, pos, cov, status, mismatch, mapq, indel, softclip, bin FROM classified",
+        "status_intervals": f"""WITH {SIGNALS}, near AS (SELECT *, pos - lag(pos, 1, 0) OVER (PARTITION BY region_id ORDER BY pos) <= 1 AS near FROM classified),
+change AS (SELECT *, coalesce(near <> lag(near) OVER w OR status <> lag(status) OVER w, true) AS new FROM near WINDOW w AS (PARTITION BY region_id ORDER BY pos)),
+run AS (SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY region_id ORDER BY pos) AS grp FROM change)
+SELECT region_id, bin, min(pos) AS st, max(pos) + 1 AS "end", CAST(floor(avg(cov)) AS BIGINT) AS cov, min(status) AS status FROM run GROUP BY region_id, bin, grp""",
+        "bad_bases": f"WITH {SIGNALS} SELECT region_id, status, count(*) AS n FROM classified WHERE status <> 'good' GROUP BY ALL",
+        "above_median_runs": f"""WITH {SIGNAL}, a AS (SELECT *, cov >= 50 AS above, min(pos) OVER p AS low, max(pos) OVER p AS high FROM signal WINDOW p AS (PARTITION BY region_id)),
+b AS (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY pos) - row_number() OVER (PARTITION BY region_id, above ORDER BY pos) AS grp FROM a)
+SELECT region_id, min(pos) AS above_st, max(pos) AS above_end FROM b WHERE above GROUP BY region_id, grp HAVING min(pos) = min(low) OR max(pos) = max(high)""",
+        "rolling_median_stats": f"WITH {SIGNAL}, {GOODS} SELECT region_id, pos, round(roll_median, 6) AS roll_median, round(roll_stdev, 6) AS roll_stdev FROM rolled",
+        "bin_stats": f"WITH {SIGNAL}, {GOODS} SELECT region_id, round(median(roll_median), 6) AS median, round(coalesce(median(roll_stdev), 0), 6) AS stdev FROM rolled GROUP BY 1",
+        "merge_intervals_distance": f"WITH {INTERVALS}, {_merge('itvs', 3, '', COV_FOLD)} SELECT * FROM merged",
+        "merge_intervals_status": f"WITH {INTERVALS}, {_merge('itvs', 1, 'AND lag(status) OVER w = status', f'min(status) AS status, {COV_FOLD}')} SELECT * FROM merged",
+        "merge_bad": f"WITH {BAD} SELECT * FROM merged",
+        "overlap_length_join": f'WITH {INTERVALS}, {IGNORED} SELECT a.ord, b.st AS b_st, least(a."end", b."end") - greatest(a.st, b.st) AS length FROM itvs a JOIN ignored b ON a.chrom = b.chrom AND a.st <= b."end" AND a."end" >= b.st',
+        "overlap_semi_join": f'WITH {INTERVALS}, {IGNORED} SELECT ord, chrom, st, "end" FROM itvs a WHERE EXISTS (SELECT 1 FROM ignored b WHERE a.chrom = b.chrom AND a.st <= b."end" AND a."end" >= b.st)',
+        "overlap_majority": f"""WITH {BAD}, met AS (SELECT i.ord, arg_min(m.status, m.st) AS m_status FROM itvs i JOIN merged m ON i.region_id = m.region_id AND i.st <= m."end" AND i."end" >= m.st
+  WHERE 2 * (least(i."end", m."end") - greatest(i.st, m.st)) >= i."end" - i.st GROUP BY 1)
+SELECT region_id, ord, st, "end", CASE WHEN m_status IS NOT NULL AND {_over("m_status", "status")} THEN m_status ELSE status END AS status, status AS own_status FROM itvs LEFT JOIN met USING (ord)""",
+        "subtract_ignored": f"""WITH {INTERVALS}, {IGNORED}, met AS (SELECT i.ord, i.chrom, i.st, i."end", i.status, g.st AS g_st, g."end" AS g_end FROM itvs i JOIN ignored g ON i.chrom = g.chrom AND i.st <= g."end" AND i."end" >= g.st),
+points AS (SELECT DISTINCT ord, chrom, st, "end", status, p FROM (SELECT *, unnest([st, "end", greatest(st, least("end", g_st)), greatest(st, least("end", g_end))]) AS p FROM met)),
+parts AS (SELECT *, lead(p) OVER (PARTITION BY ord ORDER BY p) AS p_end FROM points),
+left_over AS (SELECT * FROM parts x WHERE p_end > p AND NOT EXISTS (SELECT 1 FROM met m WHERE m.ord = x.ord AND m.g_st <= x.p AND m.g_end >= x.p_end)),
+runs AS (SELECT *, p - sum(p_end - p) OVER (PARTITION BY ord ORDER BY p) AS grp FROM left_over),
+joined AS (SELECT ord, chrom, status, min(p) AS st, max(p_end) AS "end" FROM runs GROUP BY ord, chrom, status, grp)
+SELECT ord, chrom, st, "end", status FROM joined UNION ALL SELECT ord, chrom, st, "end", status FROM itvs WHERE ord NOT IN (SELECT ord FROM met)""",
+        "boundary_suppress": f"""WITH {INTERVALS}, a AS (SELECT *, sum(CAST(cov >= 200 AS INT)) OVER (PARTITION BY region_id ORDER BY st, ord) AS before, sum(CAST(cov >= 200 AS INT)) OVER (PARTITION BY region_id ORDER BY st DESC, ord DESC) AS after,
+  max("end") OVER (PARTITION BY region_id) AS high, last_value("end") OVER (PARTITION BY region_id ORDER BY st, ord ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_end FROM itvs)
+SELECT ord, region_id, st, "end", CASE WHEN before = 0 OR (last_end = high AND after = 0) THEN 'good' ELSE status END AS status FROM a""",
+        "mergeable_chunks": f"""WITH {INTERVALS}, a AS (SELECT *, {mergeable} AS m FROM itvs),
+b AS (SELECT *, NOT coalesce(m AND lag(m) OVER w AND bin = lag(bin) OVER w, false) AS new FROM a WINDOW w AS (PARTITION BY region_id ORDER BY st, ord)),
+c AS (SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY region_id ORDER BY st, ord) AS grp FROM b),
+d AS (SELECT region_id, min(bin) AS bin, min(st) AS st, max("end") AS "end", arg_min(ord, (st, ord)) AS ord, list_reduce(list_prepend('good', list(status ORDER BY st, ord)), lambda a, x: {_stronger("a", "x")}) AS folded, arg_min(status, (st, ord)) AS one, bool_and(m) AS m, sum(cov) // count(*) AS cov FROM c GROUP BY region_id, grp),
+e AS (SELECT *, CASE WHEN m THEN folded ELSE one END AS status FROM d)
+SELECT region_id, bin, st, "end", ord, CASE WHEN status = 'collapse' AND EXISTS (SELECT 1 FROM itvs x WHERE x.ord % 97 = 0 AND x.region_id = e.region_id AND x.bin = e.bin AND x.st <= e."end" AND x."end" >= e.st) THEN 'good' ELSE status END AS status, CAST(cov AS BIGINT) AS cov FROM e""",
+        "min_size_filter": f"""WITH {INTERVALS}, {_merge("itvs", 1, "AND lag(status) OVER w = status", f"min(status) AS status, {COV_FOLD}", "region_id, chrom")}
+SELECT region_id, chrom, st, "end", ord, CASE WHEN "end" - st < CASE WHEN status IN ('collapse', 'false_dupe') THEN 500 ELSE 1 END THEN 'good' ELSE status END AS status, cov FROM merged""",
+        "final_collapse": f"""WITH {INTERVALS}, a AS (SELECT *, coalesce(status <> lag(status) OVER w, true) AS new FROM itvs WINDOW w AS (PARTITION BY region_id ORDER BY st, ord)),
+b AS (SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY region_id ORDER BY st, ord) AS grp FROM a)
+SELECT region_id, chrom, min(st) AS st, max("end") AS "end", min(status) AS status, median(cov) AS cov FROM b GROUP BY region_id, chrom, grp""",
+        "bed9_projection": f"""WITH {INTERVALS} SELECT chrom, CAST(st AS INT) AS "chromStart", CAST("end" AS INT) AS "chromEnd", status AS name, CAST(cov AS DOUBLE) AS score, '.' AS strand, CAST(st AS INT) AS "thickStart", CAST("end" AS INT) AS "thickEnd", {RGB} AS "itemRgb" FROM itvs""",
+        "status_colours": f"WITH {INTERVALS} SELECT status, count(*) AS n, {RGB} AS rgb FROM itvs GROUP BY status",
+        "whole_genome_tiles": 'SELECT s_name AS chrom, i * 500 AS st, least((i + 1) * 500, s_suppkey * 997 % 5000) AS "end" FROM supplier, LATERAL (SELECT unnest(range(0, s_suppkey * 997 % 5000 // 500 + 1)) AS i)',
+        "bed_lines": "SELECT o_orderstatus AS chrom, o_orderkey AS st, o_orderkey + 5 AS \"end\", o_orderpriority || chr(9) || 'more' AS tail FROM orders WHERE o_orderkey % 11 <> 0",
+        "largest_repeat": """WITH s AS (SELECT p_partkey, p_name AS seq, length(p_name) AS n FROM part),
+subs AS (SELECT p_partkey, n, i, l, substr(seq, i, l) AS u FROM s, LATERAL (SELECT unnest(range(1, n + 1)) AS i), LATERAL (SELECT unnest(range(1, n - i + 2)) AS l)),
+twice AS (SELECT p_partkey, l, u FROM subs GROUP BY ALL HAVING count(*) > 1),
+best AS (SELECT p_partkey, arg_max(u, (l, u)) AS u, max(l) AS l FROM twice GROUP BY 1),
+hits AS (SELECT b.p_partkey, b.u, b.l, s.i, lead(s.i) OVER (PARTITION BY b.p_partkey ORDER BY s.i) - s.i AS d, s.n FROM best b JOIN subs s ON b.p_partkey = s.p_partkey AND b.u = s.u),
+total AS (SELECT p_partkey, u, l, n, l + coalesce(sum(CASE WHEN d <= l THEN d ELSE 0 END), 0) AS t FROM hits GROUP BY ALL)
+SELECT s.p_partkey, CASE WHEN t <> l THEN CASE WHEN contains(u, 'N') THEN 'scaffold' WHEN len(list_distinct(string_split(u, ''))) = 1 THEN 'homopolymer' ELSE 'repeat' END END AS repeat, CASE WHEN t <> l THEN u END AS sequence, CASE WHEN t <> l THEN round(t / s.n::DOUBLE, 6) END AS prop FROM s LEFT JOIN total USING (p_partkey)""",
+        "bin_assign": f'WITH {SIGNAL}, {BINS} SELECT s.region_id, s.pos, s.cov, coalesce(max(b.bin), 0) AS bin FROM signal s LEFT JOIN bins b ON s.region_id = b.region_id AND s.pos + 1 >= b.st AND s.pos <= b."end" GROUP BY ALL',
+        "range_medians": f'WITH {SIGNAL}, {BINS} SELECT b.region_id, b.st, b."end", CAST(coalesce(floor(median(s.cov)), 0) AS BIGINT) AS median FROM bins b LEFT JOIN signal s ON s.region_id = b.region_id AND s.pos BETWEEN b.st AND b."end" GROUP BY ALL',
+    }

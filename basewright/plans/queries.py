@@ -1,2 +1,187 @@
+"""One query for each operator, over stand-ins from the driver's whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import api
+from ..config import Config, General
+from ..functions.status import colour
+from ..operators import binning, classify, merge, peaks, pileup, repeats
+from ..operators.intervals import merge_intervals, overlap_length, range_join, subtract
+from ..sources.bed import parse_bed
+from ..sources.tiles import tiles
+from . import standins as s
+
+CFG = Config(general=General(bp_merge=20))
+LEVEL = 50
+
+
+def cigar_blocks(spark, sf_dir):
+    return pileup.region_blocks(s.reads(spark, sf_dir), s.regions(spark)).groupBy("region_id", "op", "b_st", "b_end", "mapq").agg(F.count("*").alias("n"))
+
+
+def pileup_mapq_mean(spark, sf_dir):
+    return pileup.pileup(s.reads(spark, sf_dir), s.regions(spark))
+
+
+def pileup_mapq_median(spark, sf_dir):
+    return pileup.pileup(s.reads(spark, sf_dir), s.regions(spark), mapq_agg="Median")
+
+
+def rolling_mean_signal(spark, sf_dir):
+    return pileup.rolling_mean(s.signal(spark, sf_dir).withColumn("even", F.col("cov")), {"cov": 11, "even": 4}).select("region_id", "pos", F.round("cov", 6).alias("cov"), F.round("even", 6).alias("even"))
+
+
+def _peaks(spark, sf_dir, drop):
+    out = peaks.find_peaks(s.signal(spark, sf_dir), {"cov": (1.5, 1.5, drop)}, ["region_id"])
+    return out.select("region_id", "pos", "cov", F.round("cov_median", 6).alias("cov_median"), F.round("cov_stdev", 6).alias("cov_stdev"), F.round("cov_zscore", 6).alias("cov_zscore"), "cov_peak")
+
+
+def peaks_keep_zero(spark, sf_dir):
+    return _peaks(spark, sf_dir, False)
+
+
+def peaks_drop_zero(spark, sf_dir):
+    return _peaks(spark, sf_dir, True)
+
+
+def _classified(spark, sf_dir):
+    return api.classified_pileup(s.reads(spark, sf_dir), s.regions(spark), CFG)
+
+
+def signals_joined(spark, sf_dir):
+    peak = [f"{x}_peak" for x in ("cov", "mismatch", "indel", "softclip", "mapq")]
+    return _classified(spark, sf_dir).select("region_id", "pos", "cov", "mismatch", "indel", "softclip", "mapq", "mapq_max", *peak)
+
+
+def classify_bases(spark, sf_dir):
+    return _classified(spark, sf_dir).select("chrom", "pos", "cov", "status", "mismatch", "mapq", "indel", "softclip", "bin")
+
+
+def status_intervals(spark, sf_dir):
+    return classify.status_intervals(_classified(spark, sf_dir))
+
+
+def above_median_runs(spark, sf_dir):
+    return classify.above_runs(s.signal(spark, sf_dir).withColumn("level", F.lit(LEVEL)), "level", ["region_id"])
+
+
+def _good(spark, sf_dir):
+    return s.signal(spark, sf_dir).withColumn("status", F.when(F.col("cov") % 3 == 0, "indel").otherwise("good"))
+
+
+def rolling_median_stats(spark, sf_dir):
+    return classify.rolling_stats(_good(spark, sf_dir), 50, ["region_id"]).select("region_id", "pos", F.round("roll_median", 6).alias("roll_median"), F.round("roll_stdev", 6).alias("roll_stdev"))
+
+
+def bin_stats(spark, sf_dir):
+    return classify.bin_stats(_good(spark, sf_dir), 50, ["region_id"]).select("region_id", F.round("median", 6).alias("median"), F.round("stdev", 6).alias("stdev"))
+
+
+def merge_intervals_distance(spark, sf_dir):
+    rows = s.intervals(spark, sf_dir).select("region_id", "st", "end", "ord", "cov")
+    return merge_intervals(rows, ["region_id"], 3, fold={"cov": merge.half_mean})
+
+
+def merge_intervals_status(spark, sf_dir):
+    rows = s.intervals(spark, sf_dir).select("region_id", "st", "end", "ord", "status", "cov")
+    return merge_intervals(rows, ["region_id"], 1, lambda before: before("status") == F.col("status"), {"cov": merge.half_mean})
+
+
+def merge_bad(spark, sf_dir):
+    return merge.merge_bad(s.intervals(spark, sf_dir), 2)
+
+
+def overlap_length_join(spark, sf_dir):
+    a = s.intervals(spark, sf_dir).select("ord", "chrom", "st", "end")
+    b = s.ignored(spark, sf_dir).toDF("chrom", "b_st", "b_end")
+    return range_join(a, b, ["chrom"], ("st", "end"), ("b_st", "b_end"), bucket=256).select("ord", "b_st", overlap_length(F.col("st"), F.col("end"), F.col("b_st"), F.col("b_end")).alias("length"))
+
+
+def overlap_semi_join(spark, sf_dir):
+    b = s.ignored(spark, sf_dir).toDF("chrom", "b_st", "b_end")
+    return range_join(s.intervals(spark, sf_dir), b, ["chrom"], ("st", "end"), ("b_st", "b_end"), "left_semi").select("ord", "chrom", "st", "end")
+
+
+def overlap_majority(spark, sf_dir):
+    itvs = s.intervals(spark, sf_dir)
+    return merge.reclassify(itvs, merge.merge_bad(itvs, 2)).select("region_id", "ord", "st", "end", "status", "own_status")
+
+
+def subtract_ignored(spark, sf_dir):
+    return subtract(s.intervals(spark, sf_dir), s.ignored(spark, sf_dir), ["chrom"]).select("ord", "chrom", "st", "end", "status")
+
+
+def boundary_suppress(spark, sf_dir):
+    itvs = s.intervals(spark, sf_dir)
+    stats = itvs.select("region_id", "bin").distinct().withColumn("median", F.lit(200.5))
+    return merge.suppress_boundaries(itvs, stats).select("ord", "region_id", "st", "end", "status")
+
+
+def mergeable_chunks(spark, sf_dir):
+    itvs = s.intervals(spark, sf_dir)
+    above = itvs.filter("ord % 97 = 0").select("region_id", "bin", F.col("st").alias("above_st"), F.col("end").alias("above_end"))
+    return merge.merge_chunks(itvs, above).select("region_id", "bin", "st", "end", "ord", "status", "cov")
+
+
+def min_size_filter(spark, sf_dir):
+    itvs = s.intervals(spark, sf_dir)
+    return merge.drop_small(itvs, CFG).select("region_id", "chrom", "st", "end", "ord", "status", "cov")
+
+
+def final_collapse(spark, sf_dir):
+    return merge.collapse_runs(s.intervals(spark, sf_dir))
+
+
+def bed9_projection(spark, sf_dir):
+    return merge.bed9(s.intervals(spark, sf_dir)).drop("region_id")
+
+
+def status_colours(spark, sf_dir):
+    return s.intervals(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n")).withColumn("rgb", colour(F.col("status")))
+
+
+def bad_bases(spark, sf_dir):
+    return _classified(spark, sf_dir).filter("status <> 'good'").groupBy("region_id", "status").agg(F.count("*").alias("n"))
+
+
+def whole_genome_tiles(spark, sf_dir):
+    contigs = s.table(spark, sf_dir, "supplier").select(F.col("s_name").alias("chrom"), (F.col("s_suppkey") * 997 % 5000).alias("length"))
+    return tiles(contigs, 500)
+
+
+def bed_lines(spark, sf_dir):
+    value = F.concat_ws("\t", F.col("o_orderstatus"), F.when(F.col("o_orderkey") % 11 == 0, F.lit("x")).otherwise(F.col("o_orderkey").cast("string")), (F.col("o_orderkey") + 5).cast("string"), F.col("o_orderpriority"), F.lit("more"))
+    return parse_bed(s.table(spark, sf_dir, "orders").select(value.alias("value")))
+
+
+def largest_repeat(spark, sf_dir):
+    words = s.table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("seq"))
+    found = repeats.with_largest_repeat(words, "seq")
+    return found.select("p_partkey", F.col("largest.repeat").alias("repeat"), F.col("largest.sequence").alias("sequence"), F.round("largest.prop", 6).alias("prop"))
+
+
+def _bins(spark, sf_dir):
+    return s.signal(spark, sf_dir).groupBy("region_id").agg(F.max("pos").alias("n")).select("region_id", F.explode(F.sequence(F.lit(1), F.lit(9))).alias("bin"), "n").select("region_id", F.col("bin").cast("long").alias("bin"), F.floor(F.col("n") * F.col("bin") / 10).alias("st"), F.floor(F.col("n") * F.col("bin") / 10 + F.col("n") / 15).alias("end"))
+
+
+def bin_assign(spark, sf_dir):
+    return binning.assign_bins(s.signal(spark, sf_dir), _bins(spark, sf_dir)).select("region_id", "pos", "cov", "bin")
+
+
+def range_medians(spark, sf_dir):
+    return binning.median_cov(s.signal(spark, sf_dir), _bins(spark, sf_dir).drop("bin"))
+
+
+def gap_close(spark, sf_dir):
+    return binning.close_gaps(s.signal(spark, sf_dir), _bins(spark, sf_dir), 10**9)
+
+
+def region_calls(spark, sf_dir):
+    return api.call_regions(s.reads(spark, sf_dir), s.regions(spark), CFG, ignore=s.ignored(spark, sf_dir)).regions
+
+
 def queries():
-    return {}
+    own = [cigar_blocks, pileup_mapq_mean, pileup_mapq_median, rolling_mean_signal, peaks_keep_zero, peaks_drop_zero, signals_joined, classify_bases, status_intervals, above_median_runs, rolling_median_stats, bin_stats, merge_intervals_distance, merge_intervals_status, merge_bad, overlap_length_join, overlap_semi_join, overlap_majority, subtract_ignored, boundary_suppress, mergeable_chunks, min_size_filter, final_collapse, bed9_projection, status_colours, bad_bases, whole_genome_tiles, bed_lines, largest_repeat, bin_assign, range_medians, gap_close, region_calls]
+    return {f.__name__: f for f in own}
