@@ -121,7 +121,7 @@ subs AS (SELECT p_partkey, n, i, l, substr(seq, i, l) AS u FROM s, LATERAL (SELE
 twice AS (SELECT p_partkey, l, u FROM subs GROUP BY ALL HAVING count(*) > 1),
 best AS (SELECT p_partkey, arg_max(u, (l, u)) AS u, max(l) AS l FROM twice GROUP BY 1),
 hits AS (SELECT b.p_partkey, b.u, b.l, s.i, lead(s.i) OVER (PARTITION BY b.p_partkey ORDER BY s.i) - s.i AS d, s.n FROM best b JOIN subs s ON b.p_partkey = s.p_partkey AND b.u = s.u),
-total AS (SELECT p_partkey, u, l, n, l + coalesce(sum(CASE WHEN d <= l THEN d ELSE 0 END), 0) AS t FROM hits GROUP BY ALL)
+total AS (SELECT p_partkey, u, l, n, l + coalesce(sum(CASE WHEN d <= l THEN d ELSE 0 END), 0) AS t FROM hits GROUP BY p_partkey, u, l, n)
 SELECT s.p_partkey, CASE WHEN t <> l THEN CASE WHEN contains(u, 'N') THEN 'scaffold' WHEN len(list_distinct(string_split(u, ''))) = 1 THEN 'homopolymer' ELSE 'repeat' END END AS repeat, CASE WHEN t <> l THEN u END AS sequence, CASE WHEN t <> l THEN round(t / s.n::DOUBLE, 6) END AS prop FROM s LEFT JOIN total USING (p_partkey)""",
         "bin_assign": f'WITH {SIGNAL}, {BINS} SELECT s.region_id, s.pos, s.cov, coalesce(max(b.bin), 0) AS bin FROM signal s LEFT JOIN bins b ON s.region_id = b.region_id AND s.pos + 1 >= b.st AND s.pos <= b."end" GROUP BY ALL',
         "range_medians": f'WITH {SIGNAL}, {BINS} SELECT b.region_id, b.st, b."end", CAST(coalesce(floor(median(s.cov)), 0) AS BIGINT) AS median FROM bins b LEFT JOIN signal s ON s.region_id = b.region_id AND s.pos BETWEEN b.st AND b."end" GROUP BY ALL',
