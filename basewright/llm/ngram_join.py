@@ -149,19 +149,20 @@ def sketch(s: np.ndarray) -> np.ndarray:
 
 
 def _digests(docs: DataFrame, width: int) -> DataFrame:
-    """Rows (id, n, h1, h2): size and 128-bit hash of each row's set."""
+    """Rows (id, n, h1, h2, sketch): size, 128-bit hash and parity sketch of each row's set."""
 
     def run(batches):
         for b in batches:
-            n, h1, h2 = [], [], []
+            n, h1, h2, marks = [], [], [], []
             for text in b.column(1):
                 s = shingles(text.as_py(), width)
                 n.append(len(s))
                 h1.append(mix(s, 3).sum(dtype="u8").astype("i8"))
                 h2.append(mix(s, 5).sum(dtype="u8").astype("i8"))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], names=["id", "n", "h1", "h2"])
+                marks.append(sketch(s))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(marks, pa.list_(pa.int64()))], names=["id", "n", "h1", "h2", "sketch"])
 
-    return docs.mapInArrow(run, "id long, n long, h1 long, h2 long")
+    return docs.mapInArrow(run, "id long, n long, h1 long, h2 long, sketch array<long>")
 
 
 def _signatures(docs: DataFrame, width: int, p: int, q: int) -> DataFrame:
@@ -188,23 +189,37 @@ def _signatures(docs: DataFrame, width: int, p: int, q: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """Rows (id, features, sketch) of the ids' sets."""
+    """Rows (id, features) of the ids' sets."""
 
     def run(batches):
         for b in batches:
-            sets = [shingles(x.as_py(), width) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.astype("i8") for x in sets], pa.list_(pa.int64())), pa.array([sketch(x) for x in sets], pa.list_(pa.int64()))], names=["id", "features", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x.as_py(), width).astype("i8") for x in b.column(1)], pa.list_(pa.int64()))], names=["id", "features"])
 
-    return docs.join(small_or_shuffled(ids), "id", "left_semi").mapInArrow(run, "id long, features array<long>, sketch array<long>")
+    return docs.join(small_or_shuffled(ids), "id", "left_semi").mapInArrow(run, "id long, features array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
-    left = sets.select(F.col("id").alias("a"), F.col("features").alias("fa"))
-    right = sets.select(F.col("id").alias("b"), F.col("features").alias("fb"))
+def _marks(sizes: DataFrame) -> DataFrame:
+    """Rows (id, size, w0, w1, ...): one for each row of an id."""
+    return sizes.filter("n > 0 and id is not null").select("id", F.col("n").alias("size"), *[F.col("sketch")[k].alias(f"w{k}") for k in range(SKETCH_WORDS)])
+
+
+def _possible(a: str, b: str, p: int, q: int) -> F.Column:
+    """Whether sizes and sketches (columns with these prefixes) leave it possible that two sets link."""
+    bits = F.lit(0)
+    for k in range(SKETCH_WORDS):
+        bits = bits + F.bit_count(F.col(f"{a}w{k}").bitwiseXOR(F.col(f"{b}w{k}")))
+    x, y = F.col(f"{a}size"), F.col(f"{b}size")
+    return (bits * (q + p) <= (x + y) * (q - p)) & (F.least(x, y) * q >= F.greatest(x, y) * p)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, width: int, p: int, q: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough; only these pairs' texts are read as sets."""
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "involved")
+    sets = written(_sets(docs, ids, width), "involved-sets")
+    left = sets.toDF("a", "fa")
+    right = sets.toDF("b", "fb")
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
     na, nb = F.size("fa"), F.size("fb")
-    both = both.filter((F.least(na, nb) * q >= F.greatest(na, nb) * p))
     common = F.size(F.array_intersect("fa", "fb"))
     return both.filter(common * (p + q) >= p * (na + nb)).select("a", "b").distinct()
 
@@ -228,20 +243,23 @@ def link(docs: DataFrame, width: int = 5, p: int = 4, q: int = 5, id_col: str =
     shared = shared.join(small_or_shuffled(stand), "id", "left").select("sig", F.coalesce("rep", "id").alias("id")).distinct()
     order = by_sig.orderBy("id")
     chained = written(shared.withColumn("before", F.lag("id").over(order)).withColumn("n", F.count("*").over(by_sig)).filter("n > 1").drop("n"), "chained-signatures")
-    sets = written(_sets(docs, written(chained.select("id").distinct(), "involved"), width), "involved-sets")
-    pairs = written(chained.filter("before is not null").groupBy(F.col("before").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("shared")), "chained-pairs")
+    marks = _marks(sizes)
+    pairs = chained.filter("before is not null").groupBy(F.col("before").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("shared"))
+    for end in "ab":
+        pairs = pairs.join(marks.toDF(end, *[f"{end}_{c}" for c in marks.columns[1:]]), end)
+    pairs = written(pairs.filter(_possible("a_", "b_", p, q)).select("a", "b", "shared").distinct(), "chained-pairs")
     edges = moved.select(F.col("rep").alias("a"), F.col("id").alias("b"))
     of = None
     for _ in range(ROUNDS):
         open_pairs = pairs if of is None else _apart(pairs, of)
         best = open_pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
-        found = written(_verified(best, sets, p, q), "links")
+        found = written(_verified(written(best, "best-pairs"), docs, width, p, q), "links")
         edges = edges.unionByName(found)
         pairs = written(open_pairs.join(best, ["a", "b"], "left_anti"), "open-pairs")
         of = written(components(edges), "components")
-    rest = written(_unconnected(chained.select("sig", "id"), of, sets, p, q), "unconnected")
+    rest = written(_unconnected(chained.select("sig", "id"), of, marks, p, q), "unconnected")
     if rest.limit(1).count():
-        edges = edges.unionByName(_verified(rest, sets, p, q))
+        edges = edges.unionByName(_verified(rest, docs, width, p, q))
         of = written(components(edges), "components")
     one = of.groupBy("id").agg(F.min("component").alias("component"))
     out = sizes.join(small_or_shuffled(one), "id", "left")
@@ -255,7 +273,7 @@ def _apart(pairs: DataFrame, of: DataFrame) -> DataFrame:
     return out.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(pairs.columns)
 
 
-def _unconnected(rows: DataFrame, of: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
+def _unconnected(rows: DataFrame, of: DataFrame, marks: DataFrame, p: int, q: int) -> DataFrame:
     """Every pair (a, b), a < b, of rows (sig, id) with a signature in common and no connection yet
     whose sizes and sketches leave it possible that they link.
 
@@ -266,15 +284,9 @@ def _unconnected(rows: DataFrame, of: DataFrame, sets: DataFrame, p: int, q: int
     own = rows.join(of, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component")).join(sizes, "component", "left").select("sig", "id", "component", F.coalesce("members", F.lit(1)).alias("members"))
     own = written(own, "signature-components")
     main = own.groupBy("sig").agg(F.max(F.struct("members", "component"))["component"].alias("main"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    # one row of sizes and sketch a set: rows of one id with different texts are paired each
-    mine = sets.select("id", F.size("features").alias("size"), *[F.col("sketch")[k].alias(f"w{k}") for k in range(SKETCH_WORDS)])
-    open_rows = written(own.join(main.select("sig", "main"), "sig").select("sig", "id", "component", "main").join(mine, "id"), "open-signatures")
+    open_rows = written(own.join(main.select("sig", "main"), "sig").select("sig", "id", "component", "main").join(marks, "id"), "open-signatures")
     few = open_rows.filter("component <> main").drop("main")
     few = few.toDF(*[c if c == "sig" else f"x_{c}" for c in few.columns])
     others = open_rows.drop("main").withColumnRenamed("sig", "y_sig")
-    bits = F.lit(0)
-    for k in range(SKETCH_WORDS):
-        bits = bits + F.bit_count(F.col(f"x_w{k}").bitwiseXOR(F.col(f"w{k}")))
-    possible = (bits * (q + p) <= (F.col("x_size") + F.col("size")) * (q - p)) & (F.least("x_size", "size") * q >= F.greatest("x_size", "size") * p)
-    met = few.join(others, (F.col("sig") == F.col("y_sig")) & (F.col("x_component") != F.col("component")) & possible)
+    met = few.join(others, (F.col("sig") == F.col("y_sig")) & (F.col("x_component") != F.col("component")) & _possible("x_", "", p, q))
     return met.select(F.least("x_id", "id").alias("a"), F.greatest("x_id", "id").alias("b")).distinct()
