@@ -27,7 +27,7 @@ import regex
 
 LONG_WORD = 200
 #: Words kept with their ids in each Python worker; beyond it the cache starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 NO_RANK = 1 << 60
 
 

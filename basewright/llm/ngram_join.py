@@ -44,9 +44,9 @@ from .common import components, small_or_shuffled, spread_join, written
 SMALL_K = 15
 CELLS = 4
 SPARE = 0.25
-CACHE = 400_000
+CACHE = 150_000
 #: Equal sets that a task has met already send no signatures again.
-SEEN = 1_000_000
+SEEN = 200_000
 #: Bits of a set's parity sketch, in words of 64.
 SKETCH_WORDS = 16
 ROUNDS = 2
@@ -174,7 +174,7 @@ def _signatures(docs: DataFrame, width: int, p: int, q: int) -> DataFrame:
             rows = []
             for text in b.column(1):
                 s = shingles(text.as_py(), width)
-                key = (len(s), int(mix(s, 3).sum(dtype="u8")), int(mix(s, 5).sum(dtype="u8")))
+                key = int(mix(s, 3).sum(dtype="u8")) << 64 | int(mix(s, 5).sum(dtype="u8"))
                 if len(s) and key not in seen:
                     if len(seen) >= SEEN:
                         seen.clear()

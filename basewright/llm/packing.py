@@ -23,6 +23,8 @@ from .bpe import LibraryBpe, coder, default_path
 
 END_ID = 2
 MAX_LENGTH = 4096
+#: Documents whose pieces are sent on together, so that a task holds few ids at a time.
+SLICE = 256
 
 
 def lengths(n: int, longest: int = MAX_LENGTH) -> list[int]:
@@ -47,7 +49,7 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = END_ID, longest
         from pyspark import TaskContext
 
         c, made = coder(path, LibraryBpe), TaskContext.get().partitionId() << 33
-        for b in batches:
+        for b in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             rows, of, kept = [], [], []
             for i, text in enumerate(b.column(1)):
                 ids = np.array([*c.encode(text.as_py()), end_id], dtype="<u4")
