@@ -118,7 +118,9 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "
     """A hierarchy from at most ``per_language`` rows of each language."""
     order = F.xxhash64(F.col(id_col).cast("string"), F.lit("train"))
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), order.alias("h")).filter("lang is not null and text is not null")
-    top = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= per_language)
+    # first within 8 parts of a language, so that the last window gets a bounded number of rows however common a language is
+    for part in (["lang", F.pmod("h", F.lit(8))], ["lang"]):
+        rows = rows.withColumn("r", F.row_number().over(Window.partitionBy(*part).orderBy("h"))).filter(F.col("r") <= per_language).drop("r")
 
     def run(batches):
         for b in batches:
@@ -126,7 +128,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "
             keep = [i for i, x in enumerate(texts) if has_letter(x)]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array([features(texts[i]).astype("f4").tobytes() for i in keep], pa.binary())], names=["lang", "x"])
 
-    got = top.select("lang", "text").mapInArrow(run, "lang string, x binary").collect()
+    got = rows.select("lang", "text").mapInArrow(run, "lang string, x binary").collect()
     got.sort(key=lambda r: (r[0], bytes(r[1])))
     return Hierarchy(np.array([np.frombuffer(r[1], "f4") for r in got], "f4").reshape(len(got), DIMENSIONS), [r[0] for r in got])
 
