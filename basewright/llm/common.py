@@ -76,15 +76,17 @@ def text_hash(col: str = "text") -> F.Column:
     return F.xxhash64(F.coalesce(F.col(col), F.lit("")))
 
 
-def spread_join(rows: DataFrame, groups: DataFrame, key: list[str], count: str, row_id: F.Column, inner: bool = False, hot_groups: int = 200) -> DataFrame:
+def spread_join(rows: DataFrame, groups: DataFrame, key: list[str], count: str, row_id: F.Column, inner: bool = False, hot_groups: int = 200, total: int | None = None) -> DataFrame:
     """``rows`` left (or inner) joined with ``groups`` (one row a key, with its number of rows), hot keys spread.
 
     A key with more than 1 / hot_groups of all counted rows is hot.  There are fewer
     than hot_groups of those, so they are broadcast; rows with a hot key are dealt
     out by ``row_id`` instead of the key.  All other keys meet in a shuffle.
+    ``total``: the sum of all counts, where it is known.
     Null keys never match.
     """
-    total = groups.agg(F.sum(count)).first()[0] or 0
+    if total is None:
+        total = groups.agg(F.sum(count)).first()[0] or 0
     others = [c for c in groups.columns if c not in key]
     hot = groups.filter(F.col(count) > max(1000, total / hot_groups))
     named = hot.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(key)], *[F.col(c).alias(f"__hot_{c}") for c in others], F.lit(True).alias("__hot"))
@@ -126,25 +128,38 @@ def small_or_shuffled(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _loose(edges: DataFrame) -> tuple[int, bool]:
+    """Number of edges (a, b), b < a, and whether they are anything but stars about each component's smallest id."""
+    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(edges.select(F.col("b").alias("v"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+    at = ends.groupBy("v").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    rows, open_ends = at.agg(F.sum("below"), F.count_if(F.col("below") + F.col("above") > 1)).first()
+    return rows or 0, open_ends > 0
+
+
+def components(edges: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """Rows (id, component): each vertex of the edges (a, b) and the smallest id it is connected with.
 
     Alternating large-star and small-star steps, each a grouped minimum and a join
-    with it, until nothing changes; every step is written to the shared folder.
+    with it, until all edges are stars; every step is written to the shared folder.
+    ``before``: the components of earlier edges, which then need not be given again;
+    the new edges are taken between those components.
     """
+    if before is not None:
+        for end in "ab":
+            edges = edges.join(small_or_shuffled(before.toDF(end, f"c{end}")), end, "left")
+        edges = edges.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    state = None
-    while True:
+    while (shape := _loose(edges))[1]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m"))
-        large = spread_join(both, low, ["a"], "n", F.xxhash64("b"), inner=True).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = spread_join(both, low, ["a"], "n", F.xxhash64("b"), inner=True, total=2 * shape[0]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = written(large, "large-star")
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        joined = spread_join(large, low, ["a"], "n", F.xxhash64("b"), inner=True)
+        joined = spread_join(large, low, ["a"], "n", F.xxhash64("b"), inner=True, total=large.count())
         small = joined.select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
         edges = written(small, "small-star")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state or not now[0]:
-            break
-        state = now
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+    found = edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+    if before is None:
+        return found
+    moved = before.join(small_or_shuffled(found.toDF("component", "now")), "component", "left").select("id", F.coalesce("now", "component").alias("component"))
+    return moved.unionByName(found).distinct()

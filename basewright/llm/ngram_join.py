@@ -218,7 +218,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, p: int, q: int) ->
     sets = written(_sets(docs, ids, width), "involved-sets")
     left = sets.toDF("a", "fa")
     right = sets.toDF("b", "fb")
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
+    # best pairs have one row a b, so its set moves once
+    both = pairs.select("a", "b").join(right, "b").join(left, "a")
     na, nb = F.size("fa"), F.size("fb")
     common = F.size(F.array_intersect("fa", "fb"))
     return both.filter(common * (p + q) >= p * (na + nb)).select("a", "b").distinct()
@@ -238,31 +239,35 @@ def link(docs: DataFrame, width: int = 5, p: int = 4, q: int = 5, id_col: str =
     by_sig = Window.partitionBy("sig")
     shared = _signatures(docs.filter("id is not null"), width, p, q).withColumn("n", F.count("*").over(by_sig)).filter("n > 1").drop("n")
     shared = written(shared, "shared-signatures")
-    # a copy's signatures stand for its representative's
-    stand = moved.groupBy("id").agg(F.min("rep").alias("rep"))
+    # a copy stands for its representative in all that follows, unless its id has other rows too: those ids are tied by edges
+    several = known.groupBy("id").agg(F.count("*").alias("rows")).filter("rows > 1").select("id")
+    ties = written(moved.join(several, "id", "left_semi"), "tied-copies")
+    stand = written(moved.join(small_or_shuffled(ties.select("id").distinct()), "id", "left_anti"), "stand-ins")
     shared = shared.join(small_or_shuffled(stand), "id", "left").select("sig", F.coalesce("rep", "id").alias("id")).distinct()
     order = by_sig.orderBy("id")
-    chained = written(shared.withColumn("before", F.lag("id").over(order)).withColumn("n", F.count("*").over(by_sig)).filter("n > 1").drop("n"), "chained-signatures")
+    chained = shared.withColumns({"before": F.lag("id").over(order), "first": F.first("id").over(order), "n": F.count("*").over(by_sig)})
+    chained = written(chained.filter("n > 1").drop("n"), "chained-signatures")
     marks = _marks(sizes)
-    pairs = chained.filter("before is not null").groupBy(F.col("before").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("shared"))
+    partners = chained.filter("before is not null").select(F.explode(F.array_distinct(F.array("before", "first"))).alias("a"), F.col("id").alias("b"))
+    pairs = partners.groupBy("a", "b").agg(F.count("*").alias("shared"))
     for end in "ab":
         pairs = pairs.join(marks.toDF(end, *[f"{end}_{c}" for c in marks.columns[1:]]), end)
     pairs = written(pairs.filter(_possible("a_", "b_", p, q)).select("a", "b", "shared").distinct(), "chained-pairs")
-    edges = moved.select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    of = None
-    for _ in range(ROUNDS):
+    edges, of = ties.select(F.col("rep").alias("a"), F.col("id").alias("b")), None
+    for k in range(ROUNDS):
         open_pairs = pairs if of is None else _apart(pairs, of)
         best = open_pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
-        found = written(_verified(written(best, "best-pairs"), docs, width, p, q), "links")
-        edges = edges.unionByName(found)
-        pairs = written(open_pairs.join(best, ["a", "b"], "left_anti"), "open-pairs")
-        of = written(components(edges), "components")
+        found = _verified(written(best, "best-pairs"), docs, width, p, q)
+        of = written(components(edges.unionByName(found) if of is None else found, of), "components")
+        if k + 1 < ROUNDS:
+            pairs = written(open_pairs.join(best, ["a", "b"], "left_anti"), "open-pairs")
     rest = written(_unconnected(chained.select("sig", "id"), of, marks, p, q), "unconnected")
     if rest.limit(1).count():
-        edges = edges.unionByName(_verified(rest, docs, width, p, q))
-        of = written(components(edges), "components")
-    one = of.groupBy("id").agg(F.min("component").alias("component"))
-    out = sizes.join(small_or_shuffled(one), "id", "left")
+        of = written(components(_verified(rest, docs, width, p, q), of), "components")
+    # every stand-in has its representative's component
+    named = groups.groupBy("rep").agg(F.sum("copies").alias("copies")).join(of.toDF("rep", "component"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"), "copies")
+    one = spread_join(stand, named, ["rep"], "copies", F.xxhash64("id"), inner=True).select("id", "component").unionByName(of)
+    out = sizes.join(small_or_shuffled(written(one, "labels")), "id", "left")
     alone = F.when(F.col("n") > 0, F.col("component"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce(alone, "id").alias("component_id"))
 
