@@ -198,6 +198,24 @@ def test_ngram_join(spark, width, p, q):
     assert ngram_join.link(empty(spark), width, p, q).count() == 0
 
 
+def test_components_carry_on(spark):
+    """New edges between earlier components give the components of all edges."""
+    from basewright.llm.common import components
+
+    old, new = [(k, k + 1) for k in range(20, 30)] + [(5, 9), (9, 7), (50, 51)], [(30, 9), (51, 60), (60, 61), (3, 3)]
+    of = components(spark.createDataFrame(old, "a long, b long"))
+    got = {tuple(r) for r in components(spark.createDataFrame(new, "a long, b long"), of).collect()}
+    assert got == {(k, 5) for k in [*range(20, 31), 5, 7, 9]} | {(k, 50) for k in (50, 51, 60, 61)}
+    assert {tuple(r) for r in components(spark.createDataFrame([], "a long, b long"), of).collect()} == {tuple(r) for r in of.collect()}
+
+
+def test_one_id_with_several_copied_texts(spark):
+    """An id whose rows copy two documents ties them; other copies follow their representative."""
+    rows = [(1, "a b c d e f"), (2, "p q r s t u"), (5, "a b c d e f"), (5, "p q r s t u"), (6, "p q r s t u"), (7, "l m n o p q"), (8, "l m n o p q")]
+    got = {(x.doc_id, x.component_id) for x in ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 1), (5, 1), (6, 1), (7, 7), (8, 7)}
+
+
 def test_signatures_are_complete():
     """Sets within the threshold share a signature, at every size."""
     r = np.random.default_rng(5)
