@@ -1,11 +1,15 @@
 """Substring dedup by sliding sentence spans.
 
 Texts are cut into sentences (after ``.``, ``!`` or ``?`` with white space behind, and
-at line ends; sentences of more than ``LONG_SENTENCE`` words are cut into pieces
-of so many).  From every sentence starts a span: the shortest run of at least
-``SENTENCES`` sentences and ``WORDS`` words.  Spans are compared by 128-bit hashes
-of their lower-cased words.  Of equal spans in all documents the first, in the order of
-id, text hash and position, stays; sentences covered by any other are removed.
+at line ends), and these after every word whose hash is the least of the ``REACH``
+words before and behind it in the sentence.  Whether a word ends a piece so depends on
+its near words alone, wherever the sentence starts: equal passages are cut alike at any
+offset, but for ``REACH`` words at their ends.  Pieces have more than ``REACH`` words,
+unless words repeat.  In what follows a sentence is such a piece.  From every
+sentence starts a span: the shortest run of at least ``SENTENCES`` sentences and
+``WORDS`` words.  Spans are compared by 128-bit hashes of their lower-cased words.  Of
+equal spans in all documents the first, in the order of id, text hash and position,
+stays; sentences covered by any other are removed.
 
 Cases: a null text stays null; texts shorter than a span stay as they are; a text
 that is removed whole becomes empty; rows that are equal in id and text are
@@ -16,7 +20,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
+from functools import lru_cache
+from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,21 +34,44 @@ from .common import spread_join, text_hash, written
 
 SENTENCES = 3
 WORDS = 20
-LONG_SENTENCE = 16
+REACH = 3
+#: Documents whose spans a worker holds at a time.
+SLICE = 500
 breaks = re.compile(r"(?<=[.!?])\s+|\s*\n\s*").finditer
-pieces = re.compile(r"(?:\S+\s*){1,%d}" % LONG_SENTENCE).finditer
+words_of = re.compile(r"\S+\s*").finditer
+
+
+@lru_cache(1 << 16)
+def rank(word: str) -> int:
+    return zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) * 2654435761 & 0xFFFFFFFF
+
+
+def cuts(part: str) -> list[int]:
+    """Places in a sentence behind the words whose hash is the least within reach."""
+    words = part.split()
+    if len(words) <= 2 * REACH:
+        return []
+    h = list(map(rank, words))
+    low = [i for i, a, b, c in zip(range(1, len(h) - REACH), h, h[1:], h[2:]) if a >= b <= c]
+    at = [i for i in low if i >= REACH and h[i] == min(h[i - REACH : i + REACH + 1])]
+    if not at:
+        return at
+    if part.startswith(" ".join(words)):  # single spaces
+        ends = list(accumulate([len(w) + 1 for w in words]))
+    else:
+        ends = [m.end() for m in words_of(part)]
+    return [ends[i] for i in at]
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
     """Start and end of every sentence with the white space behind it; together they are the text."""
     out, at = [], 0
     for end in [*(m.end() for m in breaks(text)), len(text)]:
-        part = text[at:end]
-        if part.count(" ") >= LONG_SENTENCE and len(part.split()) > LONG_SENTENCE:
-            cuts = [at + m.start() for m in pieces(part)]
-            cuts[0] = at
-            out += zip(cuts, [*cuts[1:], end])
-        elif part:
+        start = at
+        for x in cuts(text[start:end]):
+            out.append((at, start + x))
+            at = start + x
+        if end > at:
             out.append((at, end))
         at = end
     return out
@@ -49,8 +80,11 @@ def sentences(text: str) -> list[tuple[int, int]]:
 def spans(text: str) -> list[tuple[int, int, bytes]]:
     """First sentence, number of sentences and hash of the span from each sentence that has one."""
     words = [text[a:b].lower().split() for a, b in sentences(text)]
-    marks = [hashlib.blake2b(" ".join(w).encode("utf-8", "surrogatepass"), digest_size=16).digest() for w in words]
-    sizes = [len(w) for w in words]
+    sizes = list(map(len, words))
+    if len(words) < SENTENCES or sum(sizes) < WORDS:
+        return []
+    blake = hashlib.blake2b
+    marks = [blake(" ".join(w).encode("utf-8", "surrogatepass"), digest_size=16).digest() for w in words]
     out, end, total = [], 0, 0
     for i in range(len(words)):
         while end < len(words) and (end - i < SENTENCES or total < WORDS):
@@ -58,7 +92,7 @@ def spans(text: str) -> list[tuple[int, int, bytes]]:
             end += 1
         if end - i < SENTENCES or total < WORDS:
             break
-        out.append((i, end - i, hashlib.blake2b(b"".join(marks[i:end]), digest_size=16).digest()))
+        out.append((i, end - i, blake(b"".join(marks[i:end]), digest_size=16).digest()))
         total -= sizes[i]
     return out
 
@@ -83,11 +117,11 @@ def span_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (id, th, first, n, h1, h2), one for each span of each document."""
 
     def run(batches):
-        for b in batches:
+        for b in (whole.slice(k, SLICE) for whole in batches for k in range(0, whole.num_rows, SLICE)):
             rows = [spans(x) if x else [] for x in b.column(2).to_pylist()]
             at = pa.array([0, *pd.Series([len(x) for x in rows], dtype="int64").cumsum()], pa.int32())
             flat = [x for r in rows for x in r]
-            halves = [[int.from_bytes(x[2][k : k + 8], "little", signed=True) for x in flat] for k in (0, 8)]
+            halves = np.frombuffer(b"".join([x[2] for x in flat]), "<i8").reshape(-1, 2).T
             columns = [pa.array([x[0] for x in flat], pa.int32()), pa.array([x[1] for x in flat], pa.int32()), *[pa.array(h, pa.int64()) for h in halves]]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.ListArray.from_arrays(at, c) for c in columns]], names=["id", "th", "first", "n", "h1", "h2"])
 
@@ -99,6 +133,9 @@ def span_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, th, covered): by document, the spans (first, n) that stand elsewhere before."""
     table = span_table(docs, id_col, text_col)
+    # half a hash and a count take little room in the shuffle of all spans; the few that are left are told apart after it
+    several = written(table.groupBy("h1").agg(F.count("*").alias("spans")).filter("spans > 1"), "repeated-halves")
+    table = written(spread_join(table, several, ["h1"], "spans", F.xxhash64("id", "first"), inner=True).drop("spans"), "likely-spans")
     place = F.struct("id", "th", "first")
     equal = table.groupBy("h1", "h2").agg(F.min(place).alias("at"), F.count("*").alias("copies")).filter("copies > 1")
     equal = written(equal, "repeated-spans")

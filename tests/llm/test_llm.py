@@ -255,6 +255,26 @@ def test_substring_dedup(spark, docs, texts):
     assert substring_dedup.dedup(empty(spark)).count() == 0
 
 
+def test_passages_at_any_offset(spark):
+    """Passages of 55 words without full stops go wherever they stand in a long sentence; so do sentences whose neighbours lost their stop."""
+    r = random.Random(11)
+    vocab = ["".join(r.choices("abcdeiourst", k=r.randint(3, 9))) for _ in range(2000)]
+    run = lambda n: " ".join(r.choices(vocab, k=n))
+    passages = [run(55) for _ in range(4)]
+    rows = [(i, f"{run(7)} {p} {run(9)}") for i, p in enumerate(passages)]
+    rows += [(100 + 20 * i + k, f"{run(k)} {p} {run(21 - k)}") for i, p in enumerate(passages) for k in range(1, 18)]
+    rows += [(300, f"{run(15)}. {passages[3]}."), (301, run(200))]
+    got = {x.doc_id: x for x in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        gone = "".join(text[x.start : x.end] for x in got[i].removed or [])
+        if 100 <= i <= 300:
+            assert len(gone.split()) >= 30 and gone.strip(" .") in passages[min((i - 100) // 20, 3)], i
+        else:
+            assert got[i].removed is None and got[i].text == text
+    for text in ("", "  a b  ", "w " * 40, " \n".join([run(30), run(3)]), run(100)):
+        assert "".join(text[a:b] for a, b in substring_dedup.sentences(text)) == text
+
+
 def test_pipeline(spark, docs, texts, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
