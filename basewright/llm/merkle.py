@@ -2,9 +2,10 @@
 
 Sections are the blocks between blank lines, or the lines of a text without
 blank lines.  A section's leaves are its paragraphs: runs up to a sentence or line
-end, cut further after a number of words that depends on the text's length, so
-that an edit stays local in short texts too.  Every character belongs to one
-leaf.  A leaf's hash is that of its text, a section's that of its leaves, the
+end, cut further after every word whose last code point is one more than a multiple
+of four, and after ``LEAF_WORDS`` words at the latest.  The text's length plays no part, and
+leaves fall in with each other again soon after an edit, in short texts too.  Every
+character belongs to one leaf.  A leaf's hash is that of its text, a section's that of its leaves, the
 root's that of the sections.
 
 The fingerprint is the string ``root|section:leaf.length,leaf.length|section:...``
@@ -24,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from functools import cache
 
 import pandas as pd
 import pyarrow as pa
@@ -32,12 +34,17 @@ from pyspark.sql import functions as F
 
 from .common import cut_points, run_of, shuffle_partitions, text_hash
 
-#: Words in a leaf at most, by the text's length in code points.
-LEAF_WORDS = ((256, 1), (2048, 4), (float("inf"), 12))
+#: Words in a leaf at most.
+LEAF_WORDS = 6
 LEAF_BYTES, NODE_BYTES, ROOT_BYTES = 4, 8, 16
 blank_line = re.compile(r"(\n[^\S\n]*\n\s*)")
 runs = re.compile(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+").findall
-pieces = {n: re.compile(r"\s*(?:\S{1,200}\s*){1,%d}|\s+" % n).findall for _, n in LEAF_WORDS}
+closing = "".join(re.escape(chr(c)) for c in range(1, 1 << 16, 4) if not chr(c).isspace())
+
+
+@cache
+def pieces(words: int):
+    return re.compile(r"\s*(?:\S{1,200}+(?<![%s])\s+){0,%d}\S{1,200}\s*|\s+" % (closing, words - 1)).findall
 
 
 def digest(data: bytes, size: int) -> str:
@@ -51,19 +58,16 @@ def sections(text: str) -> list[str]:
     return [x for x in (a + b for a, b in zip(parts[::2], [*parts[1::2], ""])) if x]
 
 
-def leaves(section: str, words: int) -> list[str]:
-    out = []
-    for run in runs(section):
-        out += [run] if run.count(" ") < words and len(run) <= 200 else pieces[words](run)
-    return out
+def leaves(section: str, words: int = LEAF_WORDS) -> list[str]:
+    cut = pieces(words)
+    return [x for run in runs(section) for x in cut(run)]
 
 
 def fingerprint(text: str | None) -> str:
     text = text or ""
-    words = next(n for most, n in LEAF_WORDS if len(text) < most)
     nodes, shown = [], []
     for section in sections(text):
-        own = [f"{digest(x.encode('utf-8', 'surrogatepass'), LEAF_BYTES)}.{len(x):x}" for x in leaves(section, words)]
+        own = [f"{digest(x.encode('utf-8', 'surrogatepass'), LEAF_BYTES)}.{len(x):x}" for x in leaves(section)]
         body = ",".join(own)
         nodes.append(digest(body.encode(), NODE_BYTES))
         shown.append(f"{nodes[-1]}:{body}")
@@ -86,8 +90,7 @@ def weights(mark: str) -> Counter:
     """Characters by leaf, the whole text under ``all``."""
     out: Counter = Counter()
     for section in mark.split("|")[1:]:
-        for leaf in section[2 * NODE_BYTES + 1 :].split(","):
-            out[leaf] += 1
+        out.update(section[2 * NODE_BYTES + 1 :].split(","))
     return out
 
 

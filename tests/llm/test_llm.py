@@ -122,6 +122,22 @@ def test_merkle(spark, docs, texts):
     assert merkle.compare_with_next(docs.filter("doc_id = 9")).count() == 1
 
 
+def test_merkle_likeness_has_no_steps():
+    """Texts on different sides of a length differ only where they do, and leaves fall in again after a word is put in front."""
+    r = random.Random(5)
+    vocab = ["".join(r.choices("abcdeiourstéß", k=r.randint(2, 9))) for _ in range(900)]
+    for limit in (256, 2048):
+        for _ in range(20):
+            words = r.choices(vocab, k=limit)
+            words = words[: next(k for k in range(limit) if len(" ".join(words[:k])) >= limit) - 1]
+            a = " ".join(words)
+            for b in (a + " " + " ".join(r.choices(vocab, k=6)), r.choice(vocab) * 4 + " " + a):
+                assert len(a) < limit <= len(b)
+                x, y = merkle.fingerprint(a), merkle.fingerprint(b)
+                went = merkle.differing(x, y)
+                assert merkle.likeness(x, y) > (0.6 if limit == 256 else 0.9) and 0 < sum(v - u for u, v in went) < (150 if limit == 256 else 200)
+
+
 def test_urls(spark):
     rows = [(1, "http://a.example.com/en/1"), (2, "https://EXAMPLE.com/en/7x?q"), (3, "http://x.net/de/3#t"), (4, "http://m.example.net/de/85"), (5, "http://b.org/es/"), (6, "http://b.org/fr/1"), (7, None), (8, "nothing"), (9, "http://notcom/en/"), (9, "http://é.ORG?x/es/")]
     got = sorted(url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect(), key=lambda r: (r.page_id, r.host))
