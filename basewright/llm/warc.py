@@ -45,13 +45,13 @@ CAPTURE = "key string, page_id long, type string, file string, offset long, leng
 
 
 def url_key(url: str | None) -> str:
-    """``com,example,www)/path?query``: hosts that share a suffix sort together."""
+    """``com,example,www)/path?query``: hosts that share a suffix sort together; white space is ``%20``."""
     scheme, mark, rest = (url or "").partition("://")
     rest = rest if mark else scheme
     m = re.match(r"([^/?#]*)(.*)", rest, re.S)
     host, tail = m[1].lower().split("@")[-1], m[2].partition("#")[0]
     host, colon, port = host.partition(":")
-    return ",".join(reversed(host.split("."))) + (colon + port) + ")" + tail
+    return re.sub(r"\s", "%20", ",".join(reversed(host.split("."))) + (colon + port) + ")" + tail)
 
 
 def record(page_id, url: str | None, payload: bytes, digest: str, refers_to) -> bytes:
@@ -121,7 +121,7 @@ KINDS = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64
 
 
 def pack_lines(rows: list[tuple]) -> bytes:
-    text = "\n".join(" ".join([re.sub(r"\s", "%20", r[0]), "-" if r[1] is None else str(r[1]), *map(str, r[2:])]) for r in rows)
+    text = "\n".join(" ".join([r[0], "-" if r[1] is None else str(r[1]), *map(str, r[2:])]) for r in rows)
     return zlib.compress(text.encode(), 6)
 
 
@@ -230,7 +230,7 @@ def read_all(directory: DataFrame) -> DataFrame:
 def lookup(directory: DataFrame, urls: list[str], payloads: bool = True) -> DataFrame:
     """The records of some URLs: directory filter, block range reads, record range reads."""
     spark = directory.sparkSession
-    keys = sorted({re.sub(r"\s", "%20", url_key(u)) for u in urls})
+    keys = sorted({url_key(u) for u in urls})
     if not keys:
         return _records(_entries(directory.limit(0)), payloads)
     wanted = spark.createDataFrame([(k,) for k in keys], "wanted string")

@@ -180,6 +180,15 @@ def test_warc(spark):
     assert warc.read_all(warc.index(warc.write(spark.createDataFrame([], "page_id long, url string, html string")))).count() == 0
 
 
+def test_warc_lookup_with_spaces(spark):
+    """URLs that hold white space are found, in a block of their own and among others."""
+    pages = lambda urls: spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("*", "url as html")
+    for urls in (["http://ex.com/a b"], ["http://ex.com/a b", "http://ex.com/a!b", "http://ex.com/a\tc", "http://ex.com/a#", "http://ex.com/a$b"]):
+        directory = warc.index(warc.write(pages(urls)))
+        for i, url in enumerate(urls):
+            assert [r.page_id for r in warc.lookup(directory, [url]).collect()] == [i]
+
+
 def brute_links(rows, width, p, q):
     sets = {}
     for i, t in rows:
