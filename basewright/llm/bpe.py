@@ -10,7 +10,9 @@ the same order, so cost stays O(n log n).
 
 Cases: a null text encodes as an empty one (no ids, empty decoded text); the
 strings of special tokens in a text become their ids; parts outside the
-vocabulary give no id.
+vocabulary give no id; texts of any length are read whole, words of any length included;
+repeated rows and ids are encoded each; ``encode`` and ``decode`` keep every column, one named as their
+output as ``<name>_input``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,15 +21,13 @@ import hashlib
 import heapq
 import json
 import re
-import unicodedata
 from itertools import chain
 
-import pandas as pd
-import regex
+import pyarrow as pa
 
 LONG_WORD = 200
 #: Words kept with their ids in each Python worker; beyond it the cache starts anew.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 NO_RANK = 1 << 60
 
 
@@ -61,32 +61,34 @@ class Words(dict):
 
 
 class Splitter:
-    """Special tokens, normalisation and word split of a tokenizer file.
+    """Normalisation and word split of a tokenizer file.
 
-    Understands what the public word-level BPE file declares (NFC, white space,
-    lower case, one split pattern, byte alphabet) and refuses any other.
+    The tokenizers library's own normaliser and splitter do the work.  Its calls cost several
+    times as much as the words' ids, so texts of Latin script (code points below U+0250, where
+    the classes of the file's pattern are short) go through the standard module's regular
+    expressions instead; the tests hold both equal over every code point.
     """
 
-    def __init__(self, spec: dict):
+    def __init__(self, library):
+        spec = json.loads(library.to_str())
+        self.normalize, self.split = library.normalizer.normalize_str, library.pre_tokenizer[0].pre_tokenize_str
         steps = [x["type"] for x in spec["normalizer"]["normalizers"]]
         split, level = spec["pre_tokenizer"]["pretokenizers"]
-        if steps != ["NFC", "Replace", "Lowercase"] or split["type"] != "Split" or split["behavior"] != "Removed" or level["add_prefix_space"]:
+        if steps != ["NFC", "Replace", "Lowercase"] or split["type"] != "Split" or split["behavior"] != "Removed" or level["type"] != "ByteLevel" or level["add_prefix_space"] or level["use_regex"]:
             raise ValueError("the tokenizer file asks for steps that are not supported")
-        pattern = split["pattern"]["Regex"].replace(r"\s", SPACES)
-        self.find = regex.compile(pattern, regex.V0).findall
-        self.find_latin = re.compile(pattern.replace(r"[\p{L}]", r"\p{L}").replace(r"[\p{N}]", r"\p{N}").replace(r"\p{L}+|\p{N}|", f"[{LATIN_LETTERS}]+|[{LATIN_NUMBERS}]|").replace(r"\p{L}\p{N}", LATIN_LETTERS + LATIN_NUMBERS)).findall
+        pattern = split["pattern"]["Regex"].replace(r"[\p{L}]", f"[{LATIN_LETTERS}]").replace(r"[\p{N}]", f"[{LATIN_NUMBERS}]").replace(r"\p{L}\p{N}", LATIN_LETTERS + LATIN_NUMBERS).replace(r"\s", LATIN_SPACES)
+        self.find = re.compile(pattern).findall
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
+        self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split if self.special else None
 
     def words(self, text: str) -> list[str]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # each character is lowered by itself
-        text = text.lower()
-        return self.find(text) if beyond_latin(text) else self.find_latin(text)
+        if beyond_latin(text):
+            return [x for x, _ in self.split(self.normalize(text))]
+        return self.find(text.lower())
 
     def parts(self, text: str) -> list[str]:
         """Texts between special tokens at even places, special tokens at odd ones."""
-        if self.cut is None or "<|" not in text and not any(x in text for x in self.special if not x.startswith("<|")):
+        if self.cut is None or not any(x in text for x in self.special):
             return [text]
         return self.cut(text)
 
@@ -96,22 +98,56 @@ def plain(word: str) -> bool:
     return word.isascii() and word.isprintable()
 
 
-#: The same split for texts below U+0250, where the classes are short enough for the faster standard module.
-LATIN_LETTERS, LATIN_NUMBERS = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+#: Classes below U+0250 and of what lower-casing makes of them (U+0307, of U+0130, is neither letter nor number).
+LATIN_LETTERS, LATIN_NUMBERS, LATIN_SPACES = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u02af\u2c65\u2c66", "0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r\x20\x85\xa0"
 beyond_latin = re.compile("[^\x00-\u024f]").search
 
-#: White space as the tokenizers library's patterns see it, for use inside a class.
-SPACES = r"\t-\r\x20\x85\xa0  -     　"
 
+def open_library(path: str):
+    from tokenizers import Tokenizer
 
-class RankArrayBpe:
-    """Encoder and decoder for one tokenizer file."""
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    return library
+
+
+class LibraryBpe:
+    """Ids by the tokenizers library: whole texts by its ``encode``; in Latin texts, where words can be told
+    apart cheaply, each different word once."""
+
+    def __init__(self, path: str):
+        self.library = open_library(path)
+        self.splitter, self.alphabet = Splitter(self.library), byte_alphabet()
+        self.n_ids = self.library.get_vocab_size(with_added_tokens=True)
+        self.cache = Words(self.encode_word)
+
+    def encode_word(self, word: str) -> tuple[int, ...]:
+        text = word if plain(word) else "".join([self.alphabet[b] for b in word.encode()])
+        return tuple([t.id for t in self.library.model.tokenize(text)])
+
+    def encode(self, text: str | None) -> list[int]:
+        if not text:
+            return []
+        if beyond_latin(text):
+            return self.library.encode(text, add_special_tokens=False).ids
+        return self.by_words(text)
+
+    def by_words(self, text: str) -> list[int]:
+        parts, s = self.splitter.parts(text), self.splitter
+        ids = list(chain.from_iterable(map(self.cache.__getitem__, s.words(parts[0]))))
+        for mark, part in zip(parts[1::2], parts[2::2]):
+            ids.append(s.special[mark])
+            ids += chain.from_iterable(map(self.cache.__getitem__, s.words(part)))
+        return ids
+
+
+class RankArrayBpe(LibraryBpe):
+    """Encoder and decoder for one tokenizer file: the library's words, their ids by rank arrays."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        model = spec["model"]
-        self.splitter = Splitter(spec)
+        super().__init__(path)
+        model = json.loads(self.library.to_str())["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.end = model["end_of_word_suffix"] or ""
         self.rank: dict[int, int] = {}
@@ -121,11 +157,9 @@ class RankArrayBpe:
             self.made.append(self.vocab[a + b])
         if max(self.vocab.values()) >= 1 << 16:
             raise ValueError("pair keys hold two ids of 16 bits")
-        self.alphabet = byte_alphabet()
         self.tokens = [""] * (1 + max(*self.vocab.values(), *self.splitter.special.values()))
         for t, i in chain(self.vocab.items(), self.splitter.special.items()):
             self.tokens[i] = t
-        self.cache = Words(self.encode_word)
 
     def encode_word(self, word: str) -> tuple[int, ...]:
         chars = list(word) if plain(word) else [self.alphabet[b] for b in word.encode()]
@@ -169,36 +203,13 @@ class RankArrayBpe:
         return [i for i in ids if i >= 0]
 
     def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        parts, s = self.splitter.parts(text), self.splitter
-        ids = list(chain.from_iterable(map(self.cache.__getitem__, s.words(parts[0]))))
-        for mark, part in zip(parts[1::2], parts[2::2]):
-            ids.append(s.special[mark])
-            ids += chain.from_iterable(map(self.cache.__getitem__, s.words(part)))
-        return ids
+        return self.by_words(text) if text else []
 
     def decode(self, ids) -> str:
         """Tokens joined by spaces: the file declares no decoder of its own."""
         return " ".join(map(self.tokens.__getitem__, ids))
 
 
-class LibraryBpe(RankArrayBpe):
-    """The same words, their ids taken from the tokenizers library."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        super().__init__(path)
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-
-    def encode_word(self, word: str) -> tuple[int, ...]:
-        text = word if plain(word) else "".join([self.alphabet[b] for b in word.encode()])
-        return tuple([t.id for t in self.library.model.tokenize(text)])
-
-
 _coders: dict = {}
 
 
@@ -222,12 +233,14 @@ def decode(df, ids_col: str = "ids", text_col: str = "decoded", path: str | None
 def _mapped(df, col: str, out: str, kind: str, path: str, f):
     from pyspark.sql import functions as F
 
-    @F.pandas_udf(kind)
-    def apply(xs: pd.Series) -> pd.Series:
+    from .common import set_aside
+
+    @F.arrow_udf(kind)
+    def apply(xs: pa.Array) -> pa.Array:
         c = coder(path)
-        return pd.Series([f(c, x if x is not None else None) for x in xs], dtype=object)
+        return pa.array([f(c, x.as_py()) for x in xs], pa.string() if kind == "string" else pa.list_(pa.int32()))
 
-    return df.withColumn(out, apply(F.col(col)))
+    return set_aside(df, *[out] * (out.lower() != col.lower())).withColumn(out, apply(F.col(col)))
 
 
 def round_trip(df, path: str | None = None, id_col: str = "doc_id", text_col: str = "text"):
@@ -237,8 +250,6 @@ def round_trip(df, path: str | None = None, id_col: str = "doc_id", text_col: st
     ids joined by spaces), decoded_sha256.  Only the two columns it needs are
     read; repeated rows give repeated results.
     """
-    import pyarrow as pa
-
     path = path or default_path()
 
     def run(batches):
@@ -252,6 +263,7 @@ def round_trip(df, path: str | None = None, id_col: str = "doc_id", text_col: st
                 a.append(hashlib.sha256(" ".join(map(shown, ids)).encode()).hexdigest())
                 d.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+        c.cache.clear()  # workers live on
 
     kind = dict(df.dtypes)[id_col]
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -1,7 +1,8 @@
-"""Shared folders, lineage cuts and order-preserving distribution."""
+"""Shared folders, lineage cuts, column names and order-preserving distribution."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -14,10 +15,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """Absolute URI of the folder in ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the setting is absent (local tests), a temporary folder is made once and set.
+    Where the setting is absent, a local session (tests) gets a temporary folder, made once and set; on a
+    cluster that would be a folder of one machine, so there it is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="basewright-")
         spark.conf.set("spark.checkpoint.dir", where)
     path = spark._jvm.org.apache.hadoop.fs.Path(where)
@@ -30,13 +34,52 @@ def fresh(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again: lost executors don't lose it, and its lineage ends there."""
-    path = fresh(df.sparkSession, label)
+    path = path or fresh(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that one job writes to the shared folder on its way; ``drop`` deletes those that nothing will read again."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.held = spark, []
+
+    def written(self, df: DataFrame, label: str) -> DataFrame:
+        path = fresh(self.spark, label)
+        out = written(df, label, path)
+        self.held.append((out, path))
+        return out
+
+    def drop(self, *gone: DataFrame, but: tuple[DataFrame, ...] = ()) -> None:
+        """Deletes the given tables, or all but some.  Only for tables whose readers have all been written themselves."""
+        going = [x for x in self.held if any(x[0] is y for y in gone) or not gone and not any(x[0] is y for y in but)]
+        for _, where in going:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.held = [x for x in self.held if not any(x is y for y in going)]
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores until no column of the frame has it (whatever the case)."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def set_aside(df: DataFrame, *made: str) -> DataFrame:
+    """``df`` with its own columns of these names called ``<name>_input`` (and more underscores while that is
+    taken), so that an operator's columns can have them."""
+    for name in made:
+        for c in df.columns:
+            if c.lower() == name.lower():
+                df = df.withColumnRenamed(c, free_name(df, f"{c}_input"))
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -45,23 +88,36 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def cut_points(df: DataFrame, col: str, n: int) -> list:
-    """At most n - 1 values of a column that cut its rows into runs of about equal length.
+def dealt_in_order(df: DataFrame, id_col: str, tie_col: str, n: int, descending: bool = False) -> tuple[F.Column, int]:
+    """Number of the task that a row goes to, and how many tasks there are: about n runs of about equal length in the
+    order of a whole-number id (nulls last) and, among equal ids, of a 64-bit hash.
 
-    Reads that column alone, so the wide columns aren't read twice as a range
-    partitioning's own sampling would; the driver gets n numbers.
+    Ids that are several runs long (and nulls) are cut by the hash; only rows that are equal in both share a task
+    whatever their number.  Reads the id alone; the driver gets n numbers.
     """
-    if n < 2:
-        return []
-    got = df.select(F.percentile_approx(col, [i / n for i in range(1, n)], 10_000)).first()[0]
-    return sorted(set(got or []))
-
-
-def run_of(cuts: list, col: str) -> F.Column:
-    """Number of the run that a value falls in: ascending, nulls in the last."""
-    if not cuts:
-        return F.lit(0)
-    return F.when(F.col(col).isNull(), F.lit(len(cuts))).otherwise(_bisect(cuts, F.col(col)))
+    got = df.agg(F.percentile_approx(id_col, [i / n for i in range(1, n)] or [0.5], 10_000).alias("cuts"), F.count("*").alias("rows"), F.count_if(F.col(id_col).isNull()).alias("nulls")).first()
+    every = sorted(got["cuts"] or []) if n > 1 else []
+    cuts = sorted(set(every))
+    # an id that is a cut k times over has about k runs of its own behind the lesser ids of its run
+    parts = {c: k for c in cuts if (k := every.count(c)) > 1}
+    share = lambda k: F.least(F.floor((F.col(tie_col) / F.lit(2.0**64) + 0.5) * k), F.lit(k - 1)).cast("int")
+    at, first = [], 0
+    for c in [*cuts, None]:
+        at.append(first)
+        first += 1 + parts.get(c, 0)
+    nulls = -(-got["nulls"] * n // max(1, got["rows"])) or 1
+    starts = F.array(*map(F.lit, at))
+    out = F.element_at(starts, _bisect(cuts, F.col(id_col)) + 1)
+    for c, k in parts.items():
+        run = at[cuts.index(c)]
+        # in a run, ids below the frequent one come first, or last where the order is descending
+        if descending:
+            out = F.when(F.col(id_col) == c, F.lit(run + k) - share(k)).otherwise(out)
+        else:
+            out = F.when(F.col(id_col) == c, F.lit(run + 1) + share(k)).otherwise(out)
+    if descending:
+        out = F.lit(first - 1) - out
+    return F.when(F.col(id_col).isNull(), F.lit(first) + share(nulls)).otherwise(out).cast("int"), first + nulls
 
 
 def _bisect(cuts: list, x: F.Column, low: int = 0) -> F.Column:
@@ -136,28 +192,32 @@ def _loose(edges: DataFrame) -> tuple[int, bool]:
     return rows or 0, open_ends > 0
 
 
-def components(edges: DataFrame, before: DataFrame | None = None) -> DataFrame:
+def components(edges: DataFrame, before: DataFrame | None = None, scratch: Scratch | None = None) -> DataFrame:
     """Rows (id, component): each vertex of the edges (a, b) and the smallest id it is connected with.
 
     Alternating large-star and small-star steps, each a grouped minimum and a join
-    with it, until all edges are stars; every step is written to the shared folder.
+    with it, until all edges are stars; every step is written to the shared folder, which
+    loses it when the next one is there.
     ``before``: the components of earlier edges, which then need not be given again;
-    the new edges are taken between those components.
+    the new edges are taken between those components.  ``scratch`` takes the table that the result reads.
     """
     if before is not None:
         for end in "ab":
             edges = edges.join(small_or_shuffled(before.toDF(end, f"c{end}")), end, "left")
         edges = edges.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+    scratch = scratch or Scratch(edges.sparkSession)
+    edges = scratch.written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
     while (shape := _loose(edges))[1]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m"))
         large = spread_join(both, low, ["a"], "n", F.xxhash64("b"), inner=True, total=2 * shape[0]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        large = written(large, "large-star")
+        large = scratch.written(large, "large-star")
+        scratch.drop(edges)
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         joined = spread_join(large, low, ["a"], "n", F.xxhash64("b"), inner=True, total=large.count())
         small = joined.select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
-        edges = written(small, "small-star")
+        edges = scratch.written(small, "small-star")
+        scratch.drop(large)
     found = edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
     if before is None:
         return found

@@ -2,27 +2,32 @@
 
 First a one-vs-rest linear support vector machine for each language family picks
 the family, then one-versus-one linear machines vote among the languages within
-it.  Features are hashed counts of 1 to 3 bytes of the whole lower-cased text
+it.  Features are hashed counts of 2 and 3 bytes of the whole lower-cased text
 with other than letters taken as blanks, square-rooted and of unit length.
 
-Training takes at most ``per_language`` labelled rows of each language (a
-documented bound: those of the smallest hash of id and text), as feature vectors
-made on the executors.  Everything else covers every row.
+Training takes a bounded sample of the labelled rows: the ``MAX_LANGUAGES`` most frequent
+values of the language column (ties to the smaller name), and of each language at most
+``PER_LANGUAGE`` different rows, fewer where that would make more than ``MAX_ROWS`` in all: those
+of the smallest hash of id and text.  Their feature vectors are made on the executors.
+Everything else covers every row.
 
 Cases: a null text or one without letters is ``und`` with score 0; with no
 labelled row every text is ``und``; with one language every other text is that
-one; repeated rows get equal answers; an empty table gives no rows.
+one; repeated rows and null ids get the answer of their text, repeated rows count once in training;
+texts of any length are read whole in pieces; every other column is kept, those named
+``lang_pred`` or ``score`` as ``lang_pred_input`` and ``score_input``; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import free_name, set_aside
+
 #: Family of each language code; a code that isn't listed is a family of its own.
 FAMILIES = {
     "germanic": "af da de en is lb nb nl nn no sv",
@@ -33,7 +38,8 @@ FAMILIES = {
     "indic": "bn gu hi mr ne pa ur",
 }
 DIMENSIONS = 1 << 12
-PER_LANGUAGE = 400
+#: Bounds of the training sample: rows of a language, languages, rows in all (16 KB each on the driver).
+PER_LANGUAGE, MAX_LANGUAGES, MAX_ROWS = 400, 64, 8000
 UNDETERMINED = "und"
 #: Any character that isn't a letter; one byte values that separate words.
 has_letter = regex.compile(r"\p{L}").search
@@ -47,7 +53,7 @@ def family(lang: str) -> str:
 
 def features(text: str) -> np.ndarray:
     """Unit vector of hashed byte n-gram counts, in pieces so that long texts need little memory."""
-    raw = (" " + " ".join(text.lower().split()) + " ").encode().translate(BLANKS)
+    raw = (" " + " ".join(text.lower().split()) + " ").encode("utf-8", "surrogatepass").translate(BLANKS)
     data, out = np.frombuffer(raw, "u1"), np.zeros(DIMENSIONS)
     for at in range(0, max(1, len(data) - 2), CHUNK):
         x = data[at : at + CHUNK + 2].astype("u4")
@@ -115,12 +121,25 @@ class Hierarchy:
 
 
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Hierarchy:
-    """A hierarchy from at most ``per_language`` rows of each language."""
-    order = F.xxhash64(F.col(id_col).cast("string"), F.lit("train"))
-    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), order.alias("h")).filter("lang is not null and text is not null")
+    """A hierarchy from at most ``per_language`` rows of each language.
+
+    The rows are picked by their hashes alone; only the picked ones' texts are moved.
+    """
+    h = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit("train"))
+    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), h.alias("h")).filter("lang is not null and text is not null")
+    top = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGUAGES).collect()
+    langs = sorted(r["lang"] for r in top)
+    if not langs:
+        return Hierarchy(np.empty((0, DIMENSIONS), "f4"), [])
+    most = max(1, min(per_language, MAX_ROWS // len(langs)))
+    rows = rows.filter(F.col("lang").isin(langs))
     # first within 8 parts of a language, so that the last window gets a bounded number of rows however common a language is
+    least = rows.select("lang", "h")
     for part in (["lang", F.pmod("h", F.lit(8))], ["lang"]):
-        rows = rows.withColumn("r", F.row_number().over(Window.partitionBy(*part).orderBy("h"))).filter(F.col("r") <= per_language).drop("r")
+        least = least.withColumn("r", F.dense_rank().over(Window.partitionBy(*part).orderBy("h"))).filter(F.col("r") <= most).drop("r").distinct()
+    limits = {r["lang"]: r["last"] for r in least.groupBy("lang").agg(F.max("h").alias("last")).collect()}  # one row a language
+    cut = F.element_at(F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]), F.col("lang"))
+    picked = rows.filter(F.col("h") <= cut).groupBy("lang", "h").agg(F.min("text").alias("text"))
 
     def run(batches):
         for b in batches:
@@ -128,26 +147,25 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "
             keep = [i for i, x in enumerate(texts) if has_letter(x)]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array([features(texts[i]).astype("f4").tobytes() for i in keep], pa.binary())], names=["lang", "x"])
 
-    got = rows.select("lang", "text").mapInArrow(run, "lang string, x binary").collect()
+    got = picked.select("lang", "text").mapInArrow(run, "lang string, x binary").collect()
     got.sort(key=lambda r: (r[0], bytes(r[1])))
     return Hierarchy(np.array([np.frombuffer(r[1], "f4") for r in got], "f4").reshape(len(got), DIMENSIONS), [r[0] for r in got])
 
 
 def predict(docs: DataFrame, model: Hierarchy, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score for each row's whole text; every other column is kept."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a machine for each pair of languages within a family: bounded by MAX_LANGUAGES
 
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a machine for each pair of languages within a family: bounded by their number
-
-    @F.pandas_udf("lang_pred string, score double")
-    def run(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    def run(texts: pa.Array) -> pa.Array:
         m = shared.value
-        return pd.DataFrame([m.predict(features(x)) if x is not None and has_letter(x) else (UNDETERMINED, 0.0) for x in texts], columns=["lang_pred", "score"])
+        got = [m.predict(features(x)) if x is not None and has_letter(x) else (UNDETERMINED, 0.0) for x in (t.as_py() for t in texts)]
+        return pa.StructArray.from_arrays([pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], names=["lang_pred", "score"])
 
-    made = "__language"
-    while made in docs.columns:
-        made += "_"
-    out = docs.drop("lang_pred", "score").withColumn(made, run(F.col(text_col)))
-    return out.select(*[F.col(f"`{c}`") for c in out.columns if c != made], F.col(f"{made}.lang_pred").alias("lang_pred"), F.col(f"{made}.score").alias("score"))
+    docs = set_aside(docs, "lang_pred", "score")
+    made = free_name(docs, "__language")
+    out = docs.withColumn(made, run(F.col(text_col)))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"{made}.lang_pred").alias("lang_pred"), F.col(f"{made}.score").alias("score"))
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:

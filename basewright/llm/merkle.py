@@ -1,137 +1,179 @@
 """Document fingerprints: a Merkle tree over sections and paragraphs.
 
-Sections are the blocks between blank lines, or the lines of a text without
-blank lines.  A section's leaves are its paragraphs: runs up to a sentence or line
-end, cut further after every word whose last code point is one more than a multiple
-of four, and after ``LEAF_WORDS`` words at the latest.  The text's length plays no part, and
-leaves fall in with each other again soon after an edit, in short texts too.  Every
-character belongs to one leaf.  A leaf's hash is that of its text, a section's that of its leaves, the
-root's that of the sections.
-
-The fingerprint is the string ``root|section:leaf.length,leaf.length|section:...``
-(lengths in code points).  Equal texts have equal fingerprints, roots test equality, and
-``differing`` descends from the root only into sections whose hashes differ.
-``likeness`` is the share of characters in leaves that both texts have: twice the
-common length over the sum of the lengths.
+A text's sections are the blocks between blank lines, a section's paragraphs its lines, and a
+paragraph's leaves runs up to a sentence end, cut further after every word whose last code
+point is one more than a multiple of four, and after ``LEAF_WORDS`` words at the latest.  The text's
+length plays no part, and leaves fall in with each other again soon after an edit, in short
+texts too.  Every character belongs to one leaf.  A leaf's hash is that of its text, every other
+node's that of its children's hashes and lengths alone.
+
+The fingerprint is the string ``root|section:paragraph=leaf.length,leaf.length;paragraph=...|section:...``
+(lengths in code points, hexadecimal).  Equal texts have equal fingerprints, and roots test equality.
+``likeness`` and ``differing`` descend from the roots, level by level, only into nodes that the other
+tree lacks.  ``likeness`` is the share of characters in nodes that both have: twice the common length
+over the sum of the lengths.  ``differing`` gives the edits between the two texts.
 
 Cases: a null text is an empty one: length 0 and no section; two empty texts have
 likeness 1, an empty and another one 0.  Documents with equal ids follow each other
-by text hash; null ids come last; a single document is followed by itself; an
-empty table gives no rows.
+by text hash; null ids come last; a single document is followed by itself; texts of any length are
+read whole, in time linear in it; columns other than id and text aren't read by ``compare_with_next``,
+``fingerprints`` keeps them all, one named as its output as ``<name>_input``; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from base64 import urlsafe_b64encode
 from collections import Counter
-from functools import cache
+from difflib import SequenceMatcher
+from typing import NamedTuple
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_points, run_of, shuffle_partitions, text_hash
+from .common import dealt_in_order, set_aside, shuffle_partitions, text_hash
 
-#: Words in a leaf at most.
-LEAF_WORDS = 6
-LEAF_BYTES, NODE_BYTES, ROOT_BYTES = 4, 8, 16
+#: Words in a leaf at most; bytes of a node's hash.
+LEAF_WORDS, HASH_BYTES = 6, 9
+#: Documents sent on together.
+SLICE = 256
 blank_line = re.compile(r"(\n[^\S\n]*\n\s*)")
 runs = re.compile(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+").findall
 closing = "".join(re.escape(chr(c)) for c in range(1, 1 << 16, 4) if not chr(c).isspace())
+pieces = re.compile(r"\s*(?:\S{1,200}+(?<![%s])\s+){0,%d}\S{1,200}\s*|\s+" % (closing, LEAF_WORDS - 1)).findall
 
 
-@cache
-def pieces(words: int):
-    return re.compile(r"\s*(?:\S{1,200}+(?<![%s])\s+){0,%d}\S{1,200}\s*|\s+" % (closing, words - 1)).findall
+class Node(NamedTuple):
+    """hash.length as text, length in code points, children (none of a leaf)."""
 
+    mark: str
+    size: int
+    children: tuple
 
-def digest(data: bytes, size: int) -> str:
-    return hashlib.blake2b(data, digest_size=size).hexdigest()
+
+def leaf(text: str) -> Node:
+    h = urlsafe_b64encode(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=HASH_BYTES).digest()).decode()
+    return Node(f"{h}.{len(text):x}", len(text), ())
+
+
+def over(children: list[Node]) -> Node:
+    """The node whose children these are; its hash is of theirs."""
+    h = hashlib.blake2b(",".join([x.mark for x in children]).encode(), digest_size=HASH_BYTES).digest()
+    size = sum([x.size for x in children])
+    return Node(f"{urlsafe_b64encode(h).decode()}.{size:x}", size, tuple(children))
 
 
 def sections(text: str) -> list[str]:
     parts = blank_line.split(text)
-    if len(parts) == 1:
-        return text.splitlines(keepends=True)
     return [x for x in (a + b for a, b in zip(parts[::2], [*parts[1::2], ""])) if x]
 
 
-def leaves(section: str, words: int = LEAF_WORDS) -> list[str]:
-    cut = pieces(words)
-    return [x for run in runs(section) for x in cut(run)]
+def paragraphs(section: str) -> list[str]:
+    lines = section.split("\n")
+    return [x for x in [*(line + "\n" for line in lines[:-1]), lines[-1]] if x]
+
+
+def leaves(paragraph: str) -> list[str]:
+    return [x for run in runs(paragraph) for x in pieces(run)]
+
+
+def tree(text: str | None) -> Node:
+    return over([over([over([leaf(x) for x in leaves(p)]) for p in paragraphs(s)]) for s in sections(text or "")])
+
+
+def shown(root: Node) -> str:
+    name = lambda node: node.mark.partition(".")[0]
+    return "|".join([name(root), *(f"{name(s)}:" + ";".join([f"{name(p)}=" + ",".join([x.mark for x in p.children]) for p in s.children]) for s in root.children)])
 
 
 def fingerprint(text: str | None) -> str:
-    text = text or ""
-    nodes, shown = [], []
-    for section in sections(text):
-        own = [f"{digest(x.encode('utf-8', 'surrogatepass'), LEAF_BYTES)}.{len(x):x}" for x in leaves(section)]
-        body = ",".join(own)
-        nodes.append(digest(body.encode(), NODE_BYTES))
-        shown.append(f"{nodes[-1]}:{body}")
-    # the root covers the text itself too, as leaves are short hashes
-    root = digest(("|".join(nodes) + "\n" + text).encode("utf-8", "surrogatepass"), ROOT_BYTES)
-    return "|".join([root, *shown])
-
-
-def branches(mark: str) -> tuple[str, list[tuple[str, list[tuple[str, int]]]]]:
-    """Root and sections of a fingerprint, each with its leaves and their lengths."""
-    root, *rest = mark.split("|")
-    parsed = []
-    for x in rest:
-        node, _, body = x.partition(":")
-        parsed.append((node, [(h, int(n, 16)) for h, _, n in (leaf.partition(".") for leaf in body.split(","))]))
-    return root, parsed
-
-
-def weights(mark: str) -> Counter:
-    """Characters by leaf, the whole text under ``all``."""
-    out: Counter = Counter()
-    for section in mark.split("|")[1:]:
-        out.update(section[2 * NODE_BYTES + 1 :].split(","))
-    return out
+    return shown(tree(text))
+
 
+def parsed(mark: str) -> Node:
+    """The tree of a fingerprint."""
 
-def likeness(a: str, b: str, wa: Counter | None = None, wb: Counter | None = None) -> float:
-    if a[: 2 * ROOT_BYTES] == b[: 2 * ROOT_BYTES]:
-        return 1.0
-    wa, wb = wa if wa is not None else weights(a), wb if wb is not None else weights(b)
-    size = lambda leaf: int(leaf[2 * LEAF_BYTES + 1 :], 16)
-    if len(wb) < len(wa):
-        wa, wb = wb, wa
-    common = sum(min(n, wb[k]) * size(k) for k, n in wa.items() if k in wb)
-    total = sum(n * size(k) for w in (wa, wb) for k, n in w.items())
-    return 2 * common / total if total else 1.0
-
-
-def differing(a: str, b: str) -> list[tuple[int, int]]:
-    """Where b's text differs from a's: (start, end) of b's leaves that a lacks, in sections that a lacks."""
-    (ra, sa), (rb, sb) = branches(a), branches(b)
-    if ra == rb:
-        return []
-    nodes, known = {n for n, _ in sa}, Counter(leaf for _, ls in sa for leaf in ls)
-    at, out = 0, []
-    for node, ls in sb:
-        for leaf in ls:
-            if node not in nodes and not known[leaf]:
-                if out and out[-1][1] == at:
-                    out[-1] = (out[-1][0], at + leaf[1])
-                else:
-                    out.append((at, at + leaf[1]))
-            at += leaf[1]
+    def made(name: str, children: list[Node]) -> Node:
+        size = sum(x.size for x in children)
+        return Node(f"{name}.{size:x}", size, tuple(children))
+
+    def paragraph(text: str) -> Node:
+        name, _, body = text.partition("=")
+        return made(name, [Node(x, int(x.partition(".")[2], 16), ()) for x in body.split(",")])
+
+    root, *rest = mark.split("|")
+    found = []
+    for text in rest:
+        name, _, body = text.partition(":")
+        found.append(made(name, [paragraph(x) for x in body.split(";")]))
+    return made(root, found)
+
+
+def common(a: list[Node], b: list[Node]) -> int:
+    """Characters of a's nodes that b has too; below nodes that the other side lacks, of their children."""
+    if not a or not b:
+        return 0
+    held, size = Counter([x.mark for x in b]), 0
+    left_a = []
+    for x in a:
+        if held[x.mark] > 0:
+            held[x.mark] -= 1
+            size += x.size
+        else:
+            left_a.append(x)
+    if a[0].children:
+        left_b = []
+        for x in b:
+            if held[x.mark] > 0:
+                held[x.mark] -= 1
+                left_b.append(x)
+        size += common([y for x in left_a for y in x.children], [y for x in left_b for y in x.children])
+    return size
+
+
+def likeness(a: str | Node, b: str | Node) -> float:
+    """Of two fingerprints or trees."""
+    a, b = (parsed(x) if isinstance(x, str) else x for x in (a, b))
+    return 1.0 if a.mark == b.mark else 2 * common(list(a.children), list(b.children)) / (a.size + b.size)
+
+
+def differing(a: str | Node, b: str | Node) -> list[tuple[int, int, int, int]]:
+    """The edits between two texts, in order: characters [i, j) of a's text became [k, l) of b's; where one range is empty,
+    text was inserted or deleted (text that moved is deleted at one place and inserted at another)."""
+    a, b = (parsed(x) if isinstance(x, str) else x for x in (a, b))
+    out: list[tuple[int, int, int, int]] = []
+
+    def add(i, j, k, l):  # noqa: E741
+        if out and out[-1][1] == i and out[-1][3] == k:
+            i, k = out.pop()[::2]
+        out.append((i, j, k, l))
+
+    def walk(xs, ys, i, k):
+        ends = lambda nodes, at: [at, *(at := at + x.size for x in nodes)]  # noqa: E731, F841
+        left, right = ends(xs, i), ends(ys, k)
+        for kind, p, q, u, v in SequenceMatcher(None, [x.mark for x in xs], [y.mark for y in ys], autojunk=False).get_opcodes():
+            if kind == "equal":
+                continue
+            if xs[p:q] and ys[u:v] and xs[p].children:
+                walk([c for x in xs[p:q] for c in x.children], [c for y in ys[u:v] for c in y.children], left[p], right[u])
+            else:
+                add(left[p], left[q], right[u], right[v])
+
+    if a.mark != b.mark:
+        walk(list(a.children), list(b.children), 0, 0)
     return out
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", out: str = "fingerprint") -> DataFrame:
     """``docs`` with the fingerprint of each row's whole text."""
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(x) for x in texts], dtype=object)
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([fingerprint(x.as_py()) for x in texts], pa.string())
 
-    return docs.withColumn(out, run(F.col(text_col)))
+    return set_aside(docs, *[out] * (out.lower() != text_col.lower())).withColumn(out, run(F.col(text_col)))
 
 
 def edited_text(text: str, following: str) -> str:
@@ -147,37 +189,34 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     meets its follower in one pass; a range also gets a copy of the next range's
     first document (one text a range).  One shuffle of the texts.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    cuts = cut_points(rows, "doc_id", shuffle_partitions(docs.sparkSession))
-    # runs ascend with nulls last, and ids are walked downwards with nulls last
-    run = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.lit(len(cuts)) - run_of(cuts, "doc_id"))
-    rows = rows.withColumn("run", run.cast("int"))
-    order = [F.col("doc_id").desc_nulls_last(), text_hash("text").asc()]
-    first = rows.groupBy("run").agg(F.max("doc_id").alias("first")).orderBy("run").collect()  # one row a range
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", text_hash("text"))
+    run, n = dealt_in_order(rows, "doc_id", "tie", shuffle_partitions(docs.sparkSession), descending=True)
+    rows = rows.withColumn("run", run)
+    # ids descend with nulls last; the bitwise complement descends as the id ascends, and nulls are in runs of their own
+    first = rows.groupBy("run").agg(F.min(F.struct(F.expr("~doc_id").alias("id"), "tie")).alias("first")).orderBy("run").collect()  # one row a run
     if not first:
         return rows.mapInArrow(lambda batches: iter(()), OUT)
-    starts = [r["first"] for r in first]
     back = {r["run"]: first[i - 1]["run"] for i, r in enumerate(first)}
-    heads = rows.filter(F.col("doc_id").isin([x for x in starts if x is not None]) | (F.col("doc_id").isNull() if None in starts else F.lit(False)))
-    heads = heads.groupBy("run").agg(F.min_by("text", F.struct(text_hash("text"))).alias("text"), F.max("doc_id").alias("doc_id"))
-    target = F.create_map(*[F.lit(x) for pair in back.items() for x in pair])
-    heads = heads.select("doc_id", "text", F.element_at(target, F.col("run")).cast("int").alias("run"), F.lit(1).alias("extra"))
-    dealt = rows.withColumn("extra", F.lit(0)).unionByName(heads).repartitionById(len(cuts) + 2, "run")
-    dealt = dealt.sortWithinPartitions("run", "extra", *order).select("run", "extra", "doc_id", "text")
+    known = lambda values: F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("run"))
+    ids = known({r["run"]: None if r["first"]["id"] is None else ~r["first"]["id"] for r in first}).cast("long")
+    heads = rows.filter(F.col("doc_id").eqNullSafe(ids) & (F.col("tie") == known({r["run"]: r["first"]["tie"] for r in first})))
+    heads = heads.groupBy("run").agg(F.first("text").alias("text"), F.first("doc_id").alias("doc_id"), F.first("tie").alias("tie"))
+    heads = heads.select("doc_id", "text", "tie", known(back).cast("int").alias("run"), F.lit(1).alias("extra"))
+    dealt = rows.withColumn("extra", F.lit(0)).unionByName(heads).repartitionById(n, "run")
+    dealt = dealt.sortWithinPartitions("run", "extra", F.col("doc_id").desc_nulls_last(), "tie").select("run", "extra", "doc_id", "text")
 
     def walk(batches):
         held = None
-        for b in batches:
+        for b in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             out = []
             for run, extra, i, text in zip(*(b.column(k).to_pylist() for k in range(4))):
-                mark = fingerprint(text)
-                now = (run, i, text, mark, weights(mark))
+                root = tree(text)
                 if held is not None and held[0] == run:
-                    _, i0, t0, m0, w0 = held
+                    _, i0, t0, r0 = held
                     edited = edited_text(t0, text)
-                    e = fingerprint(edited)
-                    out.append((i0, len(t0), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), m0, e, likeness(m0, e, w0), likeness(m0, mark, w0, now[4])))
-                held = None if extra else now
+                    e = tree(edited)
+                    out.append((i0, len(t0), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), shown(r0), shown(e), likeness(r0, e), likeness(r0, root)))
+                held = None if extra else (run, i, text, root)
             columns = list(zip(*out)) if out else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, KINDS)], names=[x.split()[0] for x in OUT.split(", ")])
 

@@ -10,7 +10,8 @@ One pass over the documents, no shuffle: a sequence's id is its partition's
 number and a counter there, as for monotonically_increasing_id.
 
 Cases: a null or empty text still has its end id, one piece of length 1;
-repeated rows give pieces with ids of their own; an empty table gives no rows.
+repeated rows and null ids give pieces with sequence ids of their own; a text of any length becomes
+as many pieces as it needs; columns other than id and text aren't read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -63,6 +64,7 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = END_ID, longest
                     start, made = start + k, made + 1
             columns = [b.column(0).take(pa.array(of, pa.int64()))] + [pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 7, kinds)]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.list_(pa.int32()))] * keep_ids, names=names)
+        c.cache.clear()  # workers live on
 
     kind = dict(docs.dtypes)[id_col]
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, start long, length long, bucket int, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * keep_ids)
