@@ -5,21 +5,28 @@ similarity is at least p / q have sizes within that ratio, so sizes are cut into
 bands of it and only equal or neighbouring bands can link; within a pair of bands,
 linked sets of sizes a and b differ in at most (a + b)(q - p) / (q + p) features.
 
-The feature domain is cut by hash into partitions.  Where k differences are
-possible, small sets use ceil((k + 1) / 2) groups of four cells: some group has
-at most one difference, so one of its four subsets of three cells is equal in both sets.  Large
-sets use k + 1 + m single cells: at least m + 1 of them are equal.  There,
-cells with few features are left out if a set has at most m of those: then an
-equal cell is left that isn't, and whether a cell counts as weak depends on its content
-alone, so both sets keep it.  Sets that have more weak cells send all their
-cells.  So linked sets always share a signature; each pair that is taken up is verified on its whole
-sets.
+The feature domain is cut by hash into groups, and each group into cells.  Where k
+differences are possible there are G = floor(k / 2) + 1 + m groups, so some group has at
+most one; of its subsets of all its cells but one, one is then equal in both sets, and each such
+subset is a signature.  As PartEnum asks, the numbers depend on the band: four cells and
+no spare group (m = 0) where sets are small, two cells and spare groups where they are large.
+A difference takes away the most equal subsets where groups get one or two each, which leaves
+at least 2G - k > 2m of them.  So subsets with few features are left out if a set has at most 2m
+of those: one of the equal subsets is then left, and whether a subset counts as weak
+depends on its content alone, so both sets keep it.  Sets that have more weak subsets send
+all of them.  So linked sets always share a signature; each pair that is taken up is
+verified on its whole sets.
 
 Equal sets are one set from the start.  Pairs are not expanded where they can't
 change the outcome: rounds of verification take each set's most promising
 partner, connected components follow, and at last only pairs of sets that share a
 signature and are still unconnected are verified, all of them.
 
+Signatures that very many sets share are found on a small sample of the documents
+first; their rows are dealt out over many tasks, each chains its part, and the parts'
+first members are tied.  The sample decides on the dealing alone: a signature that it
+misses has its rows in one task, with the same result.
+
 Shingles are compared as 64-bit hashes, equal sets by 128 bits.
 
 Cases: a text with fewer words than a shingle is one shingle; null and empty
@@ -38,15 +45,19 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, small_or_shuffled, spread_join, written
+from .common import Scratch, at_rest, components, small_batches, small_or_shuffled, spread_join
 
-#: Up to this number of possible differences, groups of cells and their subsets are used.
-SMALL_K = 15
-CELLS = 4
+#: Bands with up to this number of possible differences have groups of four cells, others of two.
+FEW = 15
+#: Spare groups, as a share of the others, of groups of two cells.
 SPARE = 0.25
-CACHE = 150_000
+CACHE = 100_000
 #: Equal sets that a task has met already send no signatures again.
-SEEN = 200_000
+SEEN = 100_000
+#: Documents whose sets a worker holds at a time.
+SLICE = 500
+#: A signature of more than this share of the documents (and HOT_ROWS) is dealt out over several tasks.
+HOT_SHARE, HOT_ROWS, HOT_SEEN = 1 / 1000, 1000, 16
 #: Bits of a set's parity sketch, in words of 64.
 SKETCH_WORDS = 16
 ROUNDS = 2
@@ -99,42 +110,41 @@ class PartEnum:
         return int(np.searchsorted(self.low, n, side="right")) - 1
 
     @lru_cache(maxsize=None)  # noqa: B019  one object a task
-    def scheme(self, band: int) -> tuple[int, int, int, int]:
-        """Of pairs whose smaller set is in the band: most differences k, partitions, spare ones m, most features of a weak cell."""
+    def scheme(self, band: int) -> tuple[int, int, int, int, int]:
+        """Of pairs whose smaller set is in the band: most differences k, groups, cells in a group, spare groups m, most features of a weak subset."""
         first, last = self.low[band], self.low[band + 1] - 1
         largest = last * self.q // self.p
         k = (last + largest) * (self.q - self.p) // (self.q + self.p)
-        if k <= SMALL_K:
-            return k, CELLS * -(-(k + 1) // 2), 0, -1
-        m = math.ceil(SPARE * (k + 1))
-        n = k + 1 + m
-        mean, weak, mass = first / n, -1, 0.0
-        while (mass := mass + math.exp(-mean) * mean ** (weak + 1) / math.factorial(weak + 1)) <= 0.6 * m / n:
+        n, cells = k // 2 + 1, 4 if k <= FEW else 2
+        if k <= FEW:
+            return k, n, cells, 0, -1
+        m = math.ceil(SPARE * n)
+        mean, weak, mass = first * (cells - 1) / ((n + m) * cells), -1, 0.0
+        while (mass := mass + math.exp(-mean) * mean ** (weak + 1) / math.factorial(weak + 1)) <= 0.6 * 2 * m / (cells * (n + m)):
             weak += 1
-        return k, n, m, weak
+        return k, n + m, cells, m, weak
 
     def signatures(self, s: np.ndarray) -> np.ndarray:
         out, own = [np.empty(0, "u8")], self.band(len(s))
         for band in (own, own - 1):
             if band < 0 or band < own and (self.low[own] - 1) * self.q // self.p < len(s):
                 continue
-            k, n, m, weak = self.scheme(band)
+            k, groups, cells, m, weak = self.scheme(band)
             if not k:
                 continue  # only equal sets
-            h = mix(s, 11)
-            cell = (h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
+            n = groups * cells
+            cell = (mix(s, 11) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
             cell = cell.astype("i8")
             v = mix(s, 13)
             total = np.bincount(cell, (v & np.uint64(0xFFFFFFFF)).astype("f8"), n).astype("u8") + (np.bincount(cell, (v >> np.uint64(32)).astype("f8"), n).astype("u8") << np.uint64(32))
-            if k <= SMALL_K:
-                four = total.reshape(-1, CELLS)
-                # a sum over all cells but one
-                sig = (four.sum(1, keepdims=True) - four).reshape(-1)
-                tag = np.arange(n, dtype="u8")
-            else:
-                full = np.bincount(cell, minlength=n) > weak
-                tag = np.arange(n, dtype="u8") if (~full).sum() > m else np.flatnonzero(full).astype("u8")
-                sig = total[tag.astype("i8")]
+            total = total.reshape(groups, cells)
+            # a sum over all cells of a group but one
+            sig, tag = (total.sum(1, keepdims=True) - total).reshape(-1), np.arange(n, dtype="u8")
+            if m:
+                held = np.bincount(cell, minlength=n).reshape(groups, cells)
+                full = held.sum(1, keepdims=True) - held > weak
+                if (~full).sum() <= 2 * m:
+                    sig, tag = sig[full.reshape(-1)], tag[full.reshape(-1)]
             out.append(mix(sig ^ mix(tag + (np.uint64(band) << np.uint64(32)), 17), 19))
         return np.concatenate(out)
 
@@ -148,11 +158,18 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(bucket, minlength=64 * SKETCH_WORDS) & 1).astype("u1")).view("i8")
 
 
+def sliced(batches):
+    """Arrow batches cut into slices of bounded length."""
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE):
+            yield b.slice(at, SLICE)
+
+
 def _digests(docs: DataFrame, width: int) -> DataFrame:
     """Rows (id, n, h1, h2, sketch): size, 128-bit hash and parity sketch of each row's set."""
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             n, h1, h2, marks = [], [], [], []
             for text in b.column(1):
                 s = shingles(text.as_py(), width)
@@ -161,6 +178,7 @@ def _digests(docs: DataFrame, width: int) -> DataFrame:
                 h2.append(mix(s, 5).sum(dtype="u8").astype("i8"))
                 marks.append(sketch(s))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(marks, pa.list_(pa.int64()))], names=["id", "n", "h1", "h2", "sketch"])
+        at_rest(hash_of)
 
     return docs.mapInArrow(run, "id long, n long, h1 long, h2 long, sketch array<long>")
 
@@ -170,7 +188,7 @@ def _signatures(docs: DataFrame, width: int, p: int, q: int) -> DataFrame:
 
     def run(batches):
         scheme, seen = PartEnum(p, q), set()
-        for b in batches:
+        for b in sliced(batches):
             rows = []
             for text in b.column(1):
                 s = shingles(text.as_py(), width)
@@ -184,6 +202,7 @@ def _signatures(docs: DataFrame, width: int, p: int, q: int) -> DataFrame:
                     rows.append(np.empty(0, "i8"))
             at = np.cumsum([0] + [len(x) for x in rows])
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(rows) if rows else [], pa.int64())), b.column(0)], names=["sigs", "id"])
+        at_rest(hash_of)
 
     return docs.mapInArrow(run, "sigs array<long>, id long").select(F.explode("sigs").alias("sig"), "id")
 
@@ -192,8 +211,9 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """Rows (id, features) of the ids' sets."""
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x.as_py(), width).astype("i8") for x in b.column(1)], pa.list_(pa.int64()))], names=["id", "features"])
+        at_rest(hash_of)
 
     return docs.join(small_or_shuffled(ids), "id", "left_semi").mapInArrow(run, "id long, features array<long>")
 
@@ -212,17 +232,60 @@ def _possible(a: str, b: str, p: int, q: int) -> F.Column:
     return (bits * (q + p) <= (x + y) * (q - p)) & (F.least(x, y) * q >= F.greatest(x, y) * p)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, p: int, q: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, width: int, p: int, q: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough; only these pairs' texts are read as sets."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "involved")
-    sets = written(_sets(docs, ids, width), "involved-sets")
+    ids = scratch.written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "involved")
+    sets = scratch.written(_sets(docs, ids, width), "involved-sets")
     left = sets.toDF("a", "fa")
     right = sets.toDF("b", "fb")
-    # best pairs have one row a b, so its set moves once
+    # best pairs have one row a b, so its set moves once; nothing here groups by a, so that a hot one's join can be split
     both = pairs.select("a", "b").join(right, "b").join(left, "a")
     na, nb = F.size("fa"), F.size("fb")
     common = F.size(F.array_intersect("fa", "fb"))
-    return both.filter(common * (p + q) >= p * (na + nb)).select("a", "b").distinct()
+    out = scratch.written(both.filter(common * (p + q) >= p * (na + nb)).select("a", "b"), "verified")
+    scratch.drop(ids, sets)
+    return out
+
+
+def _hot(docs: DataFrame, rows: int, width: int, p: int, q: int) -> DataFrame | None:
+    """Rows (sig, parts): signatures that a sample of the documents shows to be shared by very many, and the number of
+    tasks for each.  At most rows * (signatures a document) / limit of them."""
+    limit = max(HOT_ROWS, int(rows * HOT_SHARE))
+    every = max(1, limit // HOT_SEEN)
+    if rows <= limit:
+        return None
+    some = docs.filter(F.pmod(F.xxhash64("id"), F.lit(every)) == 0)
+    return _signatures(some, width, p, q).groupBy("sig").agg(F.count("*").alias("n")).filter(F.col("n") >= HOT_SEEN).select("sig", F.ceil(F.col("n") * every / (limit / 8)).cast("int").alias("parts"))
+
+
+def _dealt(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """Rows (sig, id) with the part of the signature that they belong to and whether it is hot."""
+    if hot is None:
+        return rows.withColumns({"part": F.lit(0), "hot": F.lit(False)})
+    met = rows.join(small_or_shuffled(hot), "sig", "left")
+    several = F.coalesce(F.col("parts") > 1, F.lit(False))
+    return met.select("sig", "id", F.when(several, F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).otherwise(F.lit(0)).alias("part"), several.alias("hot"))
+
+
+def _shared(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """The rows (sig, id) whose signature isn't theirs alone."""
+    counted = _dealt(rows, hot).withColumn("n", F.count("*").over(Window.partitionBy("sig", "part")))
+    return counted.filter("n > 1 or hot").select("sig", "id")
+
+
+def _chained(shared: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """Rows (sig, id, before, first): members of each signature with the one before and the first, hot signatures in parts
+    whose first members have the signature's smallest member before them.  Signatures with a single member are left out."""
+    rows = _dealt(shared, hot)
+    by = Window.partitionBy("sig", "part")
+    order = by.orderBy("id")
+    rows = rows.withColumns({"before": F.lag("id").over(order), "first": F.first("id").over(order), "n": F.count("*").over(by)}).filter("n > 1 or hot")
+    if hot is None:
+        return rows.select("sig", "id", "before", "first")
+    least = rows.filter("hot and before is null").groupBy("sig").agg(F.min("id").alias("least"))
+    rows = rows.join(small_or_shuffled(least), "sig", "left")
+    tied = F.when(F.col("before").isNull() & (F.col("least") < F.col("id")), F.col("least"))
+    return rows.select("sig", "id", F.coalesce("before", tied).alias("before"), "first")
 
 
 def link(docs: DataFrame, width: int = 5, p: int = 4, q: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,44 +293,50 @@ def link(docs: DataFrame, width: int = 5, p: int = 4, q: int = 5, id_col: str =
 
     Two documents link when the Jaccard similarity of their sets is at least p / q.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sizes = written(_digests(docs, width), "set-digests")
+    docs = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    scratch = Scratch(docs.sparkSession)
+    sizes = scratch.written(_digests(docs, width), "set-digests")
     known = sizes.filter("n > 0 and id is not null")
-    groups = written(known.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1"), "equal-sets")
+    groups = scratch.written(known.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1"), "equal-sets")
     # copies of an equal set, each with the smallest id among them
-    moved = written(spread_join(known.select("id", "h1", "h2"), groups, ["h1", "h2"], "copies", F.xxhash64("id"), inner=True).filter("id <> rep").select("id", "rep").distinct(), "copies")
-    by_sig = Window.partitionBy("sig")
-    shared = _signatures(docs.filter("id is not null"), width, p, q).withColumn("n", F.count("*").over(by_sig)).filter("n > 1").drop("n")
-    shared = written(shared, "shared-signatures")
+    moved = scratch.written(spread_join(known.select("id", "h1", "h2"), groups, ["h1", "h2"], "copies", F.xxhash64("id"), inner=True).filter("id <> rep").select("id", "rep").distinct(), "copies")
     # a copy stands for its representative in all that follows, unless its id has other rows too: those ids are tied by edges
     several = known.groupBy("id").agg(F.count("*").alias("rows")).filter("rows > 1").select("id")
-    ties = written(moved.join(several, "id", "left_semi"), "tied-copies")
-    stand = written(moved.join(small_or_shuffled(ties.select("id").distinct()), "id", "left_anti"), "stand-ins")
-    shared = shared.join(small_or_shuffled(stand), "id", "left").select("sig", F.coalesce("rep", "id").alias("id")).distinct()
-    order = by_sig.orderBy("id")
-    chained = shared.withColumns({"before": F.lag("id").over(order), "first": F.first("id").over(order), "n": F.count("*").over(by_sig)})
-    chained = written(chained.filter("n > 1").drop("n"), "chained-signatures")
+    ties = scratch.written(moved.join(several, "id", "left_semi"), "tied-copies")
+    stand = scratch.written(moved.join(small_or_shuffled(ties.select("id").distinct()), "id", "left_anti"), "stand-ins")
+    senders = docs.filter("id is not null")
+    hot = _hot(senders, known.count(), width, p, q)
+    if hot is not None:
+        hot = scratch.written(hot, "hot-signatures")
+    shared = scratch.written(_shared(_signatures(senders, width, p, q), hot), "shared-signatures")
+    of_reps = shared.join(small_or_shuffled(stand), "id", "left").select("sig", F.coalesce("rep", "id").alias("id")).distinct()
+    chained = scratch.written(_chained(of_reps, hot), "chained-signatures")
+    scratch.drop(shared)
     marks = _marks(sizes)
-    partners = chained.filter("before is not null").select(F.explode(F.array_distinct(F.array("before", "first"))).alias("a"), F.col("id").alias("b"))
+    partners = chained.filter("before is not null").select(F.explode(F.array_distinct(F.array("before", "first"))).alias("a"), F.col("id").alias("b")).filter("a <> b")
     pairs = partners.groupBy("a", "b").agg(F.count("*").alias("shared"))
     for end in "ab":
         pairs = pairs.join(marks.toDF(end, *[f"{end}_{c}" for c in marks.columns[1:]]), end)
-    pairs = written(pairs.filter(_possible("a_", "b_", p, q)).select("a", "b", "shared").distinct(), "chained-pairs")
+    pairs = scratch.written(pairs.filter(_possible("a_", "b_", p, q)).select("a", "b", "shared"), "chained-pairs")
     edges, of = ties.select(F.col("rep").alias("a"), F.col("id").alias("b")), None
     for k in range(ROUNDS):
         open_pairs = pairs if of is None else _apart(pairs, of)
-        best = open_pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
-        found = _verified(written(best, "best-pairs"), docs, width, p, q)
-        of = written(components(edges.unionByName(found) if of is None else found, of), "components")
+        best = scratch.written(open_pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b"), "best-pairs")
+        found = _verified(best, docs, width, p, q, scratch)
+        now = scratch.written(components(edges.unionByName(found) if of is None else found, of, scratch), "components")
         if k + 1 < ROUNDS:
-            pairs = written(open_pairs.join(best, ["a", "b"], "left_anti"), "open-pairs")
-    rest = written(_unconnected(chained.select("sig", "id"), of, marks, p, q), "unconnected")
+            pairs = scratch.written(open_pairs.join(best, ["a", "b"], "left_anti"), "open-pairs")
+            scratch.drop(but=(sizes, groups, stand, chained, pairs, now))
+        of = now
+    rest = scratch.written(_unconnected(chained.select("sig", "id"), of, marks, p, q, scratch), "unconnected")
     if rest.limit(1).count():
-        of = written(components(_verified(rest, docs, width, p, q), of), "components")
+        of = scratch.written(components(_verified(rest, docs, width, p, q, scratch), of, scratch), "components")
     # every stand-in has its representative's component
     named = groups.groupBy("rep").agg(F.sum("copies").alias("copies")).join(of.toDF("rep", "component"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"), "copies")
     one = spread_join(stand, named, ["rep"], "copies", F.xxhash64("id"), inner=True).select("id", "component").unionByName(of)
-    out = sizes.join(small_or_shuffled(written(one, "labels")), "id", "left")
+    labels = scratch.written(one, "labels")
+    out = sizes.join(small_or_shuffled(labels), "id", "left")
+    scratch.drop(but=(sizes, labels))
     alone = F.when(F.col("n") > 0, F.col("component"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce(alone, "id").alias("component_id"))
 
@@ -278,7 +347,7 @@ def _apart(pairs: DataFrame, of: DataFrame) -> DataFrame:
     return out.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(pairs.columns)
 
 
-def _unconnected(rows: DataFrame, of: DataFrame, marks: DataFrame, p: int, q: int) -> DataFrame:
+def _unconnected(rows: DataFrame, of: DataFrame, marks: DataFrame, p: int, q: int, scratch: Scratch) -> DataFrame:
     """Every pair (a, b), a < b, of rows (sig, id) with a signature in common and no connection yet
     whose sizes and sketches leave it possible that they link.
 
@@ -287,9 +356,10 @@ def _unconnected(rows: DataFrame, of: DataFrame, marks: DataFrame, p: int, q: in
     """
     sizes = of.groupBy("component").agg(F.count("*").alias("members"))
     own = rows.join(of, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component")).join(sizes, "component", "left").select("sig", "id", "component", F.coalesce("members", F.lit(1)).alias("members"))
-    own = written(own, "signature-components")
+    own = scratch.written(own, "signature-components")
     main = own.groupBy("sig").agg(F.max(F.struct("members", "component"))["component"].alias("main"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    open_rows = written(own.join(main.select("sig", "main"), "sig").select("sig", "id", "component", "main").join(marks, "id"), "open-signatures")
+    open_rows = scratch.written(own.join(main.select("sig", "main"), "sig").select("sig", "id", "component", "main").join(marks, "id"), "open-signatures")
+    scratch.drop(own)
     few = open_rows.filter("component <> main").drop("main")
     few = few.toDF(*[c if c == "sig" else f"x_{c}" for c in few.columns])
     others = open_rows.drop("main").withColumnRenamed("sig", "y_sig")
