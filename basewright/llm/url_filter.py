@@ -6,19 +6,20 @@ the orders 0 to ``ORDER`` after Witten and Bell: a context seen N times with T
 different successors gives weight N / (N + T) to its own counts and the rest to
 the context without its first character; a context never seen passes everything
 on.  A URL's score is the mean over its characters of the two models'
-log-likelihood difference; the threshold is calibrated to the least balanced
-error over the labelled URLs, the smallest such.
+log-likelihood difference.  The threshold is calibrated to the least balanced
+error over the labelled URLs, the smallest such, each scored by models counted without
+its own fold (one of ``FOLDS`` by hash of host and path); the verdict takes models of all of them.
 
 Characters are folded to lower-case letters, digits, ``./-`` and one class for
-all others, so a score table has BASE ** (ORDER + 1) cells (about 74,000)
-however large the corpus is.  It goes to the tasks as one scalar subquery of that
-proven size; scoring indexes it character by character, without a shuffle.  Only
-DataFrame functions are used.
+all others, so a model's table has BASE ** (ORDER + 1) cells (about 74,000)
+however large the corpus is.  The tables go to the tasks as one scalar subquery of that
+proven size; scoring indexes it character by character, without a shuffle, in time linear in the
+URL's length.  Only DataFrame functions are used.
 
 Cases: a null URL or one without ``://`` has empty host and path, meets no rule
 and is judged as an empty text.  Where either class has no labelled URL, what no
-rule decides is allowed.  Repeated rows are counted and judged each; an empty
-table gives no rows.
+rule decides is allowed.  Repeated rows are counted and judged each; URLs of any length are read whole;
+a null id stays null; columns other than id and URL aren't read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "e
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789./-~"
 BASE = len(ALPHABET) + 2
 ORDER = 2
+CELLS = BASE ** (ORDER + 1)
+FOLDS = 3
 #: Scores are whole numbers of 1 / SCALE nats, so that sums don't depend on their order; means are cut to STEP of them.
 SCALE, STEP = 10_000, 100
 
@@ -59,37 +62,34 @@ def matching_rule(host: F.Column, path: F.Column, rules: dict[str, str]) -> F.Co
 def grams(text: F.Column) -> F.Column:
     """Code of the (ORDER + 1)-gram that ends at each character of a text and at its end."""
     folded = F.regexp_replace(F.lower(text), r"(?s)[^a-z0-9./\-]", "~")
-    n = F.length(folded)
-    symbol = lambda i: F.when(i < 1, 0).when(i > n, 1).otherwise(F.instr(F.lit(ALPHABET), folded.substr(i, F.lit(1))) + 1)
-
-    def code(i):
-        out = symbol(i - ORDER)
-        for k in range(ORDER - 1, -1, -1):
-            out = out * BASE + symbol(i - k)
-        return out.cast("int")
-
-    return F.transform(F.sequence(F.lit(1), n + 1), code)
+    symbols = F.transform(F.filter(F.split(folded, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c) + 1)
+    padded = F.concat(F.array(*[F.lit(0)] * ORDER), symbols, F.array(F.lit(1)))
+    n, out = F.size(padded) - ORDER, padded
+    for k in range(1, ORDER + 1):
+        # each place takes up the symbol k places on; shifted arrays are walked together, never indexed
+        out = F.zip_with(out, F.slice(padded, k + 1, F.size(padded)), lambda code, c: code * BASE + c)
+    return F.slice(out, 1, n)
 
 
 def score_table(counted: DataFrame) -> DataFrame:
-    """Rows (gram, score) from the accepted and rejected counts of all grams that occur; at most BASE ** (ORDER + 1) rows."""
+    """Rows (model, gram, score) from the accepted and rejected counts of all grams that occur; at most BASE ** (ORDER + 1) rows a model."""
     table = None
     for order in range(ORDER + 1):
-        own = counted.groupBy((F.col("gram") % BASE ** (order + 1)).alias("g")).agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"))
+        own = counted.groupBy("model", (F.col("gram") % BASE ** (order + 1)).alias("g")).agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"))
         own = own.withColumn("context", F.floor(F.col("g") / BASE))
-        per = own.groupBy("context").agg(*[f(F.col(c)).alias(f"{c}_{n}") for c in ("accepted", "rejected") for n, f in (("n", F.sum), ("t", lambda x: F.sum((x > 0).cast("long"))))])
-        own = own.join(per, "context")
+        per = own.groupBy("model", "context").agg(*[f(F.col(c)).alias(f"{c}_{n}") for c in ("accepted", "rejected") for n, f in (("n", F.sum), ("t", lambda x: F.sum((x > 0).cast("long"))))])
+        own = own.join(per, ["model", "context"])
         if table is None:
             own = own.withColumn("a", F.lit(1.0 / BASE)).withColumn("r", F.lit(1.0 / BASE))
         else:
-            own = own.withColumn("short", F.col("g") % BASE**order).join(table.withColumnRenamed("g", "short"), "short")
+            own = own.withColumn("short", F.col("g") % BASE**order).join(table.withColumnRenamed("g", "short"), ["model", "short"])
 
         def mixed(c, shorter):
             n, t = F.col(f"{c}_n"), F.col(f"{c}_t")
             return F.when(n == 0, F.col(shorter)).otherwise((F.col(c) + t * F.col(shorter)) / (n + t))
 
-        table = own.select("g", mixed("accepted", "a").alias("a"), mixed("rejected", "r").alias("r"))
-    return table.select(F.col("g").alias("gram"), F.round((F.log("a") - F.log("r")) * SCALE).cast("long").alias("score"))
+        table = own.select("model", "g", mixed("accepted", "a").alias("a"), mixed("rejected", "r").alias("r"))
+    return table.select("model", F.col("g").alias("gram"), F.round((F.log("a") - F.log("r")) * SCALE).cast("long").alias("score"))
 
 
 def threshold(labelled: DataFrame) -> DataFrame:
@@ -116,15 +116,23 @@ def judge(pages: DataFrame, rules: dict[str, str] | None = None, id_col: str = "
     for rule, what in rules.items():
         kind = F.when(F.col("rule") == rule, F.lit(what)).otherwise(kind)
     rows = rows.withColumn("kind", kind)
-    gram = grams(F.concat("host", "path"))
-    of = lambda what: F.sum((F.coalesce(F.col("kind") == what, F.lit(False))).cast("long"))
-    counted = written(rows.select("kind", F.explode(gram).alias("gram")).groupBy("gram").agg(of("allow").alias("accepted"), of("block").alias("rejected")), "url-grams")
-    scores = written(score_table(counted), "url-scores")
-    cells = pages.sparkSession.range(BASE ** (ORDER + 1)).withColumnRenamed("id", "gram").join(scores, "gram", "left")
-    dense = cells.agg(F.transform(F.array_sort(F.collect_list(F.struct("gram", F.coalesce("score", F.lit(0)).alias("score")))), lambda x: x["score"]).alias("scores"))
-    total = F.aggregate(gram, F.lit(0).cast("long"), lambda acc, g: acc + F.element_at(F.col("scores"), g + 1))
-    size = F.length(F.concat("host", "path")) + 1
-    scored = rows.withColumn("scores", dense.scalar()).withColumn("mean", F.floor(total / size / STEP)).drop("scores")
-    cut = written(threshold(scored.filter("kind is not null")), "url-cut")
+    text = F.concat("host", "path")
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64("host", "path"), F.lit(FOLDS)).cast("int"))
+    gram = grams(text)
+    of = lambda what: F.sum((F.col("kind") == what).cast("long"))
+    counted = rows.filter("kind is not null").select("kind", "fold", F.explode(gram).alias("gram")).groupBy("fold", "gram").agg(of("allow").alias("accepted"), of("block").alias("rejected"))
+    counted = written(counted, "url-grams")
+    # model k lacks fold k; the last one has all
+    models = F.array(*[F.when(F.col("fold") != k, F.lit(k)) for k in range(FOLDS)], F.lit(FOLDS))
+    scores = written(score_table(counted.withColumn("model", F.explode(F.array_compact(models)))), "url-scores")
+    cells = pages.sparkSession.range((FOLDS + 1) * CELLS).withColumnRenamed("id", "cell")
+    held = scores.select((F.col("model") * CELLS + F.col("gram")).alias("cell"), "score")
+    dense = cells.join(held, "cell", "left").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", F.coalesce("score", F.lit(0)).alias("score")))), lambda x: x["score"]).alias("scores"))
+
+    def mean(model: F.Column) -> F.Column:
+        total = F.aggregate(gram, F.lit(0).cast("long"), lambda acc, g: acc + F.element_at(F.col("scores"), g + 1 + F.col("first")))
+        return rows.withColumns({"scores": dense.scalar(), "first": (model * CELLS).cast("int")}).withColumn("mean", F.floor(total / (F.length(text) + 1) / STEP)).drop("scores", "first")
+
+    cut = written(threshold(mean(F.col("fold")).filter("kind is not null")), "url-cut")
     verdict = F.coalesce("kind", F.when(F.col("mean") < cut.scalar(), F.lit("block")).otherwise(F.lit("allow")))
-    return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "mean")
+    return mean(F.lit(FOLDS)).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "mean")
