@@ -30,9 +30,10 @@ def op4_substring_dedup(spark, sf_dir):
 
 
 def op5_warc(spark, sf_dir):
-    from .warc import index, read_all, write
+    from .warc import fetch, index, write
 
-    return read_all(index(write(read_table(spark, sf_dir, "pages")))).drop("url")
+    captures = write(read_table(spark, sf_dir, "pages"))
+    return fetch(index(captures), captures.select("key", "page_id")).drop("url")
 
 
 def op6_token_file(spark, sf_dir):
