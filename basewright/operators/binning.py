@@ -6,6 +6,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import written
+from .intervals import BUCKET, range_join
+
 K = 21
 #: One k-mer in so many is kept in a window's sketch.
 SKETCH = 8
@@ -50,7 +53,9 @@ def number_groups(groups: DataFrame, min_size: int, min_ident: float) -> DataFra
 
 def median_cov(frame: DataFrame, ranges: DataFrame) -> DataFrame:
     """Rows (region_id, st, end, median): median coverage in each closed range, cut off; 0 without rows."""
-    met = ranges.join(frame.select("region_id", "pos", "cov"), "region_id").filter("pos between st and end")
+    ranges = ranges.select("region_id", "st", "end").distinct()
+    points = frame.select("region_id", "pos", "cov").withColumn("__pos", F.col("pos"))
+    met = range_join(points, ranges.select("region_id", "st", "end"), ["region_id"], ("pos", "__pos"), ("st", "end"))
     got = met.groupBy("region_id", "st", "end").agg(F.floor(F.median("cov")).cast("long").alias("median"))
     return ranges.join(got, ["region_id", "st", "end"], "left").withColumn("median", F.coalesce("median", F.lit(0)))
 
@@ -58,39 +63,45 @@ def median_cov(frame: DataFrame, ranges: DataFrame) -> DataFrame:
 def close_gaps(frame: DataFrame, bins: DataFrame, min_size: int) -> DataFrame:
     """Gaps of at most min_size between neighbouring bins go to the one whose median coverage is nearer the gap's; ties to the right.
 
-    A start that moves counts in the next pair, so a region's few bins go through one group with
-    the coverage of the span they cover.
+    A start that moves counts in the next pair: it then is the end of the bin before.  So a pair needs the medians of
+    the gap, of either bin and of the left bin from the end before it on, all made in one distributed pass;
+    only the bins themselves (few in a region) meet in one group.
     """
-    spans = bins.groupBy("region_id").agg(F.min("st").alias("lo"), F.max("end").alias("hi"))
-    cov = frame.join(spans, "region_id").filter("pos between lo and hi").select("region_id", "pos", F.col("cov").cast("double").alias("cov"))
-
-    def close(own: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        own, rows = own.sort_values("st"), rows.sort_values("pos")
-        pos, values = rows["pos"].to_numpy(), rows["cov"].to_numpy()
-
-        def median(a: int, b: int) -> int:
-            part = values[pos.searchsorted(a, "left") : pos.searchsorted(b, "right")]
-            return int(pd.Series(part).median()) if len(part) else 0
-
-        out = own[["st", "end"]].to_numpy().tolist()
-        for left, right in zip(out, out[1:]):
-            if right[0] - left[1] <= min_size:
-                gap = median(left[1], right[0])
-                if abs(median(*left) - gap) < abs(median(*right) - gap):
-                    left[1] = right[0]
+    w = Window.partitionBy("region_id").orderBy("st", "bin")
+    rows = bins.select("region_id", "bin", F.col("st").cast("long").alias("st"), F.col("end").cast("long").alias("end")).withColumns({"b_end": F.lag("end").over(w), "n_st": F.lead("st").over(w), "nth": F.row_number().over(w)})
+    kinds = {"own": ("st", "end"), "longer": ("b_end", "end"), "gap": ("end", "n_st")}
+    ranges = rows.select("region_id", F.explode(F.array(*[F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in kinds.values()])).alias("r")).select("region_id", F.col("r.a").alias("st"), F.col("r.b").alias("end")).filter("st is not null and end is not null")
+    medians = written(median_cov(frame, ranges), "gap-medians")
+    for k, (a, b) in kinds.items():
+        named = medians.select(F.col("region_id").alias("__id"), F.col("st").alias("__a"), F.col("end").alias("__b"), F.col("median").alias(k))
+        rows = rows.join(named, (F.col("region_id") == F.col("__id")) & (F.col(a) == F.col("__a")) & (F.col(b) == F.col("__b")), "left").drop("__id", "__a", "__b")
+
+    def close(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("nth")
+        st, end, moved = own["st"].tolist(), own["end"].tolist(), False
+        for k in range(len(own) - 1):
+            left, right, now = own.iloc[k], own.iloc[k + 1], moved
+            moved = False
+            if right["st"] - left["end"] <= min_size:
+                at_left = left["longer"] if now else left["own"]
+                if abs(at_left - left["gap"]) < abs(right["own"] - left["gap"]):
+                    end[k] = st[k + 1]
                 else:
-                    right[0] = left[1]
-        return own.assign(st=[x[0] for x in out], end=[x[1] for x in out])[["region_id", "bin", "st", "end"]]
+                    st[k + 1], moved = end[k], True
+        return own.assign(st=st, end=end)[["region_id", "bin", "st", "end"]]
 
     kind = dict(bins.dtypes)["region_id"]
-    return bins.groupBy("region_id").cogroup(cov.groupBy("region_id")).applyInPandas(close, f"region_id {kind}, bin long, st long, end long")
+    return rows.groupBy("region_id").applyInPandas(close, f"region_id {kind}, bin long, st long, end long")
 
 
 def assign_bins(frame: DataFrame, bins: DataFrame) -> DataFrame:
     """``frame`` with ``bin``: the greatest bin whose [st - 1, end] holds the position, else 0.
 
-    Bins are broadcast only as Spark's own size estimate allows; the equi-key is the region.
+    Bins are spread over pieces of the axis; a position meets the list of its piece's bins.
     """
-    own = bins.select("region_id", F.col("bin").alias("__bin"), "st", "end")
-    hit = frame.select("region_id", "pos").join(own, "region_id").filter("pos + 1 >= st and pos <= end").groupBy("region_id", "pos").agg(F.max("__bin").alias("bin"))
-    return frame.drop("bin").join(hit, ["region_id", "pos"], "left").withColumn("bin", F.coalesce("bin", F.lit(0)).cast("long"))
+    low, high = F.col("st") - 1, F.col("end")
+    own = bins.select("region_id", F.struct(F.col("bin").alias("bin"), low.alias("st"), high.alias("end")).alias("b"), F.explode(F.sequence(F.floor(low / BUCKET), F.floor(F.greatest(low, high) / BUCKET))).alias("__piece"))
+    lists = own.groupBy("region_id", "__piece").agg(F.collect_list("b").alias("__bins"))
+    met = frame.drop("bin").withColumn("__piece", F.floor(F.col("pos") / BUCKET)).join(lists, ["region_id", "__piece"], "left")
+    hit = F.transform("__bins", lambda b: F.when((F.col("pos") >= b["st"]) & (F.col("pos") <= b["end"]), b["bin"]))
+    return met.withColumn("bin", F.coalesce(F.array_max(hit), F.lit(0)).cast("long")).drop("__piece", "__bins")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
-from .intervals import island
+from .intervals import position_runs
 from .peaks import find_peaks
 
 PART = ["region_id", "bin"]
@@ -21,13 +21,12 @@ def signals(frame: DataFrame, cfg: Config, part: list[str] | None = None) -> Dat
     """
     c, m, i, s, q = cfg.cov, cfg.mismatch, cfg.indel, cfg.softclip, cfg.mapq
     both = lambda z, drop: (z, z, drop)
-    return find_peaks(frame, {"cov": (c.n_zscores_low, c.n_zscores_high, False), "mismatch": both(m.n_zscores_high, True), "indel": both(i.n_zscores_high, True), "softclip": both(s.n_zscores_high, True), "mapq": both(q.n_zscores_low, False)}, part or PART)
+    return find_peaks(frame, {"cov": (c.n_zscores_low, c.n_zscores_high, False), "mismatch": both(m.n_zscores_high, True), "indel": both(i.n_zscores_high, True), "softclip": both(s.n_zscores_high, True), "mapq": both(q.n_zscores_low, False)}, part or PART, "cov")
 
 
-def classify_bases(frame: DataFrame, cfg: Config, part: list[str] | None = None) -> DataFrame:
-    """Adds ``status``.  Comparisons of ratios are free of divisions, so no coverage is a special case."""
-    part = part or PART
-    base = F.lit(cfg.cov.baseline) if cfg.cov.baseline is not None else F.floor(F.median("cov").over(Window.partitionBy(*part)))
+def classify_bases(frame: DataFrame, cfg: Config) -> DataFrame:
+    """Adds ``status`` to a frame of ``signals``.  Comparisons of ratios are free of divisions, so no coverage is a special case."""
+    base = F.lit(cfg.cov.baseline) if cfg.cov.baseline is not None else F.floor("__whole")
     frame = frame.withColumn("__base", base)
     cov, low_mapq = F.col("cov"), F.col("mapq_peak") == "low"
     most = lambda ratio: F.floor(F.col("__base") * F.lit(float(ratio)))
@@ -40,7 +39,7 @@ def classify_bases(frame: DataFrame, cfg: Config, part: list[str] | None = None)
         F.when(share("mismatch", cfg.mismatch.ratio_het), "low_quality").when(collapse, "collapse").when(misjoin, "misjoin").when(false_dupe, "false_dupe")
         .when(share("indel", cfg.indel.ratio_indel), "indel").when(share("softclip", cfg.softclip.ratio_softclip), "softclip").otherwise("good")
     )
-    return frame.withColumn("status", status).drop("__base")
+    return frame.withColumn("status", status).drop("__base", "__whole")
 
 
 def status_intervals(frame: DataFrame, part: list[str] | None = None) -> DataFrame:
@@ -50,43 +49,46 @@ def status_intervals(frame: DataFrame, part: list[str] | None = None) -> DataFra
     first); a run ends where contiguity or status changes, so a segment's first base stands alone.
     The end is the last position plus one, coverage the mean, cut off.
     """
-    part = part or PART
-    w = Window.partitionBy(*part).orderBy("pos")
-    near = F.col("pos") - F.lag("pos", 1, 0).over(w) <= 1
-    marked = frame.withColumn("__near", near)
-    change = (F.col("__near") != F.lag("__near").over(w)) | (F.col("status") != F.lag("status").over(w))
-    marked = marked.withColumn("__change", F.coalesce(change, F.lit(True))).withColumn("__run", island(part, ["pos"], F.col("__change")))
-    return marked.groupBy(*part, "__run").agg(F.min("pos").alias("st"), (F.max("pos") + 1).alias("end"), F.floor(F.avg("cov")).cast("long").alias("cov"), F.first("status").alias("status")).drop("__run")
+    runs = position_runs(frame, part or PART, "status", True, {"__sum": (F.sum("cov"), F.sum), "__n": (F.count("*"), F.sum)})
+    return runs.select(*(part or PART), "st", (F.col("end") + 1).alias("end"), F.floor(F.col("__sum") / F.col("__n")).cast("long").alias("cov"), "status")
 
 
 def above_runs(frame: DataFrame, level: str, part: list[str] | None = None) -> DataFrame:
     """Rows (part, above_st, above_end): runs with cov >= the level column that hold the part's first or last position."""
     part = part or PART
-    w = Window.partitionBy(*part).orderBy("pos")
-    every = Window.partitionBy(*part)
-    marked = frame.withColumn("__above", F.col("cov") >= F.col(level)).withColumns({"__low": F.min("pos").over(every), "__high": F.max("pos").over(every)})
-    marked = marked.withColumn("__change", F.coalesce(F.col("__above") != F.lag("__above").over(w), F.lit(True)))
-    marked = marked.withColumn("__run", island(part, ["pos"], F.col("__change"))).filter("__above")
-    runs = marked.groupBy(*part, "__run").agg(F.min("pos").alias("above_st"), F.max("pos").alias("above_end"), F.first("__low").alias("low"), F.first("__high").alias("high"))
-    return runs.filter("above_st = low or above_end = high").drop("__run", "low", "high")
+    edges = Window.partitionBy(*part)
+    runs = position_runs(frame.withColumn("__above", F.col("cov") >= F.col(level)), part, "__above", False, {})
+    runs = runs.withColumns({"__low": F.min("st").over(edges), "__high": F.max("end").over(edges)}).filter("__above and (st = __low or end = __high)")
+    return runs.select(*part, F.col("st").alias("above_st"), F.col("end").alias("above_end"))
+
+
+#: Good rows whose statistics one task makes at a time.
+CHUNK = 1 << 16
 
 
 def rolling_stats(frame: DataFrame, window: int, part: list[str] | None = None) -> DataFrame:
     """Rows (part, pos, roll_median, roll_stdev): centred over the good rows of a part.
 
-    A running median has no built-in of less than window cost a row, so each part's good
-    rows go through one Arrow group; a part is at most one tile of the genome.
+    A running median has no built-in of less than window cost a row.  Good rows are numbered (by tiles of the
+    axis, whose counts are summed up over a part) and cut into chunks with copies of half a window on
+    either side; each chunk is one Arrow group of bounded length.
     """
     part = part or PART
     kinds = dict(frame.dtypes)
-    good = frame.filter("status = 'good'").select(*part, "pos", F.col("cov").cast("double").alias("cov"))
+    good = frame.filter("status = 'good'").select(*part, "pos", F.col("cov").cast("double").alias("cov"), F.floor(F.col("pos") / CHUNK).alias("__tile"))
+    counts = good.groupBy(*part, "__tile").agg(F.count("*").alias("n"))
+    before = counts.select(*part, "__tile", F.coalesce(F.sum("n").over(Window.partitionBy(*part).orderBy("__tile").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    numbered = good.join(before, [*part, "__tile"]).withColumn("__nth", F.col("__before") + F.row_number().over(Window.partitionBy(*part, "__tile").orderBy("pos")))
+    reach = window // 2 + 1
+    place = lambda d: F.floor((F.col("__nth") + d) / CHUNK)
+    copies = numbered.withColumn("__own", place(0)).withColumn("__chunk", F.explode(F.sequence(place(-reach), place(reach))))
 
     def roll(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos")
+        rows = rows.sort_values("__nth")
         r = rows["cov"].rolling(window, center=True, min_periods=1)
-        return rows[[*part, "pos"]].assign(roll_median=r.median(), roll_stdev=r.std())
+        return rows.assign(roll_median=r.median(), roll_stdev=r.std())[rows["__own"] == rows["__chunk"]][[*part, "pos", "roll_median", "roll_stdev"]]
 
-    return good.groupBy(*part).applyInPandas(roll, ", ".join(f"`{c}` {kinds[c]}" for c in [*part, "pos"]) + ", roll_median double, roll_stdev double")
+    return copies.select(*part, "pos", "cov", "__nth", "__own", "__chunk").groupBy(*part, "__chunk").applyInPandas(roll, ", ".join(f"`{c}` {kinds[c]}" for c in [*part, "pos"]) + ", roll_median double, roll_stdev double")
 
 
 def bin_stats(frame: DataFrame, window: int, part: list[str] | None = None) -> DataFrame:

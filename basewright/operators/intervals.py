@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET = 1 << 20
+#: Length of the pieces of the axis that ranges are spread over.
+BUCKET = 1 << 17
+#: Positions that are windows of their own where runs are looked for.
+TILE = 1 << 16
 
 
 def range_join(left: DataFrame, right: DataFrame, keys: list[str], left_range: tuple[str, str], right_range: tuple[str, str], how: str = "inner", bucket: int = BUCKET) -> DataFrame:
@@ -23,9 +26,9 @@ def range_join(left: DataFrame, right: DataFrame, keys: list[str], left_range: t
     first = F.floor(F.greatest(a, c) / bucket) == F.col("__bucket")
     overlap = (F.col(a) <= F.col(d)) & (F.col(b) >= F.col(c))
     if how == "left_semi":
-        tagged = left.withColumn("__row", F.monotonically_increasing_id())
-        hit = range_join(tagged.select("__row", *keys, a, b), right.select(*keys, c, d), keys, left_range, right_range, bucket=bucket).select("__row").distinct()
-        return tagged.join(hit, "__row", "left_semi").drop("__row")
+        # whether a range is hit depends on the range alone
+        hit = range_join(left.select(*keys, a, b).distinct(), right.select(*keys, c, d), keys, left_range, right_range, bucket=bucket).select(*keys, a, b)
+        return left.join(hit, [*keys, a, b], "left_semi")
     x, y = left.withColumn("__bucket", cells(a, b)), right.withColumn("__bucket", cells(c, d))
     return x.join(y, [*keys, "__bucket"]).filter(first & overlap).drop("__bucket")
 
@@ -39,6 +42,31 @@ def island(part: list[str], order: list, starts: Column) -> Column:
     return F.sum(starts.cast("int")).over(Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
 
 
+def position_runs(frame: DataFrame, part: list[str], key: str, contiguous: bool, aggs: dict[str, tuple[Column, Callable[[Column], Column]]]) -> DataFrame:
+    """Rows (part, st, end, key, aggs): maximal runs of rows of equal ``key`` in the order of ``pos``; end is the last position.
+
+    ``contiguous``: a row is near if its position is at most one more than the one before (0 before the first),
+    and a run also ends where nearness changes.  ``aggs``: for each further column how it is made from rows, and
+    how from parts of a run.
+
+    Runs are found within tiles first; only these few rows are put in order over a whole part.
+    """
+    tiled = frame.withColumn("__tile", F.floor(F.col("pos") / TILE))
+    w = Window.partitionBy(*part, "__tile").orderBy("pos")
+    before = F.lag("pos").over(w)
+    marked = tiled.withColumn("__near", F.col("pos") - before <= 1 if contiguous else F.when(before.isNotNull(), F.lit(True)))
+    # the first row of a tile can't see the one before it, so it is a run of its own for now
+    change = F.lag("__near").over(w).isNull() | (F.col("__near") != F.lag("__near").over(w)) | ~F.col(key).eqNullSafe(F.lag(key).over(w))
+    marked = marked.withColumn("__run", island([*part, "__tile"], ["pos"], change))
+    local = marked.groupBy(*part, "__tile", "__run").agg(F.min("pos").alias("st"), F.max("pos").alias("end"), F.first(key).alias(key), F.first("__near").alias("__near"), *[f.alias(c) for c, (f, _) in aggs.items()])
+    order = Window.partitionBy(*part).orderBy("st")
+    near = F.coalesce("__near", F.col("st") - F.lag("end", 1, 0).over(order) <= 1) if contiguous else F.lit(True)
+    joined = local.withColumn("__near", near)
+    change = F.lag("st").over(order).isNull() | (F.col("__near") != F.lag("__near").over(order)) | ~F.col(key).eqNullSafe(F.lag(key).over(order))
+    joined = joined.withColumn("__whole", island(part, ["st"], change))
+    return joined.groupBy(*part, "__whole").agg(F.min("st").alias("st"), F.max("end").alias("end"), F.first(key).alias(key), *[g(F.col(c)).alias(c) for c, (_, g) in aggs.items()]).drop("__whole")
+
+
 def merge_intervals(frame: DataFrame, part: list[str], distance: int, joins: Callable[[Callable[[str], Column]], Column] | None = None, fold: dict[str, Callable[[Column, Column], Column]] | None = None) -> DataFrame:
     """Joins neighbours (st, end) in ascending order of st (then ``ord``) whose gap is at most ``distance``.
 
@@ -89,10 +117,11 @@ def subtract_pieces(st: Column, end: Column, others: Column) -> Column:
 
 def subtract(frame: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
     """``frame`` (with st, end) without the parts that ``others`` (keys, st, end) cover; untouched intervals stay as they are."""
-    tagged = frame.withColumn("__row", F.monotonically_increasing_id())
     cut = others.select(*keys, F.col("st").alias("__st"), F.col("end").alias("__end"))
-    hit = range_join(tagged.select("__row", *keys, "st", "end"), cut, keys, ("st", "end"), ("__st", "__end")).groupBy("__row").agg(F.collect_list(F.struct(F.col("__st").alias("st"), F.col("__end").alias("end"))).alias("__cuts"))
-    met = tagged.join(hit, "__row", "left")
+    # what is cut off depends on the range alone, so no row needs a number of its own
+    met = range_join(frame.select(*keys, "st", "end").distinct(), cut, keys, ("st", "end"), ("__st", "__end"))
+    hit = met.groupBy(*keys, "st", "end").agg(F.collect_set(F.struct(F.col("__st").alias("st"), F.col("__end").alias("end"))).alias("__cuts"))
+    met = frame.join(hit, [*keys, "st", "end"], "left")
     pieces = F.when(F.col("__cuts").isNull(), F.array(F.struct(F.col("st").cast("long").alias("st"), F.col("end").cast("long").alias("end")))).otherwise(subtract_pieces(F.col("st"), F.col("end"), F.col("__cuts")))
     made = met.withColumn("__piece", F.explode(pieces))
     return made.select(*[F.col(f"__piece.{c}").alias(c) if c in ("st", "end") else F.col(c) for c in frame.columns])

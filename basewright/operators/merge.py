@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.status import GOOD, MERGEABLE, colour, known, over, stronger
+from ..shared import written
 from .intervals import island, merge_intervals, overlap_length, range_join, subtract
 from .repeats import with_largest_repeat
 
@@ -116,14 +117,16 @@ def merge_misassemblies(itvs: DataFrame, stats: DataFrame, above: DataFrame, cfg
     """All merge steps in order, from status intervals (region_id, chrom, bin, st, end, cov, status) to final ones."""
     w = Window.partitionBy("region_id").orderBy("st", "end", "bin")
     rows = itvs.withColumn("status", known(F.col("status"))).withColumn("ord", F.row_number().over(w).cast("long"))
-    rows = reclassify(rows, merge_bad(rows, cfg.general.bp_merge))
+    # each step reads its input more than once; written, the few intervals are made once and plans stay small
+    rows = written(rows, "status-intervals")
+    rows = written(reclassify(rows, merge_bad(rows, cfg.general.bp_merge)), "reclassified")
     if chunks is not None and cfg.repeat is not None:
-        rows = check_repeats(rows, chunks, cfg)
+        rows = written(check_repeats(rows, chunks, cfg), "repeats-checked")
     rows = rows.drop("own_status")
     if ignore is not None:
-        rows = subtract(rows, ignore, ["chrom"])
+        rows = written(subtract(rows, ignore, ["chrom"]), "subtracted")
     if cfg.general.ignore_boundaries:
-        rows = suppress_boundaries(rows, stats, lengths)
+        rows = written(suppress_boundaries(rows, stats, lengths), "suppressed")
     return collapse_runs(drop_small(merge_chunks(rows, above), cfg))
 
 

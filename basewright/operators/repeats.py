@@ -2,23 +2,40 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+BASE = 0xC2B2AE3D27D4EB4F
 KIND = "struct<repeat:string,sequence:string,prop:double>"
 
 
 def longest_repeat(seq: str) -> str:
-    """The longest substring that occurs at least twice (overlaps count), the greatest of equally long ones."""
+    """The longest substring that occurs at least twice (overlaps count), the greatest of equally long ones.
+
+    Bisection on the length; equal windows are found by rolling hashes and then compared, so time is
+    about n log n and memory a few numbers a character.
+    """
+    if len(seq) < 2:
+        return ""
+    codes = np.frombuffer(seq.encode("utf-32-le", "surrogatepass"), "<u4").astype("u8")
+    with np.errstate(over="ignore"):
+        mixed = (codes + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+        up = np.multiply.accumulate(np.concatenate([np.ones(1, "u8"), np.full(len(seq), BASE, "u8")]))
+        total = np.concatenate([np.zeros(1, "u8"), np.cumsum(mixed * up[:-1], dtype="u8")])
 
     def repeated(n: int) -> str:
-        seen, best = set(), ""
-        for i in range(len(seq) - n + 1):
-            x = seq[i : i + n]
-            if x in seen:
-                best = max(best, x)
-            seen.add(x)
+        with np.errstate(over="ignore"):
+            h = (total[n:] - total[:-n]) * up[::-1][n - 1 : len(seq)]  # every window's hash, shifted to one power
+        order = np.argsort(h, kind="stable")
+        same = np.flatnonzero(h[order[1:]] == h[order[:-1]])
+        best = ""
+        for a, b in zip(order[same].tolist(), order[same + 1].tolist()):
+            x = seq[a : a + n]
+            if x > best and x == seq[b : b + n]:
+                best = x
         return best
 
     low, high, best = 0, len(seq) - 1, ""
@@ -28,7 +45,7 @@ def longest_repeat(seq: str) -> str:
             low, best = mid, x
         else:
             high = mid - 1
-    return best if len(best) == low else repeated(low) if low else ""
+    return best
 
 
 def largest_repeat(seq: str | None) -> tuple[str, str, float] | None:
@@ -39,8 +56,10 @@ def largest_repeat(seq: str | None) -> tuple[str, str, float] | None:
     unit = longest_repeat(seq or "")
     if not unit:
         return None
-    n = len(unit)
-    at = [i for i in range(len(seq) - n + 1) if seq.startswith(unit, i)]
+    n, at, i = len(unit), [], seq.find(unit)
+    while i >= 0:
+        at.append(i)
+        i = seq.find(unit, i + 1)
     total = n + sum(d for a, b in zip(at, at[1:]) if (d := b - a) <= n)
     if total == n:
         return None
