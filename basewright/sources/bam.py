@@ -2,19 +2,25 @@
 
 The index (``path``.bai) gives the file's 16 kb windows' first record; its linear
 part cuts each contig into partitions, so a file is read in parallel and each task
-inflates its own blocks.  Pushed filters on chrom (equality) prune partitions.
-Rows: (chrom, start 1-based, cigar, mapq); unmapped records are left out.  CRAM needs
+inflates its own blocks.  Pushed filters on chrom (equality) and start (ranges) prune partitions and
+records.  ``read_bam`` with regions reads only what overlaps them: the linear index of a region's first
+window leads to the first record that reaches into it.
+Rows: (chrom, start 1-based, cigar, mapq); unmapped records are left out.  A CIGAR of more operations
+than a record's field holds is taken from its CG tag.  CRAM needs
 codecs that the standard library lacks; it is refused with a clear message.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+
+from .files import opened
 
 OPS = "MIDNSHP=X"
 LINEAR = 1 << 14
@@ -89,59 +95,107 @@ def linear_index(data: bytes) -> list[list[int]]:
     return out
 
 
-def records(z: Bgzf, ref: int, low: int, high: int) -> Iterator[tuple[int, str, int]]:
-    """(start, cigar, mapq) of the records of a contig that start in [low, high), from where the file stands."""
+def long_cigar(body: bytes, at: int) -> tuple[int, ...] | None:
+    """The operations in the CG tag of a record whose tags begin there."""
+    sizes = {b"A": 1, b"c": 1, b"C": 1, b"s": 2, b"S": 2, b"i": 4, b"I": 4, b"f": 4}
+    while at + 3 <= len(body):
+        tag, kind = body[at : at + 2], body[at + 2 : at + 3]
+        at += 3
+        if kind in (b"Z", b"H"):
+            at = body.index(b"\0", at) + 1
+        elif kind == b"B":
+            n = struct.unpack_from("<i", body, at + 1)[0]
+            if tag == b"CG" and body[at : at + 1] == b"I":
+                return struct.unpack_from(f"<{n}I", body, at + 5)
+            at += 5 + n * sizes[body[at : at + 1]]
+        else:
+            at += sizes[kind]
+    return None
+
+
+def records(z: Bgzf, ref: int, low: int, high: int, after: int | None = None) -> Iterator[tuple[int, str, int]]:
+    """(start, cigar, mapq) of the records of a contig that start in [low, high), from where the file stands; with ``after``
+    also those that start behind that position and before low, but reach it."""
     while len(head := z.read(4)) == 4:
         body = z.read(struct.unpack("<i", head)[0])
-        own, pos, name_len, mapq, _, n_ops, flag = struct.unpack_from("<iiBBHHH", body)
+        own, pos, name_len, mapq, _, n_ops, flag, l_seq = struct.unpack_from("<iiBBHHHi", body)
         if own != ref or pos >= high:
             return
-        if pos < low or flag & 4:
+        if pos < low and (after is None or pos <= after) or flag & 4:
             continue
         ops = struct.unpack_from(f"<{n_ops}I", body, 32 + name_len)
+        if n_ops == 2 and ops[0] == l_seq << 4 | 4 and ops[1] & 15 == 3:  # a clip of the whole read and a skip stand for a long CIGAR
+            ops = long_cigar(body, 32 + name_len + 8 + (l_seq + 1) // 2 + l_seq) or ops
+        if pos < low and pos + sum(x >> 4 for x in ops if x & 15 in (0, 2, 3, 7, 8)) <= low:
+            continue
         yield pos + 1, "".join(f"{x >> 4}{OPS[x & 15]}" for x in ops), mapq
 
 
 class Part(InputPartition):
-    def __init__(self, ref: int, name: str, low: int, high: int, offset: int):
-        self.ref, self.name, self.low, self.high, self.offset = ref, name, low, high, offset
+    def __init__(self, ref: int, name: str, low: int, high: int, offset: int, after: int | None = None):
+        self.ref, self.name, self.low, self.high, self.offset, self.after = ref, name, low, high, offset, after
+
+
+def merged(regions: list[list[int]]) -> list[list[int]]:
+    """Overlapping and touching (st, end) as one, in order."""
+    out: list[list[int]] = []
+    for st, end in sorted(regions):
+        if out and st <= out[-1][1] + 1:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([st, end])
+    return out
 
 
 class BamReader(DataSourceReader):
-    def __init__(self, path: str):
+    def __init__(self, path: str, regions: str | None = None):
         if path.endswith(".cram"):
             raise ValueError("CRAM isn't supported; convert it to BAM or to a table of reads")
-        self.path, self.only = path.removeprefix("file://"), None
+        self.path, self.only, self.least, self.most = path, None, 1, 1 << 62
+        self.regions = json.loads(regions) if regions else None
 
     def pushFilters(self, filters):  # noqa: N802
         for f in filters:
             if isinstance(f, EqualTo) and f.attribute == ("chrom",):
                 self.only = f.value
-            yield f
+            elif getattr(f, "attribute", None) == ("start",) and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
+                if not isinstance(f, (LessThan, LessThanOrEqual)):
+                    self.least = max(self.least, f.value + isinstance(f, GreaterThan))
+                if not isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                    self.most = min(self.most, f.value - isinstance(f, LessThan))
+            yield f  # Spark filters too
 
     def partitions(self):
-        with open(self.path, "rb") as f:
+        with opened(self.path) as f:
             contigs = read_header(Bgzf(f))
-        with open(self.path + ".bai", "rb") as f:
+        with opened(self.path + ".bai") as f:
             index = linear_index(f.read())
         out = []
         for ref, ((name, length), windows) in enumerate(zip(contigs, index)):
             if self.only is not None and name != self.only or not any(windows):
                 continue
-            for k in range(0, len(windows), WINDOWS):
-                some = [o for o in windows[k : k + WINDOWS] if o]
-                if some:
-                    last = k + WINDOWS >= len(windows)
-                    out.append(Part(ref, name, k * LINEAR, length + 1 if last else (k + WINDOWS) * LINEAR, min(some)))
+            # starts, counted from 0
+            wanted = [[0, length]] if self.regions is None else merged([[max(0, st - 1), end - 1] for st, end in self.regions.get(name, []) if end >= 1])
+            before = -1
+            for st, end in wanted:
+                first, last = max(st, self.least - 1), min(end, self.most - 1)
+                for k in range(first // LINEAR, last // LINEAR + 1, WINDOWS):
+                    low, high = max(first, k * LINEAR), min(last + 1, (k + WINDOWS) * LINEAR)
+                    some = [o for o in windows[k : k + WINDOWS] if o]
+                    # a read that reaches several regions belongs to the first
+                    after = before if self.regions is not None and low == st else None
+                    if some and low < high:
+                        out.append(Part(ref, name, low, high, min(some), after))
+                before = end
         return out or [Part(-1, "", 0, 0, 0)]
 
     def read(self, partition):
         if partition.ref < 0:
             return
-        with open(self.path, "rb") as f:
+        with opened(self.path) as f:
             z = Bgzf(f)
             z.seek(partition.offset)
-            for start, cigar, mapq in records(z, partition.ref, partition.low, partition.high):
+            for start, cigar, mapq in records(z, partition.ref, partition.low, partition.high, partition.after):
                 yield partition.name, start, cigar, mapq
 
 
@@ -154,16 +208,23 @@ class BamSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return BamReader(self.options["path"])
+        return BamReader(self.options["path"], self.options.get("regions"))
 
 
-def read_bam(spark: SparkSession, path: str) -> DataFrame:
+def read_bam(spark: SparkSession, path: str, regions: list[tuple[str, int, int]] | None = None) -> DataFrame:
+    """The file's reads, or those that overlap some regions (chrom, st, end; closed, 1-based), each once."""
     spark.dataSource.register(BamSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark.read.format("bam").load(path)
+    reader = spark.read.format("bam")
+    if regions is not None:
+        by: dict[str, list] = {}
+        for chrom, st, end in regions:
+            by.setdefault(chrom, []).append([st, end])
+        reader = reader.option("regions", json.dumps(by))
+    return reader.load(path)
 
 
 def bam_contigs(spark: SparkSession, path: str) -> DataFrame:
     """Rows (chrom, length) from the header."""
-    with open(path.removeprefix("file://"), "rb") as f:
+    with opened(path) as f:
         return spark.createDataFrame(read_header(Bgzf(f)), "chrom string, length long")

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Chunks that one task reads, about.
+CHUNKS = 2000
+
+
 def read_fai(spark: SparkSession, path: str) -> DataFrame:
     """Rows (chrom, length, offset, linebases, linewidth)."""
     return spark.read.option("sep", "\t").schema("chrom string, length long, offset long, linebases long, linewidth long").csv(path)
@@ -14,16 +18,19 @@ def read_fai(spark: SparkSession, path: str) -> DataFrame:
 def read_fasta(spark: SparkSession, path: str, chunk: int = 5_000) -> DataFrame:
     """Rows (chrom, start 1-based, seq) of ``chunk`` bases each, by way of ``path``.fai.
 
-    Each chunk's byte range follows from the index, so chunks are read on their own, wherever
-    a task runs; the file must be reachable by path from the executors.
+    Each chunk's byte range follows from the index, so chunks are dealt out in runs of neighbours and read
+    on their own, wherever a task runs; the file must be reachable from the executors by path or URI.
     """
     import pandas as pd
 
+    from .files import opened
+
     plan = read_fai(spark, path + ".fai").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(chunk).cast("long"))).alias("at"))
-    local = path.removeprefix("file://")
+    n = max(1, plan.count() // CHUNKS)
+    plan = plan.repartitionByRange(n, "offset", "at") if n > 1 else plan
 
     def read(batches):
-        with open(local, "rb") as f:
+        with opened(path) as f:
             for b in batches:
                 seqs = []
                 for r in b.itertuples():
