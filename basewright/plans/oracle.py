@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.status import COLOURS, MERGEABLE, OVER
-from .standins import BLOCKS, IGNORED, INTERVALS, MEAN_PILE, MEDIAN_PILE, SIGNAL
+from .standins import BLOCKS, IGNORED, INTERVALS, LENGTH, MEAN_PILE, MEDIAN_PILE, SIGNAL
 
 RGB = "CASE status " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in COLOURS.items()) + " ELSE '0,0,0' END"
 
@@ -16,30 +16,35 @@ def _stronger(a: str, b: str) -> str:
     return f"CASE WHEN {_over(a, b)} THEN {a} ELSE {b} END"
 
 
-def _peak(x: str, low: float, high: float, drop: bool, src: str) -> str:
-    """CTEs that end in p_X(region_id, pos, X, X_median, X_stdev, X_zscore, X_peak)."""
-    return f"""a_{x} AS (SELECT region_id, pos, CAST({f'CASE WHEN {x} <> 0 THEN {x} END' if drop else x} AS DOUBLE) AS v FROM {src}),
-b_{x} AS (SELECT *, median(v) OVER (PARTITION BY region_id) AS med, avg(v) OVER (PARTITION BY region_id) AS mean FROM a_{x}),
-c_{x} AS (SELECT *, median(abs(v - med)) OVER (PARTITION BY region_id) AS mad, avg(abs(v - mean)) OVER (PARTITION BY region_id) AS aad FROM b_{x}),
+def _peak(x: str, low: float, high: float, drop: bool, src: str, part: str = "region_id") -> str:
+    """CTEs that end in p_X(part, pos, X, X_median, X_stdev, X_zscore, X_peak)."""
+    return f"""a_{x} AS (SELECT {part}, pos, CAST({f'CASE WHEN {x} <> 0 THEN {x} END' if drop else x} AS DOUBLE) AS v FROM {src}),
+b_{x} AS (SELECT *, median(v) OVER (PARTITION BY {part}) AS med, avg(v) OVER (PARTITION BY {part}) AS mean FROM a_{x}),
+c_{x} AS (SELECT *, median(abs(v - med)) OVER (PARTITION BY {part}) AS mad, avg(abs(v - mean)) OVER (PARTITION BY {part}) AS aad FROM b_{x}),
 d_{x} AS (SELECT *, CASE WHEN mad = 0 THEN aad * CAST(1.253314 AS DOUBLE) ELSE mad * CAST(1.486 AS DOUBLE) END AS scale FROM c_{x}),
-p_{x} AS (SELECT region_id, pos, CAST(trunc(v) AS BIGINT) AS {x}, CASE WHEN v IS NOT NULL THEN med END AS {x}_median, CASE WHEN v IS NOT NULL THEN scale END AS {x}_stdev,
+p_{x} AS (SELECT {part}, pos, CAST(trunc(v) AS BIGINT) AS {x}, CASE WHEN v IS NOT NULL THEN med END AS {x}_median, CASE WHEN v IS NOT NULL THEN scale END AS {x}_stdev,
   CASE WHEN v IS NULL THEN NULL WHEN scale = 0 THEN CAST('nan' AS DOUBLE) ELSE (v - med) / scale END AS {x}_zscore,
   CASE WHEN v IS NULL THEN 'null' WHEN scale = 0 THEN 'high' WHEN v - med > scale * CAST({high} AS DOUBLE) THEN 'high' WHEN v - med < scale * CAST(-{low} AS DOUBLE) THEN 'low' ELSE 'null' END AS {x}_peak FROM d_{x})"""
 
 
+PART = "region_id, bin"
 SIGNALS = ",\n".join(
     [
         MEAN_PILE,
-        "rolled AS (SELECT * REPLACE (avg(indel) OVER (PARTITION BY region_id ORDER BY pos ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS indel) FROM pile)",
-        *[_peak(x, low, high, drop, "rolled") for x, low, high, drop in (("cov", 3.5, 3.5, False), ("mismatch", 3.5, 3.5, True), ("indel", 5.0, 5.0, True), ("softclip", 3.5, 3.5, True), ("mapq", 1.0, 1.0, False))],
-        "joined AS (SELECT p_cov.region_id, p_cov.pos, p_cov.cov, mismatch, indel, softclip, p_mapq.mapq, mapq_max, cov_peak, mismatch_peak, indel_peak, softclip_peak, mapq_peak FROM p_cov JOIN p_mismatch USING (region_id, pos) JOIN p_indel USING (region_id, pos) JOIN p_softclip USING (region_id, pos) JOIN p_mapq USING (region_id, pos) JOIN (SELECT region_id, pos, mapq_max FROM pile) USING (region_id, pos))",
-        "based AS (SELECT *, floor(median(cov) OVER (PARTITION BY region_id)) AS base FROM joined)",
-        """classified AS (SELECT *, 0 AS bin, 'ctg' || region_id AS chrom, CASE WHEN mismatch >= cov * 0.1 AND mismatch_peak = 'high' THEN 'low_quality'
+        f"rolled AS (SELECT * REPLACE (avg(indel) OVER (PARTITION BY region_id ORDER BY pos ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS indel), CASE WHEN pos <= {LENGTH // 2} THEN 1 ELSE 0 END AS bin FROM pile)",
+        *[_peak(x, low, high, drop, "rolled", PART) for x, low, high, drop in (("cov", 3.5, 3.5, False), ("mismatch", 3.5, 3.5, True), ("indel", 5.0, 5.0, True), ("softclip", 3.5, 3.5, True), ("mapq", 1.0, 1.0, False))],
+        "joined AS (SELECT p_cov.region_id, p_cov.bin, p_cov.pos, p_cov.cov, mismatch, indel, softclip, p_mapq.mapq, mapq_max, cov_peak, mismatch_peak, indel_peak, softclip_peak, mapq_peak FROM p_cov JOIN p_mismatch USING (region_id, bin, pos) JOIN p_indel USING (region_id, bin, pos) JOIN p_softclip USING (region_id, bin, pos) JOIN p_mapq USING (region_id, bin, pos) JOIN (SELECT region_id, pos, mapq_max FROM pile) USING (region_id, pos))",
+        "based AS (SELECT *, floor(median(cov) OVER (PARTITION BY region_id, bin)) AS base FROM joined)",
+        """classified AS (SELECT *, 'ctg' || region_id AS chrom, CASE WHEN mismatch >= cov * 0.1 AND mismatch_peak = 'high' THEN 'low_quality'
   WHEN cov_peak = 'high' AND cov >= floor(base * 1.5) AND mapq_peak = 'low' AND (mismatch_peak = 'high' OR indel_peak = 'high') THEN 'collapse'
   WHEN cov = 0 OR (cov_peak = 'low' AND mapq_peak = 'low' AND cov <= floor(base * 0.1)) THEN 'misjoin'
   WHEN cov <= floor(base * 0.5) AND mapq_max = 0 THEN 'false_dupe'
   WHEN indel >= cov * 0.2 AND indel_peak = 'high' THEN 'indel'
   WHEN softclip >= cov * 0.5 AND softclip_peak = 'high' THEN 'softclip' ELSE 'good' END AS status FROM based)""",
+        """near AS (SELECT *, pos - lag(pos, 1, 0) OVER (PARTITION BY region_id, bin ORDER BY pos) <= 1 AS near FROM classified),
+change AS (SELECT *, coalesce(near <> lag(near) OVER w OR status <> lag(status) OVER w, true) AS new FROM near WINDOW w AS (PARTITION BY region_id, bin ORDER BY pos)),
+run AS (SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY region_id, bin ORDER BY pos) AS grp FROM change),
+segments AS (SELECT region_id, bin, min(pos) AS st, max(pos) + 1 AS "end", CAST(floor(avg(cov)) AS BIGINT) AS cov, min(status) AS status FROM run GROUP BY region_id, bin, grp)""",
     ]
 )
 
@@ -62,6 +67,58 @@ def _peaks(drop: bool) -> str:
     return f"WITH {SIGNAL}, {_peak('cov', 1.5, 1.5, drop, 'signal')} SELECT region_id, pos, cov, round(cov_median, 6) AS cov_median, round(cov_stdev, 6) AS cov_stdev, round(cov_zscore, 6) AS cov_zscore, cov_peak FROM p_cov"
 
 
+MEDIAN_BETWEEN = 'CAST(coalesce((SELECT floor(median(cov)) FROM signal s WHERE s.region_id = r.region_id AND s.pos BETWEEN {} AND {}), 0) AS BIGINT)'
+#: Bins walked from left to right: whether each one's start has moved to the end of the one before.
+GAPS = f"""WITH RECURSIVE {SIGNAL}, {BINS},
+r AS (SELECT *, lag("end") OVER w AS b_end, lead(st) OVER w AS n_st, row_number() OVER w AS nth FROM bins WINDOW w AS (PARTITION BY region_id ORDER BY st)),
+meds AS (SELECT *, {MEDIAN_BETWEEN.format('r.st', 'r."end"')} AS own, {MEDIAN_BETWEEN.format('r.b_end', 'r."end"')} AS longer, {MEDIAN_BETWEEN.format('r."end"', 'r.n_st')} AS gap FROM r),
+walk AS (SELECT region_id, nth, false AS moved FROM meds WHERE nth = 1
+  UNION ALL SELECT n.region_id, n.nth, NOT abs(CASE WHEN w.moved THEN l.longer ELSE l.own END - l.gap) < abs(n.own - l.gap) FROM walk w JOIN meds l USING (region_id, nth) JOIN meds n ON n.region_id = w.region_id AND n.nth = w.nth + 1)
+SELECT region_id, bin, CASE WHEN moved THEN b_end ELSE st END AS st, CASE WHEN NOT lead(moved) OVER (PARTITION BY region_id ORDER BY nth) THEN n_st ELSE "end" END AS "end" FROM meds JOIN walk USING (region_id, nth)"""
+
+
+def _calls() -> str:
+    """All steps from classified bases to final calls, one after another."""
+    rows = "PARTITION BY region_id ORDER BY st, ord"
+    same = "SELECT *, coalesce(status <> lag(status) OVER w, true) AS new FROM small WINDOW w AS (" + rows + ")"
+    small = _merge("chunked", 1, "AND lag(status) OVER w = status", f"min(status) AS status, {COV_FOLD}", "region_id, chrom")
+    bad = _merge("bad", 20, "", f"{STATUS_FOLD}, {COV_FOLD}")
+    for k in ("m1", "m2", "merged"):
+        small = small.replace(f"{k} AS", f"s_{k} AS").replace(f"FROM {k}", f"FROM s_{k}")
+    return f"""WITH {SIGNALS}, {IGNORED},
+good AS (SELECT * FROM classified WHERE status = 'good'),
+rolls AS (SELECT region_id, bin, median(cov) OVER (PARTITION BY region_id, bin ORDER BY pos ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING) AS roll FROM good),
+stats AS (SELECT region_id, bin, median(roll) AS median FROM rolls GROUP BY ALL),
+lev AS (SELECT region_id, bin, pos, cov >= median AS above, min(pos) OVER p AS low, max(pos) OVER p AS high FROM classified JOIN stats USING (region_id, bin) WINDOW p AS (PARTITION BY region_id, bin)),
+lev_runs AS (SELECT *, row_number() OVER (PARTITION BY region_id, bin ORDER BY pos) - row_number() OVER (PARTITION BY region_id, bin, above ORDER BY pos) AS grp FROM lev),
+edges AS (SELECT region_id, bin, min(pos) AS a_st, max(pos) AS a_end FROM lev_runs WHERE above GROUP BY region_id, bin, grp HAVING min(pos) = min(low) OR max(pos) = max(high)),
+itvs AS (SELECT *, 'ctg' || region_id AS chrom, row_number() OVER (PARTITION BY region_id ORDER BY st, "end", bin) AS ord FROM segments),
+bad AS (SELECT * FROM itvs WHERE status <> 'good'), {bad},
+half AS (SELECT i.region_id, i.ord, arg_min(m.status, m.st) AS m_status FROM itvs i JOIN merged m ON i.region_id = m.region_id AND i.st <= m."end" AND i."end" >= m.st
+  WHERE 2 * (least(i."end", m."end") - greatest(i.st, m.st)) >= i."end" - i.st GROUP BY ALL),
+own AS (SELECT itvs.* REPLACE (CASE WHEN m_status IS NOT NULL AND {_over("m_status", "status")} THEN m_status ELSE status END AS status) FROM itvs LEFT JOIN half USING (region_id, ord)),
+hit AS (SELECT i.*, g.st AS g_st, g."end" AS g_end FROM own i JOIN ignored g ON i.chrom = g.chrom AND i.st <= g."end" AND i."end" >= g.st),
+points AS (SELECT DISTINCT region_id, ord, chrom, bin, st, "end", status, cov, p FROM (SELECT *, unnest([st, "end", greatest(st, least("end", g_st)), greatest(st, least("end", g_end))]) AS p FROM hit)),
+parts AS (SELECT *, lead(p) OVER (PARTITION BY region_id, ord ORDER BY p) AS p_end FROM points),
+kept AS (SELECT * FROM parts x WHERE p_end > p AND NOT EXISTS (SELECT 1 FROM hit m WHERE m.region_id = x.region_id AND m.ord = x.ord AND m.g_st <= x.p AND m.g_end >= x.p_end)),
+kept_runs AS (SELECT *, p - sum(p_end - p) OVER (PARTITION BY region_id, ord ORDER BY p) AS grp FROM kept),
+cut AS (SELECT region_id, ord, chrom, bin, min(p) AS st, max(p_end) AS "end", status, cov FROM kept_runs GROUP BY region_id, ord, chrom, bin, status, cov, grp
+  UNION ALL SELECT region_id, ord, chrom, bin, st, "end", status, cov FROM own WHERE (region_id, ord) NOT IN (SELECT (region_id, ord) FROM hit)),
+c0 AS (SELECT *, status IN {MERGEABLE} AS m FROM cut),
+c1 AS (SELECT *, NOT coalesce(m AND lag(m) OVER w AND bin = lag(bin) OVER w, false) AS new FROM c0 WINDOW w AS ({rows})),
+c2 AS (SELECT *, sum(CAST(new AS INT)) OVER ({rows}) AS grp FROM c1),
+c3 AS (SELECT region_id, min(chrom) AS chrom, min(bin) AS bin, min(st) AS st, max("end") AS "end", arg_min(ord, (st, ord)) AS ord, list_reduce(list_prepend('good', list(status ORDER BY st, ord)), lambda a, x: {_stronger("a", "x")}) AS folded, arg_min(status, (st, ord)) AS one, bool_and(m) AS m, CAST(sum(cov) // count(*) AS BIGINT) AS cov FROM c2 GROUP BY region_id, grp),
+c4 AS (SELECT *, CASE WHEN m THEN folded ELSE one END AS own_status FROM c3),
+touched AS (SELECT DISTINCT c.region_id, c.ord FROM c4 c JOIN edges x ON x.region_id = c.region_id AND x.bin = c.bin AND x.a_st <= c."end" AND x.a_end >= c.st WHERE own_status = 'collapse'),
+chunked AS (SELECT region_id, chrom, bin, st, "end", ord, cov, CASE WHEN own_status = 'collapse' AND (region_id, ord) IN (SELECT (region_id, ord) FROM touched) THEN 'good' ELSE own_status END AS status FROM c4),
+{small},
+small AS (SELECT * REPLACE (CASE WHEN "end" - st < CASE WHEN status IN ('collapse', 'false_dupe') THEN 500 ELSE 1 END THEN 'good' ELSE status END AS status) FROM s_merged),
+f1 AS ({same}),
+f2 AS (SELECT *, sum(CAST(new AS INT)) OVER ({rows}) AS grp FROM f1),
+final AS (SELECT region_id, chrom, min(st) AS st, max("end") AS "end", min(status) AS status, median(cov) AS cov FROM f2 GROUP BY region_id, chrom, grp)
+SELECT region_id, chrom, CAST(st AS INT) AS "chromStart", CAST("end" AS INT) AS "chromEnd", status AS name, CAST(cov AS DOUBLE) AS score, '.' AS strand, CAST(st AS INT) AS "thickStart", CAST("end" AS INT) AS "thickEnd", {RGB} AS "itemRgb" FROM final"""
+
+
 def oracle_sql() -> dict[str, str]:
     mergeable = f"status IN {MERGEABLE}"
     return {
@@ -73,11 +130,8 @@ def oracle_sql() -> dict[str, str]:
         "peaks_drop_zero": _peaks(True),
         "signals_joined": f"WITH {SIGNALS} SELECT * FROM joined",
         "classify_bases": f"WITH {SIGNALS} SELECT chrom, pos, cov, status, mismatch, mapq, indel, softclip, bin FROM classified",
-        "status_intervals": f"""WITH {SIGNALS}, near AS (SELECT *, pos - lag(pos, 1, 0) OVER (PARTITION BY region_id ORDER BY pos) <= 1 AS near FROM classified),
-change AS (SELECT *, coalesce(near <> lag(near) OVER w OR status <> lag(status) OVER w, true) AS new FROM near WINDOW w AS (PARTITION BY region_id ORDER BY pos)),
-run AS (SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY region_id ORDER BY pos) AS grp FROM change)
-SELECT region_id, bin, min(pos) AS st, max(pos) + 1 AS "end", CAST(floor(avg(cov)) AS BIGINT) AS cov, min(status) AS status FROM run GROUP BY region_id, bin, grp""",
-        "bad_bases": f"WITH {SIGNALS} SELECT region_id, status, count(*) AS n FROM classified WHERE status <> 'good' GROUP BY ALL",
+        "status_intervals": f"WITH {SIGNALS} SELECT * FROM segments",
+        "bad_bases": f"WITH {SIGNALS} SELECT region_id, bin, status, count(*) AS n FROM classified WHERE status <> 'good' GROUP BY ALL",
         "above_median_runs": f"""WITH {SIGNAL}, a AS (SELECT *, cov >= 50 AS above, min(pos) OVER p AS low, max(pos) OVER p AS high FROM signal WINDOW p AS (PARTITION BY region_id)),
 b AS (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY pos) - row_number() OVER (PARTITION BY region_id, above ORDER BY pos) AS grp FROM a)
 SELECT region_id, min(pos) AS above_st, max(pos) AS above_end FROM b WHERE above GROUP BY region_id, grp HAVING min(pos) = min(low) OR max(pos) = max(high)""",
@@ -105,8 +159,9 @@ SELECT ord, region_id, st, "end", CASE WHEN before = 0 OR (last_end = high AND a
 b AS (SELECT *, NOT coalesce(m AND lag(m) OVER w AND bin = lag(bin) OVER w, false) AS new FROM a WINDOW w AS (PARTITION BY region_id ORDER BY st, ord)),
 c AS (SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY region_id ORDER BY st, ord) AS grp FROM b),
 d AS (SELECT region_id, min(bin) AS bin, min(st) AS st, max("end") AS "end", arg_min(ord, (st, ord)) AS ord, list_reduce(list_prepend('good', list(status ORDER BY st, ord)), lambda a, x: {_stronger("a", "x")}) AS folded, arg_min(status, (st, ord)) AS one, bool_and(m) AS m, sum(cov) // count(*) AS cov FROM c GROUP BY region_id, grp),
-e AS (SELECT *, CASE WHEN m THEN folded ELSE one END AS status FROM d)
-SELECT region_id, bin, st, "end", ord, CASE WHEN status = 'collapse' AND EXISTS (SELECT 1 FROM itvs x WHERE x.ord % 97 = 0 AND x.region_id = e.region_id AND x.bin = e.bin AND x.st <= e."end" AND x."end" >= e.st) THEN 'good' ELSE status END AS status, CAST(cov AS BIGINT) AS cov FROM e""",
+e AS (SELECT *, CASE WHEN m THEN folded ELSE one END AS status FROM d),
+over_level AS (SELECT * FROM (SELECT *, median(cov) OVER (PARTITION BY region_id, bin) AS level FROM itvs) WHERE cov > 2 * level)
+SELECT region_id, bin, st, "end", ord, CASE WHEN status = 'collapse' AND EXISTS (SELECT 1 FROM over_level x WHERE x.region_id = e.region_id AND x.bin = e.bin AND x.st <= e."end" AND x."end" >= e.st) THEN 'good' ELSE status END AS status, CAST(cov AS BIGINT) AS cov FROM e""",
         "min_size_filter": f"""WITH {INTERVALS}, {_merge("itvs", 1, "AND lag(status) OVER w = status", f"min(status) AS status, {COV_FOLD}", "region_id, chrom")}
 SELECT region_id, chrom, st, "end", ord, CASE WHEN "end" - st < CASE WHEN status IN ('collapse', 'false_dupe') THEN 500 ELSE 1 END THEN 'good' ELSE status END AS status, cov FROM merged""",
         "final_collapse": f"""WITH {INTERVALS}, a AS (SELECT *, coalesce(status <> lag(status) OVER w, true) AS new FROM itvs WINDOW w AS (PARTITION BY region_id ORDER BY st, ord)),
@@ -124,5 +179,7 @@ hits AS (SELECT b.p_partkey, b.u, b.l, s.i, lead(s.i) OVER (PARTITION BY b.p_par
 total AS (SELECT p_partkey, u, l, n, l + coalesce(sum(CASE WHEN d <= l THEN d ELSE 0 END), 0) AS t FROM hits GROUP BY p_partkey, u, l, n)
 SELECT s.p_partkey, CASE WHEN t <> l THEN CASE WHEN contains(u, 'N') THEN 'scaffold' WHEN len(list_distinct(string_split(u, ''))) = 1 THEN 'homopolymer' ELSE 'repeat' END END AS repeat, CASE WHEN t <> l THEN u END AS sequence, CASE WHEN t <> l THEN round(t / s.n::DOUBLE, 6) END AS prop FROM s LEFT JOIN total USING (p_partkey)""",
         "bin_assign": f'WITH {SIGNAL}, {BINS} SELECT s.region_id, s.pos, s.cov, coalesce(max(b.bin), 0) AS bin FROM signal s LEFT JOIN bins b ON s.region_id = b.region_id AND s.pos + 1 >= b.st AND s.pos <= b."end" GROUP BY ALL',
+        "gap_close": GAPS,
+        "region_calls": _calls(),
         "range_medians": f'WITH {SIGNAL}, {BINS} SELECT b.region_id, b.st, b."end", CAST(coalesce(floor(median(s.cov)), 0) AS BIGINT) AS median FROM bins b LEFT JOIN signal s ON s.region_id = b.region_id AND s.pos BETWEEN b.st AND b."end" GROUP BY ALL',
     }

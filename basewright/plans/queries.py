@@ -47,12 +47,12 @@ def peaks_drop_zero(spark, sf_dir):
 
 
 def _classified(spark, sf_dir):
-    return api.classified_pileup(s.reads(spark, sf_dir), s.regions(spark), CFG)
+    return api.classified_pileup(s.reads(spark, sf_dir), s.regions(spark), CFG, s.bins(spark))
 
 
 def signals_joined(spark, sf_dir):
     peak = [f"{x}_peak" for x in ("cov", "mismatch", "indel", "softclip", "mapq")]
-    return _classified(spark, sf_dir).select("region_id", "pos", "cov", "mismatch", "indel", "softclip", "mapq", "mapq_max", *peak)
+    return _classified(spark, sf_dir).select("region_id", "bin", "pos", "cov", "mismatch", "indel", "softclip", "mapq", "mapq_max", *peak)
 
 
 def classify_bases(spark, sf_dir):
@@ -121,7 +121,8 @@ def boundary_suppress(spark, sf_dir):
 
 def mergeable_chunks(spark, sf_dir):
     itvs = s.intervals(spark, sf_dir)
-    above = itvs.filter("ord % 97 = 0").select("region_id", "bin", F.col("st").alias("above_st"), F.col("end").alias("above_end"))
+    level = itvs.groupBy("region_id", "bin").agg(F.median("cov").alias("level"))
+    above = itvs.join(level, ["region_id", "bin"]).filter("cov > 2 * level").select("region_id", "bin", F.col("st").alias("above_st"), F.col("end").alias("above_end"))
     return merge.merge_chunks(itvs, above).select("region_id", "bin", "st", "end", "ord", "status", "cov")
 
 
@@ -143,7 +144,7 @@ def status_colours(spark, sf_dir):
 
 
 def bad_bases(spark, sf_dir):
-    return _classified(spark, sf_dir).filter("status <> 'good'").groupBy("region_id", "status").agg(F.count("*").alias("n"))
+    return _classified(spark, sf_dir).filter("status <> 'good'").groupBy("region_id", "bin", "status").agg(F.count("*").alias("n"))
 
 
 def whole_genome_tiles(spark, sf_dir):
@@ -179,7 +180,7 @@ def gap_close(spark, sf_dir):
 
 
 def region_calls(spark, sf_dir):
-    return api.call_regions(s.reads(spark, sf_dir), s.regions(spark), CFG, ignore=s.ignored(spark, sf_dir)).regions
+    return api.call_regions(s.reads(spark, sf_dir), s.regions(spark), CFG, ignore=s.ignored(spark, sf_dir), bins=s.bins(spark)).regions
 
 
 def queries():
