@@ -31,7 +31,7 @@ def read_ignored(spark: SparkSession, path: str | None) -> DataFrame | None:
 def write_tsv(frame: DataFrame, path: str, order: list[str] | None = None, header: bool = True, one_file: bool = False) -> None:
     """Tab-separated text; sorted by range unless one file is asked for, which goes through one task."""
     out = frame.coalesce(1).sortWithinPartitions(*order) if one_file and order else frame.orderBy(*order) if order else frame
-    out.write.option("sep", "\t").option("header", header).csv(path)
+    out.write.option("sep", "\t").option("header", header).option("comment", "\x01").csv(path)  # else a first "#" is quoted
 
 
 def write_bed9(calls: DataFrame, path: str) -> None:
