@@ -3,42 +3,13 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """Absolute URI of the folder in ``spark.checkpoint.dir``, which driver and executors share.
-
-    Where the setting is absent, a local session (tests) gets a temporary folder, made once and set; on a
-    cluster that would be a folder of one machine, so there it is an error.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="basewright-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    path = spark._jvm.org.apache.hadoop.fs.Path(where)
-    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
-
-
-def fresh(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
-    """``df`` written to the shared folder and read again: lost executors don't lose it, and its lineage ends there."""
-    path = path or fresh(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..shared import fresh, shared_dir, written  # noqa: F401
 
 
 class Scratch:
@@ -128,6 +99,29 @@ def _bisect(cuts: list, x: F.Column, low: int = 0) -> F.Column:
     return F.when(x <= F.lit(cuts[mid]), _bisect(cuts[:mid], x, low)).otherwise(_bisect(cuts[mid + 1 :], x, low + mid + 1))
 
 
+#: Bytes of an Arrow batch on its way to Python or back.
+BATCH_BYTES = 2 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The frame itself, after bounding its session's Arrow batches: Spark's own bound is 64 MB, of which a task holds
+    several copies on either side.  A smaller bound of the session's stays."""
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(name))
+    if not now or int(now[1]) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+    return df
+
+
+def at_rest(*caches: dict) -> None:
+    """Empties a worker's caches and returns its free memory; workers outlive the stage."""
+    import pyarrow as pa
+
+    for cache in caches:
+        cache.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def text_hash(col: str = "text") -> F.Column:
     return F.xxhash64(F.coalesce(F.col(col), F.lit("")))
 

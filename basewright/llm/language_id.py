@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, set_aside
+from .common import free_name, set_aside, small_batches
 
 #: Family of each language code; a code that isn't listed is a family of its own.
 FAMILIES = {
@@ -126,7 +126,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "
     The rows are picked by their hashes alone; only the picked ones' texts are moved.
     """
     h = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit("train"))
-    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), h.alias("h")).filter("lang is not null and text is not null")
+    rows = small_batches(labelled).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), h.alias("h")).filter("lang is not null and text is not null")
     top = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGUAGES).collect()
     langs = sorted(r["lang"] for r in top)
     if not langs:
@@ -162,9 +162,9 @@ def predict(docs: DataFrame, model: Hierarchy, text_col: str = "text") -> DataFr
         got = [m.predict(features(x)) if x is not None and has_letter(x) else (UNDETERMINED, 0.0) for x in (t.as_py() for t in texts)]
         return pa.StructArray.from_arrays([pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], names=["lang_pred", "score"])
 
-    docs = set_aside(docs, "lang_pred", "score")
+    docs = set_aside(small_batches(docs), "lang_pred", "score")
     made = free_name(docs, "__language")
-    out = docs.withColumn(made, run(F.col(text_col)))
+    out = docs.withColumn(made, run.asNondeterministic()(F.col(text_col)))  # so declared, it runs once whatever filters follow
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"{made}.lang_pred").alias("lang_pred"), F.col(f"{made}.score").alias("score"))
 
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dealt_in_order, set_aside, shuffle_partitions, text_hash
+from .common import dealt_in_order, set_aside, shuffle_partitions, small_batches, text_hash
 
 #: Words in a leaf at most; bytes of a node's hash.
 LEAF_WORDS, HASH_BYTES = 6, 9
@@ -173,7 +173,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", out: str = "fingerprin
     def run(texts: pa.Array) -> pa.Array:
         return pa.array([fingerprint(x.as_py()) for x in texts], pa.string())
 
-    return set_aside(docs, *[out] * (out.lower() != text_col.lower())).withColumn(out, run(F.col(text_col)))
+    return set_aside(small_batches(docs), *[out] * (out.lower() != text_col.lower())).withColumn(out, run(F.col(text_col)))
 
 
 def edited_text(text: str, following: str) -> str:
@@ -189,7 +189,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     meets its follower in one pass; a range also gets a copy of the next range's
     first document (one text a range).  One shuffle of the texts.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", text_hash("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", text_hash("text"))
     run, n = dealt_in_order(rows, "doc_id", "tie", shuffle_partitions(docs.sparkSession), descending=True)
     rows = rows.withColumn("run", run)
     # ids descend with nulls last; the bitwise complement descends as the id ascends, and nulls are in runs of their own

@@ -217,7 +217,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         return pa.StructArray.from_arrays([pa.array(left, pa.string()), pa.array(went, kind)], names=["text", "removed"])
 
     changed = F.col(covered).isNotNull()  # only their texts go to Python
-    done = met.withColumn(cut_col, cut(F.when(changed, F.col(text_col)), F.col(covered)))
+    # so declared, it runs once even where both a filter and a result need it
+    done = met.withColumn(cut_col, cut.asNondeterministic()(F.when(changed, F.col(text_col)), F.col(covered)))
     text = F.when(changed, F.col(f"{cut_col}.text")).otherwise(F.col(text_col))
     keep = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     return done.select(*keep, F.col(f"{cut_col}.removed").alias("removed"))
