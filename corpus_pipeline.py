@@ -1,7 +1,12 @@
 """A training-data pipeline: four stages over the whole table of documents.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run``
-writes to the shared folder and reads again for the next one.
+writes to the shared folder and reads again for the next one.  All but the last return the
+columns of their input, whatever their names; columns that an operator makes never replace them.
+
+Cases: null, empty and letterless texts go in the first stage; very long texts are read whole; rows
+whose id is null or shared are judged by their own texts in the second stage, where they come after all
+other ids, so of repeated rows one stays; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basewright.llm import language_id, ngram_join, packing, substring_dedup
-from basewright.llm.common import read_table, small_or_shuffled, written
+from basewright.llm.common import Scratch, free_name, read_table, small_or_shuffled
 
 #: A document whose language is less sure than this goes.
 LEAST_SCORE = 0.3
@@ -20,24 +25,27 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents without letters, or whose language can't be told, go."""
     model = language_id.train(docs)
     known = language_id.predict(docs, model)
-    return known.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    known = known.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
+    return known.drop("lang_pred", "score").toDF(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked at 0.8 or more on five-word shingles, the one of smallest id stays.
 
-    Documents without an id stay; of rows with one id, one stays.
+    Rows whose id is null or shared get keys of their own above all ids, so each text is judged by itself.
     """
-    found = ngram_join.link(docs, width=5, p=4, q=5)
-    gone = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows")).filter("doc_id is not null")
-    gone = written(gone.filter("component_id <> doc_id or rows > 1"), "near-copies")
-    linked = gone.filter("component_id <> doc_id").select("doc_id")
-    again = gone.filter("component_id = doc_id and rows > 1").select("doc_id")
-    kept = docs.join(small_or_shuffled(linked), "doc_id", "left_anti")
-    if again.limit(1).count():
-        several = kept.join(small_or_shuffled(again), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        kept = kept.join(small_or_shuffled(again), "doc_id", "left_anti").unionByName(several)
-    return kept.select(docs.columns)
+    scratch, key = Scratch(spark), free_name(docs, "__key")
+    odd = scratch.written(docs.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1 or doc_id is null").select("doc_id"), "odd-ids")
+    keyed = docs.withColumn(key, F.col("doc_id").cast("long"))
+    if odd.limit(1).count():
+        same = docs["doc_id"].eqNullSafe(odd["doc_id"])
+        top = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0]
+        # written once, so that the numbers stay
+        own = scratch.written(docs.join(small_or_shuffled(odd), same, "left_semi").withColumn(key, F.monotonically_increasing_id() + top + 1), "own-keys")
+        keyed = docs.join(small_or_shuffled(odd), same, "left_anti").withColumn(key, F.col("doc_id").cast("long")).unionByName(own)
+    found = ngram_join.link(keyed, width=5, p=4, q=5, id_col=key)
+    gone = scratch.written(found.filter("component_id <> doc_id").select(F.col("doc_id").alias(key)), "near-copies")
+    return keyed.join(small_or_shuffled(gone), key, "left_anti").select(docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +55,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     done = done.filter(~changed | (F.length(F.trim("text")) > 0))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return done.select(docs.columns)
+    return done.drop("removed").toDF(*docs.columns)
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +71,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, in order."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs, scratch = read_table(spark, sf_dir, "documents"), Scratch(spark)
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = scratch.written(stage(spark, docs, sf_dir), name)
+        scratch.drop(but=(docs,))
     return STAGES[-1][1](spark, docs, sf_dir)
