@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import tempfile
 import zlib
 
 import numpy as np
@@ -88,6 +89,10 @@ def test_packing(spark, docs, texts):
         assert all(r.offset == 0 and r.length == 1 << r.bucket == len(r.ids) and r.doc_tokens == len(ids) for r in own)
         assert all(r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in own)
     assert packing.pack(empty(spark)).count() == 0
+    packing.write_buckets(packing.pack(docs), folder := tempfile.mkdtemp())
+    back = spark.read.parquet(folder)
+    assert back.count() == len(rows) and all(len(x.ids) == 1 << 5 for x in back.filter("bucket = 5").collect())
+    assert back.filter("bucket = 5").inputFiles() and all("bucket=5" in f for f in spark.read.parquet(f"{folder}/bucket=5").inputFiles())
 
 
 def test_token_files(spark, docs, texts):
@@ -203,17 +208,128 @@ def test_urls(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
-def test_top_k(spark):
+def plain_url_scores(rows):
+    """Mean of each (host + path) by models counted in plain dictionaries; the threshold from other folds' models. rows: (text, kind, fold)."""
+    import math
+    import re
+    from collections import Counter, defaultdict
+
+    order, base = url_filter.ORDER, url_filter.BASE
+
+    def symbols(text):
+        return [0] * order + [url_filter.ALPHABET.index(c) + 2 for c in re.sub(r"[^a-z0-9./\-]", "~", text.lower())] + [1]
+
+    def model(texts):
+        counts = [defaultdict(Counter) for _ in range(order + 1)]
+        for text in texts:
+            s = symbols(text)
+            for i in range(order, len(s)):
+                for k in range(order + 1):
+                    counts[k][tuple(s[i - k : i])][s[i]] += 1
+
+        def p(context, c):
+            if context is None:
+                return 1 / base
+            shorter = p(context[1:] if context else None, c)
+            own = counts[len(context)][context]
+            n, t = sum(own.values()), len(own)
+            return shorter if not n else (own[c] + t * shorter) / (n + t)
+
+        return p
+
+    def scorer(texts_a, texts_r):
+        a, r = model(texts_a), model(texts_r)
+        seen = {tuple(s[i - order : i + 1]) for t in (*texts_a, *texts_r) for s in [symbols(t)] for i in range(order, len(s))}
+
+        def score(text):
+            s, total = symbols(text), 0
+            for i in range(order, len(s)):
+                gram = tuple(s[i - order : i + 1])
+                if gram in seen:
+                    total += math.floor((math.log(a(gram[:-1], gram[-1])) - math.log(r(gram[:-1], gram[-1]))) * url_filter.SCALE + 0.5)
+            return math.floor(total / (len(text) + 1) / url_filter.STEP)
+
+        return score
+
+    of = lambda kind, fold=None: [t for t, k, f in rows if k == kind and f != fold]
+    held = []
+    for fold in range(url_filter.FOLDS):
+        score = scorer(of("allow", fold), of("block", fold))
+        held += [(score(t), k) for t, k, f in rows if f == fold and k]
+    lost = lambda cut: sum(k == "allow" and m < cut for m, k in held) * len(of("block")) + sum(k == "block" and m >= cut for m, k in held) * len(of("allow"))
+    cut = min((lost(m), m) for m, _ in held)[1]
+    score = scorer(of("allow"), of("block"))
+    return [(score(t), k or ("block" if score(t) < cut else "allow")) for t, k, _ in rows]
+
+
+def test_url_model(spark):
+    """Means and verdicts of every URL against the models in plain Python."""
+    r = random.Random(12)
+    word = lambda letters: "".join(r.choices(letters, k=r.randint(2, 9)))
+    urls = []
+    for i in range(260):
+        letters, tail = ("aeioulmn", "/en/") if i % 3 else ("xzqwkj", "/de/")
+        host = r.choice(["com", "net", "org", "io"])
+        urls.append(f"http://{word(letters)}.{host}{r.choice([tail, '/en/', '/de/', '/es/', '/fr/'])}{word(letters)}?{word('abc')}")
+    rows = [(i, u) for i, u in enumerate(urls)] + [(400, None), (401, "http://é.com/Ü~\n/x"), (402, "http://a.io/" + "xqz" * 3000)]
+    got = {x.page_id: x for x in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    folds = {x.page_id: x.f for x in spark.createDataFrame([(i, got[i].host, got[i].path) for i, _ in rows], "page_id long, host string, path string").selectExpr("page_id", f"cast(pmod(xxhash64(host, path), {url_filter.FOLDS}) as int) as f").collect()}
+    kinds = [url_filter.RULES.get(got[i].rule) for i, _ in rows]
+    want = plain_url_scores([(got[i].host + got[i].path, k, folds[i]) for (i, _), k in zip(rows, kinds)])
+    assert [(got[i].mean, got[i].verdict) for i, _ in rows] == want
+    free = [got[i].verdict for i, _ in rows if got[i].rule is None]
+    assert free.count("block") > 10 and free.count("allow") > 10
+
+
+def test_url_time_is_linear(spark):
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        table = spark.createDataFrame([(i, f"http://h.{'com' if i else 'net'}/{'en' if i else 'de'}/" + "ab1" * n) for i in range(2)], "page_id long, url string")
+        began = time.time()
+        assert url_filter.judge(table).filter("length(path) > 1000").count() == 2
+        url_filter.judge(table).collect()
+        took.append(time.time() - began)
+    assert took[1] < 4 * took[0] + 5
+
+
+def plain_top(rows, k=5, every=50):
+    """Whole-number inner products of every query with every other row, in Python."""
+    import math
+
+    z = [(i, [math.floor(256 * x) if math.isfinite(256 * x) else int(x) * 256 for x in v]) for i, v in rows]
+    out = []
+    for a, (q, u) in enumerate(z):
+        if q % every == 0:
+            s = sorted((-sum(x * y for x, y in zip(u, v)), i) for b, (i, v) in enumerate(z) if a != b and len(u) == len(v))
+            out += [(q, r + 1, i, max(-(1 << 63), min((1 << 63) - 1, -score))) for r, (score, i) in enumerate(s[:k])]
+    return sorted(out)
+
+
+def test_top_k(spark, monkeypatch):
     r = np.random.default_rng(1)
-    x = r.normal(size=(300, 8)).astype("f4")
+    x = r.normal(size=(300, 8)).astype("f4").astype("f8")
     x[10] = x[20] = x[30]
-    rows = [(i, [float(v) for v in x[i]]) for i in range(300)] + [(1000, None), (1050, [float("nan")] * 8), (1100, [None] * 8), (1150, [1.0, 2.0])]
-    got = sorted(map(tuple, topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()))
-    y, want = np.floor(x.astype("f8") * 256).astype("i8"), []
-    for q in range(0, 300, 50):
-        s = y @ y[q]
-        want += [(q, k + 1, int(j), int(s[j])) for k, j in enumerate([j for j in np.lexsort((np.arange(300), -s)) if j != q][:5])]
-    assert got == want
+    rows = [(i, x[i].tolist()) for i in range(300)]
+    odd = [(1000, None), (1050, [float("nan")] * 8), (1100, [None] * 8), (1150, [1.0, 2.0]), (None, [1.0] * 8)]
+    table = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>")
+    got = sorted(tuple(row)[:4] for row in topk.search(table).collect())
+    assert got == plain_top(rows)
+    monkeypatch.setattr(topk, "CANDIDATE_BYTES", 64_000)
+    monkeypatch.setattr(topk, "QUERY_BYTES", 4_000)
+    again = [(100, x[7].tolist()), (100, x[8].tolist()), (100, x[8].tolist())]  # rows of one id, in several blocks
+    got = topk.search(spark.createDataFrame(rows + again, "vec_id long, embedding array<double>")).collect()
+    assert sorted(tuple(row)[:4] for row in got) == plain_top(rows + again)
+    assert all(row.evaluated <= 302 for row in got)
+    # two far clusters: most of the other one is never scored
+    far = [(i, [*(1000.0 + x[i][:4]), *x[i][4:]] if i % 2 else [*x[i][:4] - 1000.0, *x[i][4:]]) for i in range(300)]
+    got = topk.search(spark.createDataFrame([(i, list(map(float, v))) for i, v in far], "vec_id long, embedding array<double>")).collect()
+    assert sorted(tuple(row)[:4] for row in got) == plain_top(far)
+    for top in (1e6, 1e15, 1e18, 1e307):
+        large = [(i, [float(v) * top for v in x[i]]) for i in range(60)] + [(100, [top] * 8), (150, [top] * 8)]
+        got = topk.search(spark.createDataFrame(large, "vec_id long, embedding array<double>")).collect()
+        assert sorted(tuple(row)[:4] for row in got) == plain_top(large), top
     assert topk.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
@@ -222,8 +338,9 @@ def test_warc(spark):
     rows = [(1, "http://a.com/x y", big), (5, "http://b.a.com/", big), (3, None, big), (4, "http://c.com/?q#f", "small"), (6, "http://c.com/", "small"), (7, "u", None), (None, "http://n.com/", big), (None, "http://n.com/", "lone" * 400), (9, "http://d.com/\r\nX: y", "z" * 2000)]
     captures = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"))
     directory = warc.index(captures)
-    got = {(r.page_id, r.payload_digest): r for r in warc.read_all(directory).collect()}
-    assert len(got) == len(rows)
+    back = warc.fetch(directory, captures.select("key", "page_id")).collect()
+    got = {(r.page_id, r.payload_digest): r for r in back}
+    assert len(got) == len(back) == len(rows)
     for page_id, _, html in rows:
         body = (html or "").encode()
         r = got[page_id, hashlib.sha1(body).hexdigest()]
@@ -231,7 +348,30 @@ def test_warc(spark):
         assert (r.payload_bytes, r.record_type, r.refers_to) == (len(body), "revisit" if revisit else "response", 5 if revisit else None)
     found = warc.lookup(directory, ["http://c.com/?q", "http://none.com/"]).collect()
     assert [(r.page_id, bytes(r.payload)) for r in found] == [(4, b"small")]
-    assert warc.read_all(warc.index(warc.write(spark.createDataFrame([], "page_id long, url string, html string")))).count() == 0
+    none = warc.write(spark.createDataFrame([], "page_id long, url string, html string"))
+    assert warc.fetch(warc.index(none), none.select("key", "page_id")).count() == 0 and warc.lookup(warc.index(none), ["a"]).count() == 0
+
+
+def test_warc_many_keys(spark, monkeypatch):
+    """Every record comes back once by its key, through many blocks and files, with a URL and whole rows that repeat; record ids are unique."""
+    monkeypatch.setattr(warc, "BLOCK_LINES", 7)
+    rows = [(i, f"http://h{i % 37}.example.com/{i * 7919 % 100} {i % 3}", "x" * (i % 5)) for i in range(700)]
+    rows += [(i, "http://hot.com/", "hot" * 400) for i in range(700, 1000)] + [(None, None, "n")] * 40 + [(5, "http://again.com/", "y")] * 40 + [(2000, "http://long.com/" + "a" * 50_000, "b" * 300_000)]
+    captures = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6))
+    directory = warc.index(captures)
+    back = warc.fetch(directory, captures.select("key", "page_id")).collect()
+    key = lambda r: str((r.page_id, r.payload_bytes, r.record_type, r.refers_to))
+    want = [str((i, len(h), "revisit" if 700 <= (i or 0) < 999 else "response", 999 if 700 <= (i or 0) < 999 else None)) for i, _, h in rows]
+    assert sorted(map(key, back)) == sorted(want)
+    for url in ("http://h3.example.com/57 1", "http://hot.com/", "http://again.com/", rows[-1][1], "http://h3.example.com/"):
+        own = sorted(i for i, u, _ in rows if u and warc.url_key(u) == warc.url_key(url))
+        assert sorted(r.page_id for r in warc.lookup(directory, [url]).collect()) == own
+    names = []
+    for r in captures.collect():
+        with open(r.file.removeprefix("file://"), "rb") as f:
+            f.seek(r.offset)
+            names.append(warc.parse(f.read(r.length))[0]["warc-record-id"])
+    assert len(set(names)) == len(rows)
 
 
 def test_warc_lookup_with_spaces(spark):
@@ -277,6 +417,35 @@ def test_ngram_join(spark, width, p, q):
     assert ngram_join.link(empty(spark), width, p, q).count() == 0
 
 
+def test_hot_signatures(spark, monkeypatch):
+    """A signature that most documents share, dealt out over several tasks, leaves no link out."""
+    r = random.Random(21)
+    vocab = [f"w{i}" for i in range(900)]
+    base = r.choices(vocab, k=90)
+    rows = []
+    for i in range(260):
+        words = base[:]
+        for k in range(r.choice([1, 1, 2, 9])):
+            words[r.randrange(45, 90)] = f"own{i}.{k}"  # the first half is in all of them
+        rows.append((i, " ".join(words)))
+    rows += [(300 + i, " ".join(r.choices(vocab, k=r.randint(20, 90)))) for i in range(120)]
+    sets = {i: {tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)} for i, t in rows}
+    of = {i: i for i in sets}
+    find = lambda i: i if of[i] == i else find(of[i])
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if 10 * len(sets[a] & sets[b]) >= 9 * len(sets[a] | sets[b]):
+            x, y = sorted((find(a), find(b)))
+            of[y] = x
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for limit in (10_000, 48):
+        monkeypatch.setattr(ngram_join, "HOT_ROWS", limit)
+        got = {x.doc_id: x.component_id for x in ngram_join.link(table, 3, 9, 10).collect()}
+        assert got == {i: find(i) for i in sets}, limit
+    docs = table.selectExpr("doc_id as id", "text")
+    assert ngram_join._hot(docs, len(rows), 3, 9, 10).filter("parts > 1").count() > 3
+    assert len({find(i) for i in range(260)}) > 10 and len(got) == len(rows)
+
+
 def test_components_carry_on(spark):
     """New edges between earlier components give the components of all edges."""
     from basewright.llm.common import components
