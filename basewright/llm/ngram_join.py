@@ -60,6 +60,8 @@ SLICE = 500
 HOT_SHARE, HOT_ROWS, HOT_SEEN = 1 / 1000, 1000, 16
 #: Bits of a set's parity sketch, in words of 64.
 SKETCH_WORDS = 16
+#: The same of the wider sketch that pairs are bounded by before their sets are moved.
+WIDE_WORDS = 256
 ROUNDS = 2
 
 
@@ -149,13 +151,13 @@ class PartEnum:
         return np.concatenate(out)
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """Parity of the number of features in each of 64 * SKETCH_WORDS buckets, as bits of signed words.
+def sketch(s: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray:
+    """Parity of the number of features in each of 64 * words buckets, as bits of signed words.
 
     Two sets differ in at least as many features as their sketches in bits.
     """
-    bucket = (mix(s, 23) % np.uint64(64 * SKETCH_WORDS)).astype("i8")
-    return np.packbits((np.bincount(bucket, minlength=64 * SKETCH_WORDS) & 1).astype("u1")).view("i8")
+    bucket = (mix(s, 23) % np.uint64(64 * words)).astype("i8")
+    return np.packbits((np.bincount(bucket, minlength=64 * words) & 1).astype("u1")).view("i8")
 
 
 def sliced(batches):
@@ -208,14 +210,16 @@ def _signatures(docs: DataFrame, width: int, p: int, q: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """Rows (id, features) of the ids' sets."""
+    """Rows (id, size, wide, features) of the ids' sets."""
 
     def run(batches):
         for b in sliced(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x.as_py(), width).astype("i8") for x in b.column(1)], pa.list_(pa.int64()))], names=["id", "features"])
+            sets = [shingles(x.as_py(), width) for x in b.column(1)]
+            wide, features = (pa.array(x, pa.list_(pa.int64())) for x in ([sketch(s, WIDE_WORDS) for s in sets], [s.astype("i8") for s in sets]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), wide, features], names=["id", "size", "wide", "features"])
         at_rest(hash_of)
 
-    return docs.join(small_or_shuffled(ids), "id", "left_semi").mapInArrow(run, "id long, features array<long>")
+    return docs.join(small_or_shuffled(ids), "id", "left_semi").mapInArrow(run, "id long, size long, wide array<long>, features array<long>")
 
 
 def _marks(sizes: DataFrame) -> DataFrame:
@@ -236,14 +240,16 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, p: int, q: int, scr
     """The pairs (a, b) whose whole sets are similar enough; only these pairs' texts are read as sets."""
     ids = scratch.written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "involved")
     sets = scratch.written(_sets(docs, ids, width), "involved-sets")
-    left = sets.toDF("a", "fa")
-    right = sets.toDF("b", "fb")
-    # best pairs have one row a b, so its set moves once; nothing here groups by a, so that a hot one's join can be split
-    both = pairs.select("a", "b").join(right, "b").join(left, "a")
+    # sets may be long, so pairs meet their wide sketches first; nothing here groups by a, so that a hot one's join can be split
+    bounded = pairs.select("a", "b").join(sets.select(F.col("id").alias("b"), F.col("size").alias("nb"), F.col("wide").alias("wb")), "b")
+    bounded = bounded.join(sets.select(F.col("id").alias("a"), F.col("size").alias("na"), F.col("wide").alias("wa")), "a")
+    bits = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, n: acc + n)
+    likely = scratch.written(bounded.filter(bits * (q + p) <= (F.col("na") + F.col("nb")) * (q - p)).select("a", "b"), "likely-pairs")
+    both = likely.join(sets.select(F.col("id").alias("b"), F.col("features").alias("fb")), "b").join(sets.select(F.col("id").alias("a"), F.col("features").alias("fa")), "a")
     na, nb = F.size("fa"), F.size("fb")
     common = F.size(F.array_intersect("fa", "fb"))
     out = scratch.written(both.filter(common * (p + q) >= p * (na + nb)).select("a", "b"), "verified")
-    scratch.drop(ids, sets)
+    scratch.drop(ids, sets, likely)
     return out
 
 
