@@ -21,12 +21,13 @@ import hashlib
 import heapq
 import json
 import re
+import struct
 from itertools import chain
 
 import pyarrow as pa
 
 LONG_WORD = 200
-#: Words kept with their ids in each Python worker; beyond it the cache starts anew.
+#: Words of a generation of the cache in each Python worker.
 CACHE_WORDS = 100_000
 NO_RANK = 1 << 60
 
@@ -47,16 +48,24 @@ def byte_alphabet() -> list[str]:
 
 
 class Words(dict):
-    """Word -> tuple of ids, filled on demand and bounded."""
+    """Word -> its ids, filled on demand; it outlives a task, as words come again in the worker's next.
+
+    Bounded by two generations of ``CACHE_WORDS``: when the young one is full it becomes the old one, whose words
+    are taken up again when they are met, so that frequent words stay.
+    """
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.old = encode, {}
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str):
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.encode(word)
         if len(self) >= CACHE_WORDS:
+            self.old = dict(self)
             self.clear()
-        ids = self[word] = self.encode(word)
+        self[word] = ids
         return ids
 
 
@@ -122,29 +131,41 @@ class LibraryBpe:
         self.n_ids = self.library.get_vocab_size(with_added_tokens=True)
         self.cache = Words(self.encode_word)
 
-    def encode_word(self, word: str) -> tuple[int, ...]:
+    @staticmethod
+    def packed(ids) -> bytes:
+        """Ids as the cache keeps them: 4 little-endian bytes each."""
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def encode_word(self, word: str) -> bytes:
         text = word if plain(word) else "".join([self.alphabet[b] for b in word.encode()])
-        return tuple([t.id for t in self.library.model.tokenize(text)])
+        return self.packed([t.id for t in self.library.model.tokenize(text)])
 
-    def encode(self, text: str | None) -> list[int]:
+    def by_words(self, text: str) -> list:
+        """The ids of every word and special token, each as the cache keeps them."""
+        parts, s = self.splitter.parts(text), self.splitter
+        out = list(map(self.cache.__getitem__, s.words(parts[0])))
+        for mark, part in zip(parts[1::2], parts[2::2]):
+            out.append(self.packed([s.special[mark]]))
+            out += map(self.cache.__getitem__, s.words(part))
+        return out
+
+    def encode_bytes(self, text: str | None) -> bytes:
+        """Ids of 4 little-endian bytes each."""
         if not text:
-            return []
+            return b""
         if beyond_latin(text):
-            return self.library.encode(text, add_special_tokens=False).ids
-        return self.by_words(text)
+            return self.packed(self.library.encode(text, add_special_tokens=False).ids)
+        return b"".join(self.by_words(text))
 
-    def by_words(self, text: str) -> list[int]:
-        parts, s = self.splitter.parts(text), self.splitter
-        ids = list(chain.from_iterable(map(self.cache.__getitem__, s.words(parts[0]))))
-        for mark, part in zip(parts[1::2], parts[2::2]):
-            ids.append(s.special[mark])
-            ids += chain.from_iterable(map(self.cache.__getitem__, s.words(part)))
-        return ids
+    def encode(self, text: str | None) -> list[int]:
+        return memoryview(self.encode_bytes(text)).cast("I").tolist()
 
 
 class RankArrayBpe(LibraryBpe):
     """Encoder and decoder for one tokenizer file: the library's words, their ids by rank arrays."""
 
+    packed = tuple
+
     def __init__(self, path: str):
         super().__init__(path)
         model = json.loads(self.library.to_str())["model"]
@@ -203,7 +224,7 @@ class RankArrayBpe(LibraryBpe):
         return [i for i in ids if i >= 0]
 
     def encode(self, text: str | None) -> list[int]:
-        return self.by_words(text) if text else []
+        return list(chain.from_iterable(self.by_words(text))) if text else []
 
     def decode(self, ids) -> str:
         """Tokens joined by spaces: the file declares no decoder of its own."""
@@ -233,14 +254,14 @@ def decode(df, ids_col: str = "ids", text_col: str = "decoded", path: str | None
 def _mapped(df, col: str, out: str, kind: str, path: str, f):
     from pyspark.sql import functions as F
 
-    from .common import set_aside
+    from .common import set_aside, small_batches
 
     @F.arrow_udf(kind)
     def apply(xs: pa.Array) -> pa.Array:
         c = coder(path)
         return pa.array([f(c, x.as_py()) for x in xs], pa.string() if kind == "string" else pa.list_(pa.int32()))
 
-    return set_aside(df, *[out] * (out.lower() != col.lower())).withColumn(out, apply(F.col(col)))
+    return set_aside(small_batches(df), *[out] * (out.lower() != col.lower())).withColumn(out, apply(F.col(col)))
 
 
 def round_trip(df, path: str | None = None, id_col: str = "doc_id", text_col: str = "text"):
@@ -250,6 +271,8 @@ def round_trip(df, path: str | None = None, id_col: str = "doc_id", text_col: st
     ids joined by spaces), decoded_sha256.  Only the two columns it needs are
     read; repeated rows give repeated results.
     """
+    from .common import at_rest, small_batches
+
     path = path or default_path()
 
     def run(batches):
@@ -263,7 +286,7 @@ def round_trip(df, path: str | None = None, id_col: str = "doc_id", text_col: st
                 a.append(hashlib.sha256(" ".join(map(shown, ids)).encode()).hexdigest())
                 d.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
-        c.cache.clear()  # workers live on
+        at_rest()
 
     kind = dict(df.dtypes)[id_col]
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return small_batches(df).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -21,6 +21,7 @@ import zlib
 from pyspark.sql import DataFrame
 
 from .bpe import LibraryBpe, coder, default_path
+from .common import at_rest, small_batches
 
 END_ID = 2
 MAX_LENGTH = 4096
@@ -50,10 +51,11 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = END_ID, longest
         from pyspark import TaskContext
 
         c, made = coder(path, LibraryBpe), TaskContext.get().partitionId() << 33
+        end = c.packed([end_id])
         for b in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             rows, of, kept = [], [], []
             for i, text in enumerate(b.column(1)):
-                ids = np.array([*c.encode(text.as_py()), end_id], dtype="<u4")
+                ids = np.frombuffer(c.encode_bytes(text.as_py()) + end, "<u4")
                 start, n = 0, len(ids)
                 for k in lengths(n, longest):
                     piece = ids[start : start + k]
@@ -64,7 +66,13 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = END_ID, longest
                     start, made = start + k, made + 1
             columns = [b.column(0).take(pa.array(of, pa.int64()))] + [pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 7, kinds)]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.list_(pa.int32()))] * keep_ids, names=names)
-        c.cache.clear()  # workers live on
+        at_rest()
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, start long, length long, bucket int, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * keep_ids)
+    return small_batches(docs).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, start long, length long, bucket int, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * keep_ids)
+
+
+def write_buckets(pieces: DataFrame, path: str) -> None:
+    """The pieces in one folder for each bucket, so that a training batch reads sequences of one length; each task writes to the
+    folders on its own, so a bucket that holds most pieces needs no task of its own."""
+    pieces.write.partitionBy("bucket").parquet(path, mode="overwrite")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import LibraryBpe, coder, default_path
-from .common import dealt_in_order, fresh, opened, shuffle_partitions, text_hash, written
+from .common import at_rest, dealt_in_order, fresh, opened, shuffle_partitions, small_batches, text_hash, written
 
 MAGIC = b"BWTK2"
 END_ID = 1
@@ -193,16 +193,16 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = END_ID, id_col
     """
     spark, path = docs.sparkSession, path or default_path()
     folder = fresh(spark, "tokens")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_hash(text_col).alias("tie"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), text_hash(text_col).alias("tie"), F.col(text_col).alias("text"))
     task, n = dealt_in_order(rows, "id", "tie", tasks or shuffle_partitions(spark))
 
     def encode(batches):
         c = coder(path, LibraryBpe)
-        kind = "<u2" if c.n_ids <= 1 << 16 else "<u4"
+        kind, end = "<u2" if c.n_ids <= 1 << 16 else "<u4", c.packed([end_id])
         for b in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
-            made = [np.array([*c.encode(x.as_py()), end_id], kind).tobytes() for x in b.column(2)]
+            made = [np.frombuffer(c.encode_bytes(x.as_py()) + end, "<u4").astype(kind).tobytes() for x in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary())], names=["id", "tie", "ids"])
-        c.cache.clear()  # workers live on
+        at_rest()
 
     ids = rows.select("id", "tie", "text").mapInArrow(encode, "id long, tie long, ids binary")
     dealt = ids.withColumn("task", task).repartitionById(n, "task").sortWithinPartitions("task", F.col("id").asc_nulls_last(), "tie").select("task", "id", "ids")
