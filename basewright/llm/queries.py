@@ -70,6 +70,22 @@ def op10_language_id(spark, sf_dir):
     return predict(docs, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_fim(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .fim import restore, transform
+
+    out = restore(transform(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output").alias("output_sha256"), digest("restored").alias("restored_sha256"))
+
+
+def op13_simhash(spark, sf_dir):
+    from .simhash import link
+
+    return link(read_table(spark, sf_dir, "documents"))
+
+
 TOP_K_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS z
