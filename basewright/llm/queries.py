@@ -80,6 +80,12 @@ def op11_fim(spark, sf_dir):
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output").alias("output_sha256"), digest("restored").alias("restored_sha256"))
 
 
+def op12_prefix_trie(spark, sf_dir):
+    from .prefix_trie import nodes, turn_lists, with_shared_starts
+
+    return nodes(with_shared_starts(turn_lists(read_table(spark, sf_dir, "conversations"))))
+
+
 def op13_simhash(spark, sf_dir):
     from .simhash import link
 

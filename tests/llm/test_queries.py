@@ -10,6 +10,8 @@ import pytest
 from basewright.llm import merkle, queries, substring_dedup, url_filter
 
 from .test_llm import brute_links, library, plain_dedup, plain_likeness, plain_top, plain_url_scores
+from .test_prefix_trie import COLUMNS, plain_nodes, plain_rebuilt, plain_turns
+from .test_simhash_fim import plain_components, plain_fim, plain_fingerprint
 
 WHERE = "/root/testdata/sf0.001"
 
@@ -35,7 +37,7 @@ def ids_of(docs, end):
 
 
 def test_every_query_is_here():
-    assert sorted(queries.queries()) == sorted(["op1_url_filter", "op2_bpe", "op3_top_k", "op4_substring_dedup", "op5_warc", "op6_token_file", "op7_ngram_jaccard", "op8_merkle", "op9_packing", "op10_language_id"])
+    assert sorted(queries.queries()) == sorted(["op1_url_filter", "op2_bpe", "op3_top_k", "op4_substring_dedup", "op5_warc", "op6_token_file", "op7_ngram_jaccard", "op8_merkle", "op9_packing", "op10_language_id", "op11_fim", "op12_prefix_trie", "op13_simhash"])
 
 
 def test_op1(spark, run):
@@ -143,3 +145,23 @@ def test_op10(run):
             held += 1
             right += r.lang_pred == lang
     assert held > 10 and right >= 0.95 * held
+
+
+def test_op11(run, docs):
+    got, sha = {r.doc_id: r for r in run("op11_fim")}, lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert len(got) == len(docs)
+    for i, text in docs:
+        r, want = got[i], plain_fim(i, text, "line")
+        assert (r.n, r.form, r.prefix_chars, r.middle_chars, r.output_sha256, r.restored_sha256) == (*want[:4], sha(want[4]), sha(text or ""))
+
+
+def test_op12(run):
+    want = plain_nodes(plain_rebuilt(plain_turns(table("conversations", "conv_id", "turn", "role", "text"))))
+    got = run("op12_prefix_trie")
+    assert len(got) == len(want) and {tuple(r[c] for c in COLUMNS) for r in got} == want
+
+
+def test_op13(run, docs):
+    own = [(i, plain_fingerprint(text)) for i, text in docs]
+    want = plain_components(own, 4)
+    assert sorted((r.doc_id, r.fingerprint, r.component_id) for r in run("op13_simhash")) == sorted((i, f"{f:016x}", want[i]) for i, f in own)
