@@ -5,10 +5,9 @@ the family, then one-versus-one linear machines vote among the languages within
 it.  Features are hashed counts of 2 and 3 bytes of the whole lower-cased text
 with other than letters taken as blanks, square-rooted and of unit length.
 
-Training takes a bounded sample of the labelled rows: the ``MAX_LANGUAGES`` most frequent
-values of the language column (ties to the smaller name), and of each language at most
-``PER_LANGUAGE`` different rows, fewer where that would make more than ``MAX_ROWS`` in all: those
-of the smallest hash of id and text.  Their feature vectors are made on the executors.
+Training takes a bounded sample of the labelled rows: of each language at most
+``PER_LANGUAGE`` different rows, fewer (but one) where that would make more than ``MAX_ROWS`` in all: those
+of the smallest hash of id and text.  A caller may leave out all but the most frequent languages (ties to the smaller name).  Their feature vectors are made on the executors.
 Everything else covers every row.
 
 Cases: a null text or one without letters is ``und`` with score 0; with no
@@ -38,8 +37,8 @@ FAMILIES = {
     "indic": "bn gu hi mr ne pa ur",
 }
 DIMENSIONS = 1 << 12
-#: Bounds of the training sample: rows of a language, languages, rows in all (16 KB each on the driver).
-PER_LANGUAGE, MAX_LANGUAGES, MAX_ROWS = 400, 64, 8000
+#: Bounds of the training sample: rows of a language, rows in all (16 KB each on the driver; at least one of each language).
+PER_LANGUAGE, MAX_ROWS = 400, 8000
 UNDETERMINED = "und"
 #: Any character that isn't a letter; one byte values that separate words.
 has_letter = regex.compile(r"\p{L}").search
@@ -120,14 +119,15 @@ class Hierarchy:
         return lang, float(score * (sure(margin[lang] / (len(group) - 1)) if len(group) > 1 else 1.0))
 
 
-def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Hierarchy:
-    """A hierarchy from at most ``per_language`` rows of each language.
+def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, languages: int | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Hierarchy:
+    """A hierarchy from at most ``per_language`` rows of each language; of all languages, unless only so many of the most frequent are wanted.
 
     The rows are picked by their hashes alone; only the picked ones' texts are moved.
     """
     h = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit("train"))
     rows = small_batches(labelled).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), h.alias("h")).filter("lang is not null and text is not null")
-    top = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGUAGES).collect()
+    top = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang")
+    top = (top if languages is None else top.limit(languages)).collect()  # one row a language
     langs = sorted(r["lang"] for r in top)
     if not langs:
         return Hierarchy(np.empty((0, DIMENSIONS), "f4"), [])
@@ -154,7 +154,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "
 
 def predict(docs: DataFrame, model: Hierarchy, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score for each row's whole text; every other column is kept."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a machine for each pair of languages within a family: bounded by MAX_LANGUAGES
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a machine for each pair of languages within a family: as large as the list of languages
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
     def run(texts: pa.Array) -> pa.Array:

@@ -20,7 +20,7 @@ def op2_bpe(spark, sf_dir):
 def op3_top_k(spark, sf_dir):
     from .topk import search
 
-    return search(read_table(spark, sf_dir, "embeddings"))
+    return search(read_table(spark, sf_dir, "embeddings")).drop("evaluated")
 
 
 def op4_substring_dedup(spark, sf_dir):

@@ -71,24 +71,29 @@ def grams(text: F.Column) -> F.Column:
     return F.slice(out, 1, n)
 
 
-def score_table(counted: DataFrame) -> DataFrame:
-    """Rows (model, gram, score) from the accepted and rejected counts of all grams that occur; at most BASE ** (ORDER + 1) rows a model."""
-    table = None
+def score_table(counted: DataFrame, models: int) -> DataFrame:
+    """Rows (model, gram, score) for every gram there can be, BASE ** (ORDER + 1) a model, from the accepted and rejected counts of those that occur.
+
+    Order by order, each cell mixes its own counts with the score of its shorter context; a gram that
+    no labelled URL has so gets what its shorter contexts give it."""
+    table, what = None, ("accepted", "rejected")
     for order in range(ORDER + 1):
-        own = counted.groupBy("model", (F.col("gram") % BASE ** (order + 1)).alias("g")).agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"))
-        own = own.withColumn("context", F.floor(F.col("g") / BASE))
-        per = own.groupBy("model", "context").agg(*[f(F.col(c)).alias(f"{c}_{n}") for c in ("accepted", "rejected") for n, f in (("n", F.sum), ("t", lambda x: F.sum((x > 0).cast("long"))))])
-        own = own.join(per, ["model", "context"])
+        size = BASE ** (order + 1)
+        own = counted.groupBy("model", (F.col("gram") % size).alias("g")).agg(*[F.sum(c).alias(c) for c in what])
+        per = own.groupBy("model", F.floor(F.col("g") / BASE).alias("context")).agg(*[f(F.col(c)).alias(f"{c}_{n}") for c in what for n, f in (("n", F.sum), ("t", lambda x: F.sum((x > 0).cast("long"))))])
+        cells = counted.sparkSession.range(models * size).select(F.floor(F.col("id") / size).cast("int").alias("model"), (F.col("id") % size).alias("g"))
+        cells = cells.withColumns({"context": F.floor(F.col("g") / BASE), "short": F.col("g") % BASE**order})
+        cells = cells.join(own, ["model", "g"], "left").join(per, ["model", "context"], "left").na.fill(0)
         if table is None:
-            own = own.withColumn("a", F.lit(1.0 / BASE)).withColumn("r", F.lit(1.0 / BASE))
+            cells = cells.withColumns({"a": F.lit(1.0 / BASE), "r": F.lit(1.0 / BASE)})
         else:
-            own = own.withColumn("short", F.col("g") % BASE**order).join(table.withColumnRenamed("g", "short"), ["model", "short"])
+            cells = cells.join(table.withColumnRenamed("g", "short"), ["model", "short"])
 
         def mixed(c, shorter):
             n, t = F.col(f"{c}_n"), F.col(f"{c}_t")
             return F.when(n == 0, F.col(shorter)).otherwise((F.col(c) + t * F.col(shorter)) / (n + t))
 
-        table = own.select("model", "g", mixed("accepted", "a").alias("a"), mixed("rejected", "r").alias("r"))
+        table = cells.select("model", "g", mixed("accepted", "a").alias("a"), mixed("rejected", "r").alias("r"))
     return table.select("model", F.col("g").alias("gram"), F.round((F.log("a") - F.log("r")) * SCALE).cast("long").alias("score"))
 
 
@@ -124,10 +129,9 @@ def judge(pages: DataFrame, rules: dict[str, str] | None = None, id_col: str = "
     counted = written(counted, "url-grams")
     # model k lacks fold k; the last one has all
     models = F.array(*[F.when(F.col("fold") != k, F.lit(k)) for k in range(FOLDS)], F.lit(FOLDS))
-    scores = written(score_table(counted.withColumn("model", F.explode(F.array_compact(models)))), "url-scores")
-    cells = pages.sparkSession.range((FOLDS + 1) * CELLS).withColumnRenamed("id", "cell")
-    held = scores.select((F.col("model") * CELLS + F.col("gram")).alias("cell"), "score")
-    dense = cells.join(held, "cell", "left").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", F.coalesce("score", F.lit(0)).alias("score")))), lambda x: x["score"]).alias("scores"))
+    scores = written(score_table(counted.withColumn("model", F.explode(F.array_compact(models))), FOLDS + 1), "url-scores")
+    cell = F.struct((F.col("model") * CELLS + F.col("gram")).alias("cell"), "score")
+    dense = scores.agg(F.transform(F.array_sort(F.collect_list(cell)), lambda x: x["score"]).alias("scores"))
 
     def mean(model: F.Column) -> F.Column:
         total = F.aggregate(gram, F.lit(0).cast("long"), lambda acc, g: acc + F.element_at(F.col("scores"), g + 1 + F.col("first")))

@@ -132,3 +132,15 @@ def test_shared_folder(spark):
     with pytest.raises(ValueError, match="checkpoint"):
         shared.shared_dir(Cluster())
     assert shared.shared_dir(spark).startswith("file:///")
+
+
+def test_ids_at_both_ends_of_a_long(spark):
+    """The stage of near copies takes any long for an id, next to ids that are null or shared."""
+    p = pytest.importorskip("corpus_pipeline")
+    r = random.Random(8)
+    texts = [" ".join(r.choices([f"w{k}" for k in range(500)], k=40)) for _ in range(4)]
+    top, low = (1 << 63) - 1, -(1 << 63)
+    rows = [(top, texts[0]), (low, texts[0]), (None, texts[1]), (7, texts[1]), (8, texts[2]), (8, texts[3]), (None, texts[3]), (top - 1, texts[2])]
+    docs = spark.createDataFrame([(*x, "en", "s", 1, "mine") for x in rows], "doc_id long, text string, lang string, source string, n_chars long, __row string")
+    got = sorted((str(x.doc_id), texts.index(x.text)) for x in p.drop_near_copies(spark, docs, "").collect())
+    assert [x for x in got if x[1] < 3] == sorted([(str(low), 0), ("7", 1), (str(top - 1), 2)]) and sum(x[1] == 3 for x in got) == 1
