@@ -32,17 +32,19 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked at 0.8 or more on five-word shingles, the one of smallest id stays.
 
-    Rows whose id is null or shared get keys of their own above all ids, so each text is judged by itself.
+    Rows whose id is null or shared are judged by themselves: where there are any, all rows are numbered in
+    the order of their ids, those rows last, whatever longs the ids are.
     """
     scratch, key = Scratch(spark), free_name(docs, "__key")
     odd = scratch.written(docs.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1 or doc_id is null").select("doc_id"), "odd-ids")
     keyed = docs.withColumn(key, F.col("doc_id").cast("long"))
     if odd.limit(1).count():
-        same = docs["doc_id"].eqNullSafe(odd["doc_id"])
-        top = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0]
-        # written once, so that the numbers stay
-        own = scratch.written(docs.join(small_or_shuffled(odd), same, "left_semi").withColumn(key, F.monotonically_increasing_id() + top + 1), "own-keys")
-        keyed = docs.join(small_or_shuffled(odd), same, "left_anti").withColumn(key, F.col("doc_id").cast("long")).unionByName(own)
+        row, last = free_name(keyed, "__row"), free_name(keyed, "__last")
+        rows = scratch.written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")  # written once, so that the numbers stay
+        flags = small_or_shuffled(odd.select(F.col("doc_id").alias("__odd"), F.lit(True).alias(last)))
+        rows = rows.join(flags, F.col("doc_id").eqNullSafe(F.col("__odd")), "left").drop("__odd").withColumn(last, F.col(last).isNotNull())
+        # numbers of sorted rows ascend with their order; null ids in great numbers are spread by their row
+        keyed = scratch.written(rows.orderBy(last, "doc_id", row).withColumn(key, F.monotonically_increasing_id()).drop(row, last), "own-keys")
     found = ngram_join.link(keyed, width=5, p=4, q=5, id_col=key)
     gone = scratch.written(found.filter("component_id <> doc_id").select(F.col("doc_id").alias(key)), "near-copies")
     return keyed.join(small_or_shuffled(gone), key, "left_anti").select(docs.columns)
