@@ -7,45 +7,76 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BASE = 0xC2B2AE3D27D4EB4F
 KIND = "struct<repeat:string,sequence:string,prop:double>"
+#: Sequences up to this length are sorted by their suffixes as they are; arrays would take longer to set up.
+SHORT = 200
 
 
-def longest_repeat(seq: str) -> str:
-    """The longest substring that occurs at least twice (overlaps count), the greatest of equally long ones.
+def suffix_array(seq: str) -> np.ndarray:
+    """Starts of all suffixes in their order, by prefix doubling.
 
-    Bisection on the length; equal windows are found by rolling hashes and then compared, so time is
-    about n log n and memory a few numbers a character.
+    Ranks of the first ``width`` characters of every suffix become those of twice as many by sorting pairs of them. As many characters as
+    fit into a whole number are packed at the start, so few rounds follow unless long stretches repeat; time is n log n a round, rounds at most log n.
     """
-    if len(seq) < 2:
-        return ""
-    codes = np.frombuffer(seq.encode("utf-32-le", "surrogatepass"), "<u4").astype("u8")
-    with np.errstate(over="ignore"):
-        mixed = (codes + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-        up = np.multiply.accumulate(np.concatenate([np.ones(1, "u8"), np.full(len(seq), BASE, "u8")]))
-        total = np.concatenate([np.zeros(1, "u8"), np.cumsum(mixed * up[:-1], dtype="u8")])
-
-    def repeated(n: int) -> str:
-        with np.errstate(over="ignore"):
-            h = (total[n:] - total[:-n]) * up[::-1][n - 1 : len(seq)]  # every window's hash, shifted to one power
-        order = np.argsort(h, kind="stable")
-        same = np.flatnonzero(h[order[1:]] == h[order[:-1]])
-        best = ""
-        for a, b in zip(order[same].tolist(), order[same + 1].tolist()):
-            x = seq[a : a + n]
-            if x > best and x == seq[b : b + n]:
-                best = x
-        return best
-
-    low, high, best = 0, len(seq) - 1, ""
-    while low < high:  # having a repeat of some length means having one of every shorter length
-        mid = (low + high + 1) // 2
-        if x := repeated(mid):
-            low, best = mid, x
-        else:
-            high = mid - 1
-    return best
+    codes = np.unique(np.frombuffer(seq.encode("utf-32-le", "surrogatepass"), "<u4"), return_inverse=True)[1]
+    n, key = len(codes), codes.astype("i8") + 1  # 0 stands behind the end
+    bits, width = int(key.max(initial=1)).bit_length(), 1
+    behind = lambda x: np.concatenate([x[width:], np.zeros(min(width, n), x.dtype)])
+    while 2 * width * bits <= 62:
+        key, width = key << width * bits | behind(key), 2 * width
+    while True:
+        order = np.argsort(key, kind="stable")
+        in_order = key[order]
+        new = np.concatenate([[0], np.cumsum(in_order[1:] != in_order[:-1])]) if n else order
+        if not n or new[-1] == n - 1:
+            return order
+        rank = np.empty(n, "i8")
+        rank[order] = new + 1
+        key, width = rank * (n + 1) + behind(rank), 2 * width
+
+
+def shared_prefixes(seq: str, order: np.ndarray) -> np.ndarray:
+    """What each suffix of the order shares with the one before it (Kasai's method: going on by one character loses at most one)."""
+    n = len(order)
+    before = np.full(n, -1)
+    before[order[1:]] = order[:-1]
+    out, h = [0] * n, 0
+    for i, j in enumerate(before.tolist()):
+        if j < 0:
+            h = 0
+            continue
+        most = n - max(i, j)
+        while h < most and seq[i + h] == seq[j + h]:
+            h += 1
+        out[i] = h
+        h -= h > 0
+    return np.array(out, "i8")[order]
+
+
+def longest_repeat(seq: str) -> tuple[str, list[int]]:
+    """The longest substring that occurs at least twice (overlaps count), the greatest of equally long ones, and where it occurs."""
+    if len(seq) <= SHORT:
+        suffixes, most, unit = sorted(seq[i:] for i in range(len(seq))), 0, ""
+        for a, b in zip(suffixes, suffixes[1:]):
+            n = most  # one that is shorter than the longest so far isn't measured
+            if n and a[:n] != b[:n]:
+                continue
+            while n < len(a) and a[n] == b[n]:
+                n += 1
+            if n:
+                most, unit = n, a[:n]
+        return unit, [i for i in range(len(seq) - most + 1) if unit and seq.startswith(unit, i)]
+    order = suffix_array(seq)
+    shared = shared_prefixes(seq, order)
+    most = int(shared.max(initial=0))
+    if not most:
+        return "", []
+    last = len(shared) - 1 - int(np.argmax(shared[::-1] == most))  # of equally long ones the greatest comes last
+    first = last
+    while first > 0 and shared[first] == most:
+        first -= 1
+    at = np.sort(order[first : last + 1]).tolist()
+    return seq[at[0] : at[0] + most], at
 
 
 def largest_repeat(seq: str | None) -> tuple[str, str, float] | None:
@@ -53,13 +84,10 @@ def largest_repeat(seq: str | None) -> tuple[str, str, float] | None:
 
     Occurrences further apart than the unit's length add nothing; a unit that covers just itself is no repeat.
     """
-    unit = longest_repeat(seq or "")
+    unit, at = longest_repeat(seq or "")
     if not unit:
         return None
-    n, at, i = len(unit), [], seq.find(unit)
-    while i >= 0:
-        at.append(i)
-        i = seq.find(unit, i + 1)
+    n = len(unit)
     total = n + sum(d for a, b in zip(at, at[1:]) if (d := b - a) <= n)
     if total == n:
         return None
