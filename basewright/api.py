@@ -14,7 +14,7 @@ from .operators.intervals import range_join
 from .operators.merge import bed9, merge_misassemblies
 from .operators.pileup import pileup, rolling_mean
 from .shared import written
-from .sources.bam import bam_contigs, read_bam
+from .sources.bam import bam_contigs, read_alignments
 from .sources.bed import read_bed, read_ignored
 from .sources.fasta import read_fai, read_fasta
 from .sources.tiles import tiles
@@ -48,6 +48,16 @@ def region_errors(found: DataFrame, contigs: DataFrame | None = None) -> DataFra
     return found.withColumn("error", why).filter("error is not null")
 
 
+def broken_regions(found: DataFrame, broken: DataFrame) -> DataFrame:
+    """Regions that overlap parts of the alignment file that can't be read, with the reason.  ``broken``: (chrom, start, until, error);
+    a part without a contig's name may hold reads of any."""
+    parts = broken.select("chrom", F.col("start").cast("long").alias("b_st"), F.col("until").alias("b_end"), "error")
+    met = range_join(found, parts.filter("chrom <> ''"), ["chrom"], ("st", "end"), ("b_st", "b_end"))
+    anywhere = parts.filter("chrom = ''").agg(F.min("error").alias("error")).filter("error is not null")  # one row
+    met = met.select("region_id", "chrom", "st", "end", "error").unionByName(found.join(F.broadcast(anywhere)).select("region_id", "chrom", "st", "end", "error"))
+    return met.groupBy("region_id", "chrom", "st", "end").agg(F.min("error").alias("error"))
+
+
 def classified_pileup(reads: DataFrame, found: DataFrame, cfg: Config, bins: DataFrame | None = None) -> DataFrame:
     """The pileup with bins, peaks of every signal and a status for each base."""
     found = found.filter("st >= 0 and end >= st and chrom is not null")
@@ -99,7 +109,11 @@ def call_file(spark: SparkSession, aln: str, fasta: str | None = None, bed: str
     errors = region_errors(found, contigs)
     good = found.join(errors.select("region_id"), "region_id", "left_anti")
     some = good.select("chrom", "st", "end").limit(REGIONS_READ + 1).collect()
-    reads = read_bam(spark, aln, [tuple(r) for r in some] if len(some) <= REGIONS_READ else None)
+    # one pass over the file, whose parts that can't be read become rows of their own
+    rows = written(read_alignments(spark, aln, [tuple(r) for r in some] if len(some) <= REGIONS_READ else None, errors=True), "reads")
+    broken = written(broken_regions(good, rows.filter("error is not null")), "broken-regions")
+    good, errors = good.join(broken.select("region_id"), "region_id", "left_anti"), errors.unionByName(broken)
+    reads = rows.filter("error is null").select("chrom", "start", "cigar", "mapq")
     chunks = read_fasta(spark, fasta) if fasta else None
     lengths = read_fai(spark, fasta + ".fai").select("chrom", "length") if fasta else None
     called = call_regions(reads, good, conf, read_ignored(spark, ignore_bed), chunks, lengths)
@@ -112,4 +126,7 @@ def call_region(spark: SparkSession, aln: str, region: tuple[int, int, str], fas
     found = spark.createDataFrame([(0, chrom, st, end)], "region_id long, chrom string, st long, end long")
     if bad := region_errors(found, bam_contigs(spark, aln)).collect():
         raise ValueError(f"{chrom}:{st}-{end}: {bad[0]['error']}")
-    return call_file(spark, aln, fasta, ignore_bed=ignore_bed, cfg=cfg, preset=preset, found=found)
+    calls = call_file(spark, aln, fasta, ignore_bed=ignore_bed, cfg=cfg, preset=preset, found=found)
+    if bad := calls.errors.collect():
+        raise ValueError(f"{chrom}:{st}-{end}: {bad[0]['error']}")
+    return calls

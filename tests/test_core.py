@@ -1,6 +1,7 @@
 """Unit vectors of the core operators."""
 
 import gzip
+import json
 import random
 import statistics
 import struct
@@ -250,18 +251,48 @@ def bam_block(data):
     return raw[:3] + b"\4" + raw[4:10] + struct.pack("<H", 6) + b"BC" + struct.pack("<HH", 2, size) + raw[10:]
 
 
-def bam_file(path, contigs, reads):
-    """Reads (ref, start from 0, mapq, ops, ...) in order, and an index with the linear part alone."""
+def bins_of(st, end, shift=14, depth=5):
+    """The smallest bin that holds [st, end)."""
+    for level in range(depth, 0, -1):
+        at = shift + 3 * (depth - level)
+        if st >> at == end - 1 >> at:
+            return ((1 << 3 * level) - 1) // 7 + (st >> at)
+    return 0
+
+
+def bam_file(path, contigs, reads, per_block=1, depth=5, csi=False):
+    """Reads (ref, start from 0, mapq, ops, ...) in order, so many a block, and an index."""
     head = b"BAM\1" + struct.pack("<i", 0) + struct.pack("<i", len(contigs)) + b"".join(struct.pack("<i", len(c) + 1) + c.encode() + b"\0" + struct.pack("<i", n) for c, n in contigs)
-    out, index = bam_block(head), [[0] * (n // 16384 + 1) for _, n in contigs]
-    for r in sorted(reads, key=lambda r: r[:2]):
-        size = sum(n for n, o in r[3] if o in "MDN=X")
-        for w in range(r[1] >> 14, min(r[1] + size - 1 >> 14, len(index[r[0]]) - 1) + 1):
-            index[r[0]][w] = index[r[0]][w] or len(out) << 16
-        out += bam_block(bam_record(*r))
+    out, linear, bins = bam_block(head), [{} for _ in contigs], [{} for _ in contigs]
+    reads = sorted(reads, key=lambda r: r[:2])
+    for k in range(0, len(reads), per_block):
+        block, base = b"", len(out) << 16
+        for r in reads[k : k + per_block]:
+            size = max(1, sum(n for n, o in (r[3] if not (len(r) > 5 and b"CGBI" in r[5]) else [(93, "M")]) if o in "MDN=X"))
+            begin = base | len(block)
+            block += bam_record(*r)
+            for w in range(r[1] >> 14, (r[1] + size - 1 >> 14) + 1):
+                linear[r[0]].setdefault(w, begin)
+            number = bins_of(r[1], r[1] + size, 14, depth)
+            bins[r[0]].setdefault(number, []).append((begin, base | len(block)))
+        out += bam_block(block)
     path.write_bytes(out + bam_block(b""))
-    bai = b"BAI\1" + struct.pack("<i", len(contigs)) + b"".join(struct.pack(f"<ii{len(w)}Q", 0, len(w), *w) for w in index)
-    path.with_name(path.name + ".bai").write_bytes(bai)
+    index = b"CSI\1" + struct.pack("<iiii", 14, depth, 0, len(contigs)) if csi else b"BAI\1" + struct.pack("<i", len(contigs))
+    for own, first in zip(bins, linear):
+        full = [first.get(w, 0) for w in range(max(first, default=-1) + 1)]
+        index += struct.pack("<i", len(own) + 1)
+        for number, chunks in own.items():
+            if csi:
+                level = max(lv for lv in range(depth + 1) if ((1 << 3 * lv) - 1) // 7 <= number)
+                w = number - ((1 << 3 * level) - 1) // 7 << 3 * (depth - level)
+                least = min([v for k, v in first.items() if w <= k < w + (1 << 3 * (depth - level))])
+            index += struct.pack("<IQi", number, least, len(chunks)) if csi else struct.pack("<Ii", number, len(chunks))
+            index += b"".join(struct.pack("<QQ", *c) for c in chunks)
+        beyond = ((1 << 3 * (depth + 1)) - 1) // 7 + 1  # counts, no bin
+        index += (struct.pack("<IQi", beyond, 0, 2) if csi else struct.pack("<Ii", beyond, 2)) + struct.pack("<4Q", 1, 2, 3, 4)
+        if not csi:
+            index += struct.pack(f"<i{len(full)}Q", len(full), *full)
+    path.with_name(path.name + (".csi" if csi else ".bai")).write_bytes(bam_block(index) if csi else index)
     return str(path)
 
 
@@ -284,6 +315,67 @@ def test_bam(spark, tmp_path):
     assert {(r.chrom, r.length) for r in bam_contigs(spark, path).collect()} == {("ctg", 1000), ("big", 120_000)}
 
 
+def ranges_read(monkeypatch):
+    """Counts the blocks that are inflated."""
+    from basewright.sources import bam
+
+    seen, plain = [], bam.Bgzf._load
+    monkeypatch.setattr(bam.Bgzf, "_load", lambda self, offset: seen.append(offset) or plain(self, offset))
+    return seen
+
+
+def test_bins_and_csi(spark, tmp_path, monkeypatch):
+    """A contig of 600 Mb by a CSI index of depth 6; a region reads the blocks of its bins alone, with a start and an end."""
+    from basewright.sources import bam
+
+    r = random.Random(3)
+    contigs = [("long", 600_000_000), ("none", 5000), ("short", 90_000)]
+    reads = [(0, s, 60, [(r.choice([80, 5000, 300_000]), "M")]) for s in sorted(r.sample(range(599_000_000), 3000))] + [(2, s, 7, [(50, "M")]) for s in range(0, 80_000, 100)]
+    path = bam_file(tmp_path / "x.bam", contigs, reads, per_block=3, depth=6, csi=True)
+    spans = [(contigs[c][0], s + 1, s + ops[0][0], q) for c, s, q, ops in reads]
+    blocks = (len(reads) + 2) // 3
+    seen = ranges_read(monkeypatch)
+    for wanted in ({"long": [[550_000_000, 550_400_000]]}, {"long": [[1, 2_000_000], [599_500_000, 600_000_000]], "short": [[5000, 5100]]}, {"short": [[89_000, 90_000]]}):
+        seen.clear()
+        reader = bam.BamReader({"path": path, "regions": json.dumps(wanted)})
+        parts = reader.partitions()
+        got = sorted((chrom, st, int(cigar[:-1]) + st - 1, q) for p in parts for chrom, st, cigar, q in reader.read(p))
+        assert got == sorted(x for x in spans if any(x[1] <= end and x[2] >= st for st, end in wanted.get(x[0], [])))
+        assert len(set(seen)) < blocks / 8 and all(end > st for p in parts for st, end in p.stretches)
+    whole = sorted((x.chrom, x.start, x.mapq) for x in bam.read_bam(spark, path).collect())
+    assert whole == sorted((c, st, q) for c, st, _, q in spans)
+    with pytest.raises(ValueError, match="CSI"):
+        bam.Index((tmp_path / "x.bam.csi").read_bytes()).stretches(0, 0, 1 << 40)
+    # the same reads of a contig that a BAI holds give the same rows
+    near = [x for x in reads if x[1] < 500_000_000]
+    short = bam_file(tmp_path / "y.bam", [("long", 500_000_000), *contigs[1:]], near, per_block=5)
+    some = [("long", 100_000_000, 101_000_000), ("short", 1, 50), ("long", 499_990_000, 500_000_000)]
+    assert sorted((x.chrom, x.start, x.mapq) for x in bam.read_bam(spark, short, some).collect()) == sorted((c, st, q) for c, st, end, q in spans if st <= 500_000_000 and any(c == n and st <= b and end >= a for n, a, b in some))
+
+
+def test_broken_block(spark, tmp_path):
+    """One corrupt block: regions that its reads overlap are named, all others are called."""
+    from basewright.sources import bam
+
+    reads = [(c, s, 60, [(50, "=")]) for c in (0, 1) for s in range(0, 3_000_000, 900)]
+    path = bam_file(tmp_path / "a.bam", [("c", 3_000_100), ("d", 3_000_100)], reads, per_block=50)
+    raw = bytearray((tmp_path / "a.bam").read_bytes())
+    index = bam.read_index(path)
+    at = index.stretches(0, 1_500_000, 1_500_001)[0][0] >> 16
+    raw[at + 30 : at + 40] = bytes(10)
+    (tmp_path / "a.bam").write_bytes(raw)
+    (tmp_path / "r.bed").write_text("c\t100\t2000\nc\t1499000\t1501000\nd\t1499000\t1501000\nc\t2990000\t2991000\ne\t1\t5\n")
+    calls = api.call_file(spark, path, bed=str(tmp_path / "r.bed"))
+    errors = {(x.chrom, x.st): x.error for x in calls.errors.collect()}
+    assert set(errors) == {("c", 1499000), ("e", 1)} and "Error" in errors["c", 1499000]
+    assert {(x.chrom, x.chromStart) for x in calls.regions.collect()} >= {("c", 100), ("d", 1499000), ("c", 2990000)}
+    assert {x.chrom for x in calls.pileup.filter("pos between 1499000 and 1501000").select("chrom").distinct().collect()} == {"d"}
+    with pytest.raises(ValueError, match="Error"):
+        api.call_region(spark, path, (1_499_000, 1_501_000, "c"))
+    with pytest.raises(Exception, match="(?i)error"):
+        bam.read_bam(spark, path).count()
+
+
 def test_files_and_command_line(spark, tmp_path, capsys):
     from basewright.__main__ import main as command
 
@@ -401,10 +493,16 @@ def test_longest_repeat_of_long_sequences():
     r = random.Random(9)
     for _ in range(60):
         seq = "".join(r.choices(r.choice(["AC", "ACGT", "A", "ACGTNé"]), k=r.randint(0, 60)))
-        assert longest_repeat(seq) == plain(seq), seq
+        assert longest_repeat(seq)[0] == plain(seq), seq
     long = "".join(r.choices("ACGT", k=200_000))
     long = long[:150_000] + long[20_000:60_000] + long[150_000:]
-    assert longest_repeat(long) in long[19_990:60_010] and len(longest_repeat(long)) >= 40_000
+    found, at = longest_repeat(long)
+    assert found in long[19_990:60_010] and len(found) >= 40_000 and len(at) == 2 and all(long.startswith(found, i) for i in at)
+    for seq in (long[:150], long[:150] * 3, "N" * 500, long[:7] * 90):
+        whole = longest_repeat(seq)
+        assert whole[0] == plain(seq) and whole[1] == [i for i in range(len(seq)) if seq.startswith(whole[0], i)]
+    # a tandem repeat of two million bases: windows compared one by one would take hours
+    assert largest_repeat("AC" * 1_000_000) == ("repeat", "AC" * 999_999, 1.0)
 
 
 def test_calls_tile_regions(spark):
