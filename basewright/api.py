@@ -64,7 +64,8 @@ def classified_pileup(reads: DataFrame, found: DataFrame, cfg: Config, bins: Dat
     frame = pileup(reads, found, cfg.indel.min_ins_size, cfg.indel.min_del_size, cfg.mapq.mapq_agg_fn)
     frame = rolling_mean(frame, {"cov": cfg.cov.rolling_mean_window, "mismatch": cfg.mismatch.rolling_mean_window, "indel": cfg.indel.rolling_mean_window}, dense=True)
     frame = binning.assign_bins(frame, bins) if bins is not None else frame.withColumn("bin", F.lit(0).cast("long"))
-    return classify_bases(signals(frame, cfg), cfg)
+    # read by the statistics and by the bases they are joined to; the step from blocks to bases so runs once
+    return classify_bases(signals(written(frame, "bases"), cfg), cfg)
 
 
 def identity_bins(reads: DataFrame, found: DataFrame, chunks: DataFrame, cfg: Config) -> DataFrame:

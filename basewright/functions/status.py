@@ -44,6 +44,16 @@ def stronger(a: Column, b: Column) -> Column:
     return F.when(over(a, b), a).otherwise(b)
 
 
+def stronger_of(before: Column, status: Column) -> Column:
+    """The images of all statuses after one more: ``before`` has those so far, in the order of COLOURS."""
+    return F.transform(before, lambda x: stronger(x, status))
+
+
+def image(images: Column, status: Column) -> Column:
+    """Where the images of all statuses take one; a status that isn't known stays."""
+    return F.coalesce(F.get(images, F.array_position(F.array(*map(F.lit, COLOURS)), status).cast("int") - 1), status)
+
+
 def colour(status: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in COLOURS.items() for x in kv]), status), F.lit("0,0,0"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,32 +68,67 @@ def position_runs(frame: DataFrame, part: list[str], key: str, contiguous: bool,
     return joined.groupBy(*part, "__whole").agg(F.min("st").alias("st"), F.max("end").alias("end"), F.first(key).alias(key), *[g(F.col(c)).alias(c) for c, (_, g) in aggs.items()]).drop("__whole")
 
 
-def merge_intervals(frame: DataFrame, part: list[str], distance: int, joins: Callable[[Callable[[str], Column]], Column] | None = None, fold: dict[str, Callable[[Column, Column], Column]] | None = None) -> DataFrame:
-    """Joins neighbours (st, end) in ascending order of st (then ``ord``) whose gap is at most ``distance``.
+class Fold(NamedTuple):
+    """How values of a run combine from left to right, and the functions of what comes from the left that rows make.
+
+    step: the value so far and the next one; nothing: the function of no rows; then: a function and the next row's value;
+    apply: a function and a value from the left.
+    """
+
+    step: Callable[[Column, Column], Column]
+    nothing: Callable[[], Column]
+    then: Callable[[Column, Column], Column]
+    apply: Callable[[Column, Column], Column]
+
+
+ADD = Fold(lambda x, y: x + y, lambda: F.lit(0).cast("long"), lambda f, y: f + y, lambda f, x: x + f)
+MOST = Fold(F.greatest, lambda: F.lit(None).cast("long"), F.greatest, lambda f, x: F.greatest(x, f))
+
+
+def merge_intervals(frame: DataFrame, part: list[str], distance: int | None, joins: Callable[[Callable[[str], Column]], Column] | None = None, fold: dict[str, Fold] | None = None) -> DataFrame:
+    """Joins neighbours (st, end) in ascending order of st (then ``ord``) whose gap is at most ``distance``, if one is given.
 
     ``joins`` gets a function from a column's name to its value on the row before and says whether the
-    rows may join; ``fold`` gives, for each further column, how the value so far and the next one
-    combine, from left to right (others keep the first row's).  The end is the last row's.
+    rows may join; ``fold`` gives, for each further column, how its values combine
+    from left to right (others keep the first row's).  The end is the last row's.
+
+    Runs are found within tiles of the axis first, each with the folded value of its own rows, and the first run of a tile also as a function of the
+    value from the left.  Only the first and the last run of each tile then meet over a whole part, where these functions are applied; no row
+    or group holds more than one tile's intervals, or two runs a tile.
     """
-    order = Window.partitionBy(*part).orderBy("st", "ord")
-    before = lambda c: F.lag(c).over(order)
-    near = F.col("st") - before("end") <= distance
-    if joins is not None:
-        near = near & joins(before)
-    marked = frame.withColumn("__new", F.coalesce(~near, F.lit(True))).withColumn("__island", island(part, ["st", "ord"], F.col("__new")))
-    rest = [c for c in frame.columns if c not in (*part, "st", "end", "ord")]
-    packed = marked.groupBy(*part, "__island").agg(F.array_sort(F.collect_list(F.struct("st", "ord", "end", *rest))).alias("rows"))
-    fold = fold or {}
-    first = F.col("rows")[0]
-    out = {"st": first["st"], "end": F.element_at("rows", -1)["end"], "ord": first["ord"]}
-    for c in rest:
-        f = fold.get(c)
-        out[c] = first[c] if f is None else F.aggregate(F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0))), first[c], _on_field(f, c))
-    return packed.select(*part, *[v.alias(k) for k, v in out.items()])
-
-
-def _on_field(f: Callable[[Column, Column], Column], name: str) -> Callable[[Column, Column], Column]:
-    return lambda acc, row: f(acc, row[name])
+    fold, rest = fold or {}, [c for c in frame.columns if c not in (*part, "st", "end", "ord")]
+
+    def starts(before: Callable[[str], Column]) -> Column:
+        near = F.lit(True) if distance is None else F.col("st") - before("end") <= distance
+        return F.coalesce(~(near & joins(before) if joins is not None else near), F.lit(True))
+
+    tile = [*part, "__tile"]
+    local, whole_tile = Window.partitionBy(*tile).orderBy("st", "ord"), Window.partitionBy(*tile)
+    first_row = F.row_number().over(local) == 1
+    tiled = frame.withColumn("__tile", F.floor(F.col("st") / TILE))
+    tiled = tiled.withColumn("__new", first_row | starts(lambda c: F.lag(c).over(local))).withColumn("__run", island(tile, ["st", "ord"], F.col("__new")))
+    packed = tiled.groupBy(*tile, "__run").agg(F.array_sort(F.collect_list(F.struct("st", "ord", "end", *rest))).alias("rows"))
+    first, later = F.col("rows")[0], F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0)))
+    over_rows = lambda rows, start, f, c: F.aggregate(rows, start, lambda acc, row: f(acc, row[c]))
+    values = {c: over_rows(later, first[c], fold[c].step, c) if c in fold else first[c] for c in rest}
+    functions = F.struct(F.lit(True).alias("any"), *[over_rows("rows", f.nothing(), f.then, c).alias(c) for c, f in fold.items()])
+    # names of the run's first row, so that ``joins`` finds them; its last row, values and functions beside
+    runs = packed.select(
+        *tile, "__run", *[first[c].alias(c) for c in ("st", "ord", "end", *rest)], F.element_at("rows", -1).alias("__last"),
+        F.struct(F.lit(True).alias("any"), *[v.alias(c) for c, v in values.items()]).alias("__values"), F.when(F.col("__run") == 1, functions).alias("__functions"),
+    )
+    # a run inside a tile is whole and stays by itself
+    inside = (F.col("__run") > 1) & (F.col("__run") < F.max("__run").over(whole_tile))
+    runs = runs.withColumn("__inside", inside).withColumns({"__t": F.when(F.col("__inside"), F.col("__tile")), "__r": F.when(F.col("__inside"), F.col("__run"))})
+    group = [*part, "__t", "__r"]
+    order = Window.partitionBy(*group).orderBy("__tile", "__run")
+    runs = runs.withColumn("__new", (F.col("__run") > 1) | starts(lambda c: F.lag(F.col("__last")[c]).over(order)))
+    runs = runs.withColumn("__whole", island(group, ["__tile", "__run"], F.col("__new")))
+    chained = runs.groupBy(*group, "__whole").agg(F.array_sort(F.collect_list(F.struct("__tile", "__run", "st", "ord", "__last", "__values", "__functions"))).alias("rows"))
+    over_runs = lambda f, c: F.aggregate(later, first["__values"][c], lambda acc, run: f.apply(run["__functions"][c], acc))
+    joined = {c: over_runs(fold[c], c) if c in fold else first["__values"][c] for c in rest}
+    out = {"st": first["st"], "end": F.element_at("rows", -1)["__last"]["end"], "ord": first["ord"], **joined}
+    return chained.select(*part, *[v.alias(k) for k, v in out.items()])
 
 
 def subtract_pieces(st: Column, end: Column, others: Column) -> Column:

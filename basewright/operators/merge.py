@@ -4,27 +4,46 @@ from __future__ import annotations
 
 from dataclasses import asdict
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.status import GOOD, MERGEABLE, colour, known, over, stronger
+from ..functions.status import COLOURS, GOOD, MERGEABLE, colour, image, known, over, stronger, stronger_of
 from ..shared import written
-from .intervals import island, merge_intervals, overlap_length, range_join, subtract
+from .intervals import ADD, MOST, Fold, island, merge_intervals, overlap_length, range_join, subtract
 from .repeats import with_largest_repeat
 
 REGION = ["region_id"]
 
 
-def half_mean(a, b):
-    """Mean of two whole numbers, cut off: folded pair by pair from the left, as the coverage of merged intervals is."""
-    return F.floor((a + b) / 2).cast("long")
+#: Steps after which a fold of half means depends on the value from the left by one at most, as coverages are below 2 ** STEPS.
+STEPS = 31
+
+
+def _half_mean_then(f: Column, b: Column) -> Column:
+    """x -> (x + s) >> k with one more step; from STEPS steps on x -> s + (x >= t), or s where t is null."""
+    made = lambda k, s, t: F.struct(k.cast("int").alias("k"), s.cast("long").alias("s"), t.cast("long").alias("t"))
+    more, never = f["s"] + F.call_function("shiftleft", b.cast("long"), f["k"]), F.lit(None)
+    at_last = made(F.lit(STEPS), F.shiftright(more, STEPS), F.lit(1 << STEPS) - more.bitwiseAND(F.lit((1 << STEPS) - 1)))
+    odd = (f["s"] + b).bitwiseAND(F.lit(1)) == 1
+    beyond = made(f["k"], F.shiftright(f["s"] + b, 1), F.when(odd, f["t"]))
+    return F.when(f["k"] < STEPS - 1, made(f["k"] + 1, more, never)).when(f["k"] == STEPS - 1, at_last).otherwise(beyond)
+
+
+#: Mean of two whole numbers, cut off: folded pair by pair from the left, as the coverage of merged intervals is.
+HALF_MEAN = Fold(
+    lambda a, b: F.floor((a + b) / 2).cast("long"),
+    lambda: F.struct(F.lit(0).alias("k"), F.lit(0).cast("long").alias("s"), F.lit(None).cast("long").alias("t")),
+    _half_mean_then,
+    lambda f, x: F.when(f["k"] < STEPS, F.call_function("shiftright", x.cast("long") + f["s"], f["k"])).otherwise(f["s"] + F.coalesce(x >= f["t"], F.lit(False)).cast("long")),
+)
+STRONGEST = Fold(stronger, lambda: F.array(*map(F.lit, COLOURS)), stronger_of, image)
 
 
 def merge_bad(itvs: DataFrame, bp_merge: int) -> DataFrame:
     """Non-good intervals joined over gaps of at most bp_merge, with the strongest status."""
     bad = itvs.filter(F.col("status") != GOOD).select(*REGION, "st", "end", "ord", "status", "cov")
-    return merge_intervals(bad, REGION, bp_merge, fold={"status": stronger, "cov": half_mean})
+    return merge_intervals(bad, REGION, bp_merge, fold={"status": STRONGEST, "cov": HALF_MEAN})
 
 
 def reclassify(itvs: DataFrame, merged: DataFrame) -> DataFrame:
@@ -84,15 +103,10 @@ def suppress_boundaries(itvs: DataFrame, stats: DataFrame, ends: DataFrame | Non
 def merge_chunks(itvs: DataFrame, above: DataFrame) -> DataFrame:
     """Consecutive mergeable intervals of one bin become one with the strongest status; a collapse that
     touches an above-median run at its bin's edge is a transition and turns good."""
-    w = Window.partitionBy("region_id").orderBy("st", "ord")
-    rows = itvs.withColumn("__m", F.col("status").isin(*MERGEABLE))
-    same = F.col("__m") & F.lag("__m").over(w) & (F.col("bin") == F.lag("bin").over(w))
-    rows = rows.withColumn("__new", ~F.coalesce(same, F.lit(False))).withColumn("__chunk", island(REGION, ["st", "ord"], F.col("__new")))
-    packed = rows.groupBy("region_id", "__chunk").agg(F.array_sort(F.collect_list(F.struct("st", "ord", "end", "status", "cov"))).alias("rows"), F.first("bin").alias("bin"), F.first("__m").alias("__m"), F.first("chrom").alias("chrom"))
-    fold = F.aggregate("rows", F.lit(GOOD), lambda acc, r: stronger(acc, r["status"]))
-    mean = F.floor(F.aggregate("rows", F.lit(0).cast("long"), lambda acc, r: acc + r["cov"]) / F.size("rows")).cast("long")
-    first = F.col("rows")[0]
-    out = packed.select("region_id", "chrom", "bin", F.array_min(F.col("rows.st")).alias("st"), F.array_max(F.col("rows.end")).alias("end"), first["ord"].alias("ord"), F.when(F.col("__m"), fold).otherwise(first["status"]).alias("status"), mean.alias("cov"))
+    rows = itvs.select("region_id", "chrom", "bin", "st", "end", "ord", "status", F.col("cov").cast("long").alias("cov"), F.col("status").isin(*MERGEABLE).alias("__m"), F.lit(1).cast("long").alias("__n"), F.col("end").cast("long").alias("__high"))
+    same = lambda before: F.col("__m") & before("__m") & (F.col("bin") == before("bin"))
+    out = merge_intervals(rows, REGION, None, same, {"status": STRONGEST, "cov": ADD, "__n": ADD, "__high": MOST})
+    out = out.select("region_id", "chrom", "bin", "st", F.col("__high").alias("end"), "ord", "status", F.floor(F.col("cov") / F.col("__n")).cast("long").alias("cov"))
     edge = above.select("region_id", "bin", F.col("above_st").cast("long").alias("a_st"), F.col("above_end").cast("long").alias("a_end"))
     touched = range_join(out.filter("status = 'collapse'").select("region_id", "bin", "ord", "st", "end"), edge, ["region_id", "bin"], ("st", "end"), ("a_st", "a_end")).select("region_id", "ord").distinct().withColumn("__t", F.lit(True))
     return out.join(touched, ["region_id", "ord"], "left").withColumn("status", F.when((F.col("status") == "collapse") & F.col("__t"), GOOD).otherwise(F.col("status"))).drop("__t")
@@ -100,7 +114,7 @@ def merge_chunks(itvs: DataFrame, above: DataFrame) -> DataFrame:
 
 def drop_small(itvs: DataFrame, cfg: Config) -> DataFrame:
     """Touching intervals (gap of at most 1) of one status join; those shorter than their status' minimum turn good."""
-    same = merge_intervals(itvs.select("region_id", "chrom", "st", "end", "ord", "status", "cov"), ["region_id", "chrom"], 1, lambda before: before("status") == F.col("status"), {"cov": half_mean})
+    same = merge_intervals(itvs.select("region_id", "chrom", "st", "end", "ord", "status", "cov"), ["region_id", "chrom"], 1, lambda before: before("status") == F.col("status"), {"cov": HALF_MEAN})
     sizes = asdict(cfg.minimum_size)
     least = F.element_at(F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (GOOD if k == "null" else k, v)]), F.col("status"))
     return same.withColumn("status", F.when(F.col("end") - F.col("st") < least, GOOD).otherwise(F.col("status")))

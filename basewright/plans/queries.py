@@ -81,12 +81,12 @@ def bin_stats(spark, sf_dir):
 
 def merge_intervals_distance(spark, sf_dir):
     rows = s.intervals(spark, sf_dir).select("region_id", "st", "end", "ord", "cov")
-    return merge_intervals(rows, ["region_id"], 3, fold={"cov": merge.half_mean})
+    return merge_intervals(rows, ["region_id"], 3, fold={"cov": merge.HALF_MEAN})
 
 
 def merge_intervals_status(spark, sf_dir):
     rows = s.intervals(spark, sf_dir).select("region_id", "st", "end", "ord", "status", "cov")
-    return merge_intervals(rows, ["region_id"], 1, lambda before: before("status") == F.col("status"), {"cov": merge.half_mean})
+    return merge_intervals(rows, ["region_id"], 1, lambda before: before("status") == F.col("status"), {"cov": merge.HALF_MEAN})
 
 
 def merge_bad(spark, sf_dir):

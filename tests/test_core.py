@@ -226,6 +226,56 @@ def test_precedence(spark):
     assert [r[0] for r in pairs.select(over(F.col("a"), F.col("b"))).collect()] == [True, True, True, False, False, True, False, False]
 
 
+def test_folds_over_tiles(spark, monkeypatch):
+    """Runs over many tiles have the values of a fold from the left; long ones too, where half means forget what they began with."""
+    from basewright.functions.status import COLOURS, OVER
+    from basewright.operators import intervals
+
+    over_ = lambda a, b: b in OVER.get(a, ()) or b == "good" != a
+    r = random.Random(5)
+    for tile, n, gap in ((16, 300, 9), (1 << 16, 300, 9), (50, 400, 1000), (7, 200, -1)):
+        monkeypatch.setattr(intervals, "TILE", tile)
+        rows, at = [], 0
+        for k in range(n):
+            at += r.choice([1, 2, 3, 15, 40])
+            rows.append((k % 2, "c", k % 7 // 6, at, at + r.randint(1, 12), k, r.choice(list(COLOURS)), r.choice([0, 1, 7, (1 << 31) - 1, r.randint(0, 1 << 20)])))
+        frame = spark.createDataFrame(rows, "region_id long, chrom string, bin int, st long, end long, ord long, status string, cov long").repartition(5)
+        want = []
+        for g in (0, 1):
+            own = []
+            for _, _, _, st, end, _, status, cov in [x for x in rows if x[0] == g and x[6] != "good"]:
+                if own and st - own[-1][1] <= gap:
+                    own[-1] = [own[-1][0], end, own[-1][2] if over_(own[-1][2], status) else status, (own[-1][3] + cov) // 2]
+                else:
+                    own.append([st, end, status, cov])
+            want += [(g, *x) for x in own]
+        assert sorted(tuple(x) for x in merge.merge_bad(frame, gap).select("region_id", "st", "end", "status", "cov").collect()) == sorted(want)
+        chunks = []
+        for g in (0, 1):
+            own, last = [], None
+            for _, _, b, st, end, _, status, cov in [x for x in rows if x[0] == g]:
+                key = (status in merge.MERGEABLE, b)
+                if own and key[0] and key == last:
+                    own[-1] = [own[-1][0], max(own[-1][1], end), own[-1][2] if over_(own[-1][2], status) else status, own[-1][3] + cov, own[-1][4] + 1]
+                else:
+                    own.append([st, end, status, cov, 1])
+                last = key
+            chunks += [(g, st, end, status, cov // k) for st, end, status, cov, k in own]
+        none = spark.createDataFrame([], "region_id long, bin int, above_st long, above_end long")
+        assert sorted(tuple(x) for x in merge.merge_chunks(frame, none).select("region_id", "st", "end", "status", "cov").collect()) == sorted(chunks)
+
+
+def test_one_island_of_many_intervals(spark):
+    """Half a million intervals of one run: no group holds more than a tile of them."""
+    n = 500_000
+    frame = spark.range(n).selectExpr("1L as region_id", "id * 10 as st", "id * 10 + 5 as end", "id as ord", "if(id % 3 = 0, 'collapse', 'softclip') as status", "id % 97 as cov")
+    (got,) = merge.merge_bad(frame, 10).collect()
+    cov = 0
+    for k in range(1, n):
+        cov = (cov + k % 97) // 2
+    assert (got.st, got.end, got.status, got.cov) == (0, n * 10 - 5, "collapse", cov)
+
+
 def test_bed_and_tiles(spark):
     lines = spark.createDataFrame([("a\t1\t5",), ("a\tx\t5",), ("short\t1",), ("b\t2\t9\tn\tmore",), (None,)], "value string")
     assert sorted(map(str, map(tuple, parse_bed(lines).collect()))) == ["('a', 1, 5, None)", "('b', 2, 9, 'n\\tmore')"]
