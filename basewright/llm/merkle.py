@@ -1,8 +1,9 @@
 """Document fingerprints: a Merkle tree over sections and paragraphs.
 
 A text's sections are the blocks between blank lines, a section's paragraphs its lines, and a
-paragraph's leaves runs up to a sentence end, cut further after every word whose last code
-point is one more than a multiple of four, and after ``LEAF_WORDS`` words at the latest.  The text's
+paragraph's leaves runs up to a sentence end (of Latin, Chinese or Japanese writing), cut further after every word whose last code
+point is one more than a multiple of four, and after ``LEAF_WORDS`` words at the latest.  A stretch of more than ``STRETCH`` code
+points without white space is cut where a hash of its near code points says so, after ``STRETCH`` at the latest.  The text's
 length plays no part, and leaves fall in with each other again soon after an edit, in short
 texts too.  Every character belongs to one leaf.  A leaf's hash is that of its text, every other
 node's that of its children's hashes and lengths alone.
@@ -29,6 +30,7 @@ from collections import Counter
 from difflib import SequenceMatcher
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +42,11 @@ LEAF_WORDS, HASH_BYTES = 6, 9
 #: Documents sent on together.
 SLICE = 256
 blank_line = re.compile(r"(\n[^\S\n]*\n\s*)")
-runs = re.compile(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+").findall
+ENDS = ".!?\u3002\uff01\uff0e\uff1f\uff61"
+runs = re.compile(rf"[^{ENDS}\n]*[{ENDS}\n]+\s*|[^{ENDS}\n]+").findall
+#: Longest leaf without white space, how many code points decide on a cut in a longer one, least length between cuts, one place in so many is a cut.
+STRETCH, NEAR, LEAST, EVERY = 200, 6, 8, 24
+long_stretch = re.compile(rf"(\S{{{STRETCH + 1},}})")
 closing = "".join(re.escape(chr(c)) for c in range(1, 1 << 16, 4) if not chr(c).isspace())
 pieces = re.compile(r"\s*(?:\S{1,200}+(?<![%s])\s+){0,%d}\S{1,200}\s*|\s+" % (closing, LEAF_WORDS - 1)).findall
 
@@ -75,8 +81,37 @@ def paragraphs(section: str) -> list[str]:
     return [x for x in [*(line + "\n" for line in lines[:-1]), lines[-1]] if x]
 
 
+def cut_by_content(stretch: str) -> list[str]:
+    """Pieces of a long stretch without white space; where it is cut depends on the code points before the cut, not on where the stretch starts."""
+    codes = np.frombuffer(stretch.encode("utf-32-le", "surrogatepass"), "<u4").astype("u8")
+    n = len(codes) - NEAR + 1
+    with np.errstate(over="ignore"):
+        h = np.zeros(n, "u8")
+        for k in range(NEAR):
+            h = (h ^ codes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        cuts = (np.flatnonzero((h ^ h >> np.uint64(32)) % np.uint64(EVERY) == 0) + NEAR).tolist()
+    out, at = [], 0
+    for c in [*cuts, len(stretch)]:
+        if c - at < LEAST and c < len(stretch):
+            continue
+        while c - at > STRETCH:
+            out.append(stretch[at : at + STRETCH])
+            at += STRETCH
+        if c > at:
+            out.append(stretch[at:c])
+            at = c
+    return out
+
+
 def leaves(paragraph: str) -> list[str]:
-    return [x for run in runs(paragraph) for x in pieces(run)]
+    out = []
+    for run in runs(paragraph):
+        if len(run) > STRETCH and long_stretch.search(run):
+            for k, part in enumerate(long_stretch.split(run)):
+                out += cut_by_content(part) if k % 2 else pieces(part)
+        else:
+            out += pieces(run)
+    return out
 
 
 def tree(text: str | None) -> Node:

@@ -1,13 +1,14 @@
 """Substring dedup by sliding sentence spans.
 
-Texts are cut into sentences (after words that end in ``.``, ``!`` or ``?``, and at line
+Texts are cut into sentences (after words that end in ``.``, ``!``, ``?`` or their wide forms, and at line
 ends), and these after every word whose hash is the least of the ``REACH`` words before and
 behind it in the sentence.  Whether a word ends a piece so depends on its near words alone,
 wherever the sentence starts: equal passages are cut alike at any offset, but for ``REACH``
 words at their ends.  Pieces have more than ``REACH`` words, unless words repeat.  In what
 follows a sentence is such a piece.  From every sentence starts a span: the shortest run of
 at least ``SENTENCES`` sentences and ``WORDS`` words.  Spans are compared by 128-bit hashes of
-their lower-cased words.  Of equal spans in all documents the first, in the order of id, text
+their lower-cased words.  In writings that don't part words by spaces (Chinese, Japanese, Thai, Lao, Khmer, Burmese) each letter is
+taken for a word, and two of them count as one of the ``WORDS``.  Of equal spans in all documents the first, in the order of id, text
 hash and position, stays; sentences covered by any other are removed.
 
 All spans are shuffled once, as five numbers each, by their hash.  Spans of very many
@@ -36,13 +37,19 @@ from .common import Scratch, at_rest, free_name, set_aside, small_batches, small
 SENTENCES = 3
 WORDS = 20
 REACH = 3
-#: A span's number of sentences in the low bits of its place, its first sentence above; no span has more than max(SENTENCES, WORDS).
-PLACE_BITS = 5
+#: A span's number of sentences in the low bits of its place, its first sentence above; no span has more than max(SENTENCES, 2 * WORDS).
+PLACE_BITS = 6
 #: Documents whose spans a worker holds at a time, words whose hashes it keeps.
 SLICE, CACHE = 500, 100_000
 #: Spans of more than this share of the documents (and HOT_ROWS) are dealt out over several tasks.
 HOT_SHARE, HOT_ROWS, HOT_SEEN = 1 / 1000, 1000, 16
 words_of = re.compile(r"\S+\s*").finditer
+ENDS = ".!?\u3002\uff01\uff0e\uff1f\uff61"
+#: Letters of writings without spaces between words: Thai, Lao, Burmese, Khmer, kana, Chinese characters.
+UNSPACED = "[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]"
+unspaced = re.compile(UNSPACED).search
+mixed_words = re.compile(rf"{UNSPACED}|(?:(?!{UNSPACED})\S)+")
+mixed_words_of = re.compile(rf"(?:{mixed_words.pattern})\s*").finditer
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -52,7 +59,7 @@ class WordHashes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= CACHE:
             self.clear()
-        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) & ~1 | (word[-1] in ".!?")
+        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) & ~1 | (word[-1] in ENDS)
         self[word] = h
         return h
 
@@ -78,15 +85,16 @@ def mix(x: np.ndarray, seed: int) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def pieces(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words, and the number of words before each sentence and in all."""
+def pieces(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words, the number of words before each sentence and in all, and twice that number with letters of unspaced writings as halves."""
     words, lines = [], []
+    split = mixed_words.findall if unspaced(text) else str.split
     for line in text.lower().split("\n"):
-        words += line.split()
+        words += split(line)
         lines.append(len(words))
     n = len(words)
     if not n:
-        return np.empty(0, "u8"), np.zeros(1, "i8")
+        return np.empty(0, "u8"), np.zeros(1, "i8"), np.zeros(1, "i8")
     h = np.fromiter(map(hash_of.__getitem__, words), "u8", n)
     last = (h & np.uint64(1)).astype(bool)
     at = np.array(lines)
@@ -100,15 +108,19 @@ def pieces(text: str) -> tuple[np.ndarray, np.ndarray]:
         sentence = np.cumsum(last) - last
         last[REACH : n - REACH] |= (low == inner) & (sentence[: n - 2 * REACH] == sentence[2 * REACH :])
     last[-1] = True
-    return h, np.concatenate([[0], np.flatnonzero(last) + 1])
+    bounds = np.concatenate([[0], np.flatnonzero(last) + 1])
+    if split is str.split:
+        return h, bounds, 2 * bounds
+    halves = np.fromiter((1 if unspaced(w) else 2 for w in words), "i8", n)
+    return h, bounds, np.concatenate([[0], np.cumsum(halves)])[bounds]
 
 
 def spans(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Place and two hashes of the span from each sentence that has one."""
-    h, bounds = pieces(text)
+    h, bounds, halves = pieces(text)
     count = len(bounds) - 1
     first = np.arange(count)
-    end = np.maximum(first + SENTENCES, np.searchsorted(bounds, bounds[:-1] + WORDS))
+    end = np.maximum(first + SENTENCES, np.searchsorted(halves, halves[:-1] + 2 * WORDS))
     first, end = first[end <= count], end[end <= count]
     a, b, made = bounds[first], bounds[end], []
     if len(first):
@@ -124,10 +136,10 @@ def spans(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def sentences(text: str) -> list[tuple[int, int]]:
     """Start and end of every sentence with the white space behind it; together they are the text."""
-    _, bounds = pieces(text)
+    _, bounds, _ = pieces(text)
     if len(bounds) < 2:
         return [(0, len(text))] if text else []
-    ends = [m.end() for m in words_of(text)]
+    ends = [m.end() for m in (mixed_words_of if unspaced(text) else words_of)(text)]
     at = [0, *(ends[i - 1] for i in bounds[1:].tolist())]
     return list(zip(at, at[1:]))
 

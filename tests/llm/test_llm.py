@@ -487,10 +487,17 @@ def plain_pieces(text):
     import xxhash
 
     out, sentence = [], []
-    words = [(m.start(), m.end(), m[0]) for m in re.finditer(r"\S+\s*", text)]
+    words = []  # letters of writings without spaces are words of their own
+    for m in re.finditer(r"\S+\s*", text):
+        parts = re.split("([\u3041-\u30ff\u4e00-\u9fff\u0e01-\u0e5b])", m[0].rstrip())
+        at = m.start()
+        for part in filter(None, parts):
+            words.append((at, at + len(part), part))
+            at += len(part)
+        words[-1] = (words[-1][0], m.end(), words[-1][2] + text[at : m.end()])
 
     def close():
-        rank = [xxhash.xxh3_64_intdigest(w.strip().lower().encode()) & ~1 | (w.strip()[-1] in ".!?") for _, _, w in sentence]
+        rank = [xxhash.xxh3_64_intdigest(w.strip().lower().encode()) & ~1 | (w.strip()[-1] in ".!?。！？") for _, _, w in sentence]
         piece = []
         for i, (_, end, w) in enumerate(sentence):
             piece.append(w.strip().lower())
@@ -502,7 +509,7 @@ def plain_pieces(text):
 
     for word in words:
         sentence.append(word)
-        if word[2].strip()[-1] in ".!?" or "\n" in word[2]:
+        if word[2].strip()[-1] in ".!?。！？" or "\n" in word[2]:
             close()
     if sentence:
         close()
@@ -511,19 +518,44 @@ def plain_pieces(text):
 
 def plain_dedup(rows):
     """Removed characters by (id, text), every run of pieces compared word by word."""
+    import re
+
     seen, out = {}, {}
     for i, text in sorted({r for r in rows if r[1]}, key=lambda r: (r[0] is not None, r[0] or 0)):
         parts = plain_pieces(text)
         for k in range(len(parts)):
             n, words = 0, []
-            while k + n < len(parts) and (n < 3 or len(words) < 20):
+            size = lambda: sum(0.5 if re.fullmatch("[\u3041-\u30ff\u4e00-\u9fff\u0e01-\u0e5b]", w) else 1 for w in words)  # noqa: B023, E731
+            while k + n < len(parts) and (n < 3 or size() < 20):
                 words += parts[k + n][2]
                 n += 1
-            if n >= 3 and len(words) >= 20 and seen.setdefault(tuple(words), (i, text, k)) != (i, text, k):
+            if n >= 3 and size() >= 20 and seen.setdefault(tuple(words), (i, text, k)) != (i, text, k):
                 out.setdefault((i, text), set()).update(x for a, b, _ in parts[k : k + n] for x in range(a, b))
     return out
 
 
+def test_texts_without_spaces(spark):
+    """A copied passage of Chinese goes wherever it stands; an insertion into 5,000 characters without spaces leaves most leaves alike."""
+    r = random.Random(12)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 2500)]
+    some = lambda n: "".join(r.choices(letters, k=n))
+    sentences = lambda n: "".join(some(r.randint(5, 30)) + r.choice("。！？") for _ in range(n))
+    passage = some(2000)
+    spoken = sentences(40)
+    texts = [some(300) + passage + some(100), sentences(5) + spoken + sentences(3), some(71) + passage + some(500), sentences(9) + "English words, too. " + spoken, "สวัสดีครับ" * 9 + passage[:900], sentences(60), some(900)]
+    rows = [(i, x) for i, x in enumerate(texts)]
+    want = plain_dedup(rows)
+    got = {x.doc_id: x for x in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, x in rows:
+        assert got[i].text == "".join(c for k, c in enumerate(x) if k not in want.get((i, x), set()))
+    assert len(got[2].text) < 71 + 500 + 60 and len(got[3].text) < len(texts[3]) - len(spoken) + 60 and got[5].text == texts[5] and got[6].text == texts[6]
+    for text in (some(5000), sentences(300)[:5000], "".join(r.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=5000)), "".join(r.choices("0123456789", k=5000)), "あ" * 5000):
+        other = text[:50] + "x" + text[50:]
+        x, y = merkle.fingerprint(text), merkle.fingerprint(other)
+        assert merkle.likeness(x, y) > 0.9 and "".join(merkle.leaves(text)) == text
+        assert sum(v - u for _, _, u, v in merkle.differing(x, y)) < 450
+
+
 def test_substring_dedup(spark, docs, texts):
     passage = "This passage has several sentences of its own. They are repeated in other documents. The second copy of all of them must go, while the first one stays. It has more than fifty words, so that a person would call it a copied passage and not a chance. Here it ends, after some more words."
     more = [(500, "Own start here. " + passage + " Own end.", "en", "s", 1), (501, "Another start.\n" + passage + "\nAnother end.", None, None, None), (501, "Another start.\n" + passage + "\nAnother end.", None, None, None), (None, passage, "x", "y", 2), (502, texts[4] + "\n" + texts[4] + " " + texts[6], "a", "b", 1)]
