@@ -1,5 +1,5 @@
 """Operators of a training-data pipeline, each a Spark job over whole tables.
 
 Nothing outside this package imports it.  ``queries`` has the driver's query
-for each operator, ``oracle`` their SQL where SQL can express them.
+for each operator, and their SQL where SQL can express them.
 """

@@ -31,7 +31,9 @@ Shingles are compared as 64-bit hashes, equal sets by 128 bits.
 
 Cases: a text with fewer words than a shingle is one shingle; null and empty
 texts have the empty set and link with nothing; rows of one id are one vertex, a
-null id links with nothing; an empty table gives no rows.
+null id links with nothing; texts of any length are read whole, in time linear in it, and send as many signatures as their
+set's size asks for; pairs at exactly p / q link; of equally promising partners the one of smaller id is tried first, which
+changes no result; columns other than id and text aren't read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

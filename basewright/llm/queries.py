@@ -33,7 +33,8 @@ def op5_warc(spark, sf_dir):
     from .warc import fetch, index, write
 
     captures = write(read_table(spark, sf_dir, "pages"))
-    return fetch(index(captures), captures.select("key", "page_id")).drop("url")
+    found = fetch(index(captures), captures.select("key", "page_id"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_token_file(spark, sf_dir):
@@ -107,9 +108,65 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+WARC_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body FROM pages
+), m AS (
+  SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha1(body) AS payload_digest, max(page_id) OVER (PARTITION BY body) AS top FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND top <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND top <> page_id THEN top END AS refers_to
+FROM m
+"""
+
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) < 3 THEN CASE WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END
+    ELSE list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' ')) END) AS shingle FROM w
+), n AS (
+  SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_have FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), pairs AS (
+  SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both_have >= 90 * (x.size + y.size - both_have)
+), edges AS (
+  SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs
+), reached AS (
+  SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, e.b FROM reached r JOIN edges e ON e.a = r.b
+), least AS (
+  SELECT a, min(b) AS component_id FROM reached GROUP BY a
+)
+SELECT d.doc_id, CAST(coalesce(n.size, 0) AS BIGINT) AS n_shingles, coalesce(least.component_id, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least ON least.a = d.doc_id
+"""
+
+FIM_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines, sha256('7:' || CAST(doc_id AS VARCHAR)) AS h FROM documents
+), k AS (
+  SELECT *, CAST(len(lines) - CAST(lines[-1] = '' AS INTEGER) AS BIGINT) AS n, list_transform(range(4), lambda i: CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT)) AS r FROM d
+), u AS (
+  SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS p, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS m,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain' WHEN r[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM k
+), e AS (
+  SELECT *, CASE p WHEN 0 THEN 0 WHEN n THEN length(text) ELSE length(array_to_string(lines[1:p], chr(10))) + 1 END AS p_end,
+    CASE m WHEN 0 THEN 0 WHEN n THEN length(text) ELSE length(array_to_string(lines[1:m], chr(10))) + 1 END AS m_end FROM u
+), x AS (
+  SELECT *, substr(text, 1, p_end) AS prefix, substr(text, p_end + 1, m_end - p_end) AS middle, substr(text, m_end + 1) AS suffix FROM e
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(p_end AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(m_end - p_end AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM x
+"""
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql():
-    return {"op3_top_k": TOP_K_SQL}
+    return {"op3_top_k": TOP_K_SQL, "op5_warc": WARC_SQL, "op7_ngram_jaccard": JACCARD_SQL, "op11_fim": FIM_SQL}

@@ -2,6 +2,7 @@
 
 import hashlib
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -165,3 +166,23 @@ def test_op13(run, docs):
     own = [(i, plain_fingerprint(text)) for i, text in docs]
     want = plain_components(own, 4)
     assert sorted((r.doc_id, r.fingerprint, r.component_id) for r in run("op13_simhash")) == sorted((i, f"{f:016x}", want[i]) for i, f in own)
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(run, name):
+    """Rows, names and number of columns of a query are those of its SQL."""
+    import duckdb
+
+    db = duckdb.connect()
+    for path in Path(WHERE).glob("*.parquet"):
+        db.execute(f"create view {path.stem} as select * from '{path}'")
+    want = db.sql(queries.oracle_sql()[name])
+    got = run(name)
+    assert sorted(got[0].__fields__) == sorted(want.columns) and len(got) > 3
+    assert sorted(str(tuple(r[c] for c in want.columns)) for r in got) == sorted(map(str, want.fetchall()))
+
+
+def test_every_sql_has_a_query():
+    import __spark_entry__ as entry
+
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and set(queries.oracle_sql()) <= set(entry.oracle_sql())
