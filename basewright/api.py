@@ -74,7 +74,7 @@ def identity_bins(reads: DataFrame, found: DataFrame, chunks: DataFrame, cfg: Co
     own = found.filter(F.col("end") - F.col("st") > g.window_size)
     begun = chunks.select("chrom", F.col("start").cast("long").alias("c_st"), F.col("start").cast("long").alias("c_end"), "seq")
     windows = range_join(begun, own, ["chrom"], ("c_st", "c_end"), ("st", "end")).select("region_id", F.col("c_st").alias("st"), "seq")
-    bins = binning.number_groups(binning.group_identity(binning.self_identity(windows, g.window_size), g.min_ident), g.min_grp_size, g.min_ident)
+    bins = binning.number_groups(binning.group_identity(binning.self_identity(windows, g.window_size, g.min_ident), g.min_ident), g.min_grp_size, g.min_ident)
     frame = pileup(reads, own, cfg.indel.min_ins_size, cfg.indel.min_del_size, cfg.mapq.mapq_agg_fn)
     return binning.close_gaps(frame, bins, g.min_grp_size)
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,36 +14,97 @@ from .intervals import BUCKET, range_join
 K = 21
 #: One k-mer in so many is kept in a window's sketch.
 SKETCH = 8
-
-
-def self_identity(chunks: DataFrame, window: int) -> DataFrame:
-    """Rows (region_id, st, end, ident): neighbouring windows of a region's sequence and the identity between a window and the next.
-
-    Identity is estimated from the containment c of hashed k-mer sketches as c ** (1 / K), in per cent.
+#: Windows in a block of the identity matrix.
+BLOCK = 64
+#: Two bits a base; anything else ends a k-mer.
+BASES = "ACGT"
+
+
+def kmers(seq: str, k: int = K, sketch: int = SKETCH) -> np.ndarray:
+    """Sorted distinct k-mers of a sequence, of at most 31 bases, each the lesser of itself and its reverse complement; of these one in ``sketch``, picked by a hash."""
+    table = np.full(256, 4, "u1")
+    for n, base in enumerate(BASES):
+        table[ord(base)] = table[ord(base.lower())] = n
+    codes = table[np.frombuffer(seq.encode("latin-1", "replace"), "u1")]
+    n = len(codes) - k + 1
+    if n < 1:
+        return np.empty(0, "i8")
+    other = np.concatenate([[0], np.cumsum(codes == 4)])
+    codes = np.where(codes == 4, 0, codes).astype("u8")
+    forward, back = np.zeros(n, "u8"), np.zeros(n, "u8")
+    for t in range(k):
+        forward = forward << np.uint64(2) | codes[t : t + n]
+        back |= np.uint64(3) - codes[t : t + n] << np.uint64(2 * t)
+    found = np.unique(np.minimum(forward, back)[other[k:] == other[:n]])
+    if sketch > 1:
+        with np.errstate(over="ignore"):
+            h = (found ^ found >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        found = found[(h ^ h >> np.uint64(31)) % np.uint64(sketch) == 0]
+    return found.astype("i8")
+
+
+def self_identity(chunks: DataFrame, window: int, least: float = 0.0, band: int | None = None, k: int = K, sketch: int = SKETCH) -> DataFrame:
+    """Rows (region_id, i, j, st, end, other_st, other_end, ident), i < j: pairs of a region's windows that share k-mers, of either strand, with an identity
+    above ``least``; windows are numbered by their place, those further apart than ``band`` windows are left out.
+
+    Identity is estimated from the containment c of the windows' k-mer sketches as c ** (1 / k), in per cent.
     ``chunks``: (region_id, st, seq), a row for each window of the sequence.
-    """
-    import xxhash
 
-    @F.pandas_udf("array<long>")
-    def kmers(seqs: pd.Series) -> pd.Series:
-        def one(s: str) -> list[int]:
-            made = {xxhash.xxh3_64_intdigest(s[i : i + K]) >> 1 for i in range(len(s) - K + 1)}
-            return sorted(h for h in made if h % SKETCH == 0)
-
-        return seqs.map(lambda s: one((s or "").upper()))
+    The matrix of all pairs is made block by block: each pair of blocks of BLOCK windows is a group, whose shared k-mers are
+    counted by one product of the windows' k-mer vectors, so a k-mer that all windows have costs no more than any other.
+    """
 
-    w = Window.partitionBy("region_id").orderBy("st")
-    with_next = chunks.select("region_id", F.col("st").cast("long").alias("st"), F.length("seq").alias("len"), kmers("seq").alias("s")).withColumns({"next": F.lead("s").over(w), "next_len": F.lead("len").over(w)})
-    common = F.size(F.array_intersect("s", "next"))
-    ident = F.pow(common / F.greatest(F.least(F.size("s"), F.size("next")), F.lit(1)), F.lit(1.0 / K)) * 100
-    return with_next.filter("next is not null").select("region_id", "st", (F.col("st") + F.col("len") + F.col("next_len")).alias("end"), ident.alias("ident"))
+    @F.arrow_udf("array<long>")
+    def sketches(seqs: pa.Array) -> pa.Array:
+        return pa.array([kmers(x.as_py() or "", k, sketch) for x in seqs], pa.list_(pa.int64()))
+
+    low = F.min("st").over(Window.partitionBy("region_id"))
+    rows = chunks.select("region_id", F.col("st").cast("long").alias("st"), F.length("seq").alias("size"), sketches("seq").alias("s"))
+    rows = rows.withColumn("i", F.floor((F.col("st") - low) / window)).withColumn("block", F.floor(F.col("i") / BLOCK))
+    last = F.max("block").over(Window.partitionBy("region_id"))
+    reach = None if band is None else -(-band // BLOCK)
+    near = F.sequence(F.lit(0).cast("long") if reach is None else F.greatest(F.col("block") - reach, F.lit(0)), last if reach is None else F.least(F.col("block") + reach, last))
+    rows = rows.withColumn("near", near).select("*", F.explode("near").alias("other")).select("region_id", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "i", "st", "size", "s")
+    kind = dict(chunks.dtypes)["region_id"]
+    out = f"region_id {kind}, i long, j long, st long, end long, other_st long, other_end long, ident double"
+
+    def meet(own: pa.Table) -> pa.Table:
+        own = own.combine_chunks().sort_by("i")
+        region, i, block, st = own.column("region_id"), own.column("i").to_numpy(), own.column("block").to_numpy(), own.column("st").to_numpy()
+        end = st + own.column("size").to_numpy()
+        a, b = own.column("a")[0].as_py(), own.column("b")[0].as_py()
+        lists = [np.array(x, "i8") for x in own.column("s").to_pylist()]
+        sizes = np.array([len(x) for x in lists])
+        words, place = np.unique(np.concatenate(lists) if lists else [], return_inverse=True)
+        held = np.zeros((len(lists), max(1, len(words))), "f4")
+        held[np.repeat(np.arange(len(lists)), sizes), place] = 1
+        left, right = np.flatnonzero(block == a), np.flatnonzero(block == b)
+        shared = held[left] @ held[right].T
+        fewest = np.maximum(1, np.minimum(sizes[left][:, None], sizes[right][None, :]))
+        ident = np.power(shared.astype("f8") / fewest, 1 / k) * 100
+        apart = i[right][None, :] - i[left][:, None]
+        x, y = np.nonzero((shared > 0) & (ident > least) & (apart > 0) & (apart <= (band or np.iinfo("i8").max)))
+        u, v = left[x], right[y]
+        columns = [region.take(pa.array(u)), *(pa.array(c) for c in (i[u], i[v], st[u], end[u], st[v], end[v], ident[x, y]))]
+        return pa.table(columns, names=[c.split()[0] for c in out.split(", ")])
+
+    return rows.groupBy("region_id", "a", "b").applyInArrow(meet, out)
 
 
 def group_identity(pairs: DataFrame, min_ident: float) -> DataFrame:
-    """Rows (region_id, st, end, ident): runs of neighbouring windows above the identity, with its mean."""
-    w = Window.partitionBy("region_id").orderBy("st")
-    high = pairs.withColumn("__high", F.col("ident") > min_ident).withColumn("__new", F.coalesce(F.col("__high") != F.lag("__high").over(w), F.lit(True)))
-    runs = high.withColumn("__run", F.sum(F.col("__new").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("__high")
+    """Rows (region_id, st, end, ident): runs of neighbouring windows that repeat, with the mean of what each shares with its likest window.
+
+    A window repeats if it is above the identity with another one.  It goes on with the next one if the two are alike, or alike to windows that
+    follow each other too, in the same order (the same distance on) or reversed (the same sum of places)."""
+    high = pairs.filter(F.col("ident") > min_ident)
+    ways = high.select("region_id", "i", "j", "st", "end", "ident").unionByName(high.select("region_id", F.col("j").alias("i"), F.col("i").alias("j"), F.col("other_st").alias("st"), F.col("other_end").alias("end"), "ident"))
+    ways = ways.withColumns({"ahead": F.col("j") - F.col("i"), "sum": F.col("i") + F.col("j")})
+    follows = lambda key: F.coalesce(F.lag("i").over(Window.partitionBy("region_id", key).orderBy("i")) == F.col("i") - 1, F.lit(False))
+    ways = ways.withColumn("goes_on", follows("ahead") | follows("sum") | (F.col("ahead") == -1))
+    own = ways.groupBy("region_id", "i").agg(F.min("st").alias("st"), F.max("end").alias("end"), F.max("ident").alias("ident"), F.max("goes_on").alias("goes_on"))
+    w = Window.partitionBy("region_id").orderBy("i")
+    runs = own.withColumn("__run", F.sum((~F.col("goes_on")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return runs.groupBy("region_id", "__run").agg(F.min("st").alias("st"), F.max("end").alias("end"), F.avg("ident").alias("ident")).drop("__run")
 
 

@@ -180,6 +180,15 @@ total AS (SELECT p_partkey, u, l, n, l + coalesce(sum(CASE WHEN d <= l THEN d EL
 SELECT s.p_partkey, CASE WHEN t <> l THEN CASE WHEN contains(u, 'N') THEN 'scaffold' WHEN len(list_distinct(string_split(u, ''))) = 1 THEN 'homopolymer' ELSE 'repeat' END END AS repeat, CASE WHEN t <> l THEN u END AS sequence, CASE WHEN t <> l THEN round(t / s.n::DOUBLE, 6) END AS prop FROM s LEFT JOIN total USING (p_partkey)""",
         "bin_assign": f'WITH {SIGNAL}, {BINS} SELECT s.region_id, s.pos, s.cov, coalesce(max(b.bin), 0) AS bin FROM signal s LEFT JOIN bins b ON s.region_id = b.region_id AND s.pos + 1 >= b.st AND s.pos <= b."end" GROUP BY ALL',
         "gap_close": GAPS,
+        "self_identity": """WITH s AS (SELECT doc_id, regexp_replace(translate(text, 'acgt', 'ACGT'), '[^ACGT]', '', 'g') AS seq FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, i, substr(seq, i * 60 + 1, 60) AS win FROM s, LATERAL (SELECT unnest(range(0, (length(seq) + 59) // 60)) AS i)),
+u AS (SELECT doc_id, i, substr(win, p, 7) AS u FROM w, LATERAL (SELECT unnest(range(1, length(win) - 5)) AS p)),
+k AS (SELECT DISTINCT doc_id, i, least(u, reverse(translate(u, 'ACGT', 'TGCA'))) AS m FROM u),
+n AS (SELECT doc_id, i, count(*) AS n FROM k GROUP BY ALL),
+c AS (SELECT a.doc_id, a.i, b.i AS j, count(*) AS c FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.m = b.m AND a.i < b.i AND b.i <= a.i + 100 GROUP BY ALL),
+x AS (SELECT c.doc_id, c.i, c.j, pow(c.c / least(p.n, q.n), 1.0 / 7) * 100 AS ident FROM c JOIN n p ON p.doc_id = c.doc_id AND p.i = c.i JOIN n q ON q.doc_id = c.doc_id AND q.i = c.j)
+SELECT x.doc_id AS region_id, x.i, x.j, x.i * 60 + 1 AS st, x.i * 60 + 1 + length(v.win) AS "end", x.j * 60 + 1 AS other_st, x.j * 60 + 1 + length(w.win) AS other_end, round(ident, 4) AS ident
+FROM x JOIN w v ON v.doc_id = x.doc_id AND v.i = x.i JOIN w ON w.doc_id = x.doc_id AND w.i = x.j WHERE ident > 60""",
         "region_calls": _calls(),
         "range_medians": f'WITH {SIGNAL}, {BINS} SELECT b.region_id, b.st, b."end", CAST(coalesce(floor(median(s.cov)), 0) AS BIGINT) AS median FROM bins b LEFT JOIN signal s ON s.region_id = b.region_id AND s.pos BETWEEN b.st AND b."end" GROUP BY ALL',
     }

@@ -183,6 +183,15 @@ def region_calls(spark, sf_dir):
     return api.call_regions(s.reads(spark, sf_dir), s.regions(spark), CFG, ignore=s.ignored(spark, sf_dir), bins=s.bins(spark)).regions
 
 
+def self_identity(spark, sf_dir):
+    """Pairs of windows of 60 letters of each document, of whose letters A, C, G and T are kept."""
+    seq = F.regexp_replace(F.translate("text", "acgt", "ACGT"), "[^ACGT]", "")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("region_id"), seq.alias("whole")).filter("whole <> ''")
+    windows = docs.select("region_id", "whole", F.explode(F.sequence(F.lit(0), F.length("whole") - 1, F.lit(60))).alias("at")).select("region_id", (F.col("at") + 1).alias("st"), F.col("whole").substr(F.col("at") + 1, F.lit(60)).alias("seq"))
+    pairs = binning.self_identity(windows, 60, least=60.0, band=100, k=7, sketch=1)
+    return pairs.select("region_id", "i", "j", "st", "end", "other_st", "other_end", F.round("ident", 4).alias("ident"))
+
+
 def queries():
-    own = [cigar_blocks, pileup_mapq_mean, pileup_mapq_median, rolling_mean_signal, peaks_keep_zero, peaks_drop_zero, signals_joined, classify_bases, status_intervals, above_median_runs, rolling_median_stats, bin_stats, merge_intervals_distance, merge_intervals_status, merge_bad, overlap_length_join, overlap_semi_join, overlap_majority, subtract_ignored, boundary_suppress, mergeable_chunks, min_size_filter, final_collapse, bed9_projection, status_colours, bad_bases, whole_genome_tiles, bed_lines, largest_repeat, bin_assign, range_medians, gap_close, region_calls]
+    own = [cigar_blocks, pileup_mapq_mean, pileup_mapq_median, rolling_mean_signal, peaks_keep_zero, peaks_drop_zero, signals_joined, classify_bases, status_intervals, above_median_runs, rolling_median_stats, bin_stats, merge_intervals_distance, merge_intervals_status, merge_bad, overlap_length_join, overlap_semi_join, overlap_majority, subtract_ignored, boundary_suppress, mergeable_chunks, min_size_filter, final_collapse, bed9_projection, status_colours, bad_bases, whole_genome_tiles, bed_lines, largest_repeat, bin_assign, range_medians, gap_close, region_calls, self_identity]
     return {f.__name__: f for f in own}
