@@ -289,6 +289,36 @@ def test_fasta(spark, tmp_path):
     assert sorted(tuple(r) for r in read_fasta(spark, str(tmp_path / "x.fa"), 6).collect()) == [("a", 1, "ACGTAC"), ("a", 7, "GTAC"), ("b", 1, "TT")]
 
 
+def test_blocked_gzip_fasta(spark, tmp_path, monkeypatch):
+    """Chunks of a file of blocked gzip are those of its plain text; a chunk inflates its own blocks alone."""
+    from basewright.sources.fasta import Unzipped
+
+    r = random.Random(4)
+    seqs = {"a": "".join(r.choices("ACGT", k=9000)), "b": "".join(r.choices("acgtN", k=4000)), "c": "T"}
+    text, index = "", ""
+    for name, seq in seqs.items():
+        text += f">{name}\n"
+        index += f"{name}\t{len(seq)}\t{len(text)}\t60\t61\n"
+        text += "".join(seq[i : i + 60] + "\n" for i in range(0, len(seq), 60))
+    (tmp_path / "x.fa").write_text(text)
+    out, starts = b"", []
+    for i in range(0, len(text), 700):
+        starts += [(len(out), i)] * (i > 0)
+        out += bam_block(text[i : i + 700].encode())
+    (tmp_path / "x.fa.gz").write_bytes(out + bam_block(b""))
+    (tmp_path / "x.fa.gz.gzi").write_bytes(struct.pack("<Q", len(starts)) + b"".join(struct.pack("<QQ", *x) for x in starts))
+    for name in ("x.fa.fai", "x.fa.gz.fai"):
+        (tmp_path / name).write_text(index)
+    plain, packed = (sorted(map(tuple, read_fasta(spark, str(tmp_path / name), 1000).collect())) for name in ("x.fa", "x.fa.gz"))
+    assert plain == packed and "".join(x[2] for x in packed if x[0] == "a") == seqs["a"]
+    seen = ranges_read(monkeypatch)
+    with open(tmp_path / "x.fa.gz", "rb") as f:
+        z = Unzipped(f, (tmp_path / "x.fa.gz.gzi").read_bytes())
+        for place, n in ((5000, 10), (699, 2), (0, 5), (len(text) - 3, 3), (700, 700)):
+            seen.clear()
+            assert z.read(place, n) == text[place : place + n].encode() and len(set(seen)) <= 2
+
+
 def bam_record(ref, pos, mapq, ops, flag=0, tags=b"", l_seq=0):
     body = struct.pack("<iiBBHHHiiii", ref, pos, 2, mapq, 0, len(ops), flag, l_seq, -1, -1, 0) + b"r\0" + b"".join(struct.pack("<I", n << 4 | "MIDNSHP=X".index(o)) for n, o in ops)
     body += b"\0" * ((l_seq + 1) // 2 + l_seq) + tags
