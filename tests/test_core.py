@@ -289,6 +289,24 @@ def test_fasta(spark, tmp_path):
     assert sorted(tuple(r) for r in read_fasta(spark, str(tmp_path / "x.fa"), 6).collect()) == [("a", 1, "ACGTAC"), ("a", 7, "GTAC"), ("b", 1, "TT")]
 
 
+def test_tables_of_reads(spark, tmp_path):
+    """Regions prune the table's parts at run time, as the plan says."""
+    from basewright.sources.reads import read_reads, write_reads
+
+    r = random.Random(8)
+    rows = [(r.choice(["a", "b", "c"]), r.randint(1, 50_000), r.choice(["50=", "3S10M2D5I100=4X7H", "20=900N30=", "5S"]), r.randint(0, 60)) for _ in range(2000)]
+    rows += rows[:20]
+    path = str(tmp_path / "t")
+    write_reads(spark.createDataFrame(rows, "chrom string, start int, cigar string, mapq int"), path, 1000)
+    span = {"50=": 50, "3S10M2D5I100=4X7H": 116, "20=900N30=": 950, "5S": 0}
+    regions = spark.createDataFrame([(1, "a", 7000, 7100), (2, "c", 1, 1), (3, "c", 30_500, 30_500), (4, "d", 1, 9)], "region_id long, chrom string, st long, end long")
+    found = read_reads(spark, path, regions)
+    want = [x for x in rows if any(x[0] == c and x[1] <= b and x[1] + span[x[2]] - 1 >= a for _, c, a, b in regions.collect())]
+    assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) > 5
+    assert sorted(map(tuple, read_reads(spark, path).collect())) == sorted(rows)
+    assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString().lower()
+
+
 def test_blocked_gzip_fasta(spark, tmp_path, monkeypatch):
     """Chunks of a file of blocked gzip are those of its plain text; a chunk inflates its own blocks alone."""
     from basewright.sources.fasta import Unzipped
