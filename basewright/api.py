@@ -12,7 +12,7 @@ from .operators import binning
 from .operators.classify import above_runs, bin_stats, classify_bases, signals, status_intervals
 from .operators.intervals import range_join
 from .operators.merge import bed9, merge_misassemblies
-from .operators.pileup import pileup, rolling_mean
+from .operators.pileup import pileup, relabel_zero, rolling_mean
 from .shared import written
 from .sources.bam import bam_contigs, read_alignments
 from .sources.bed import read_bed, read_ignored
@@ -62,6 +62,7 @@ def classified_pileup(reads: DataFrame, found: DataFrame, cfg: Config, bins: Dat
     """The pileup with bins, peaks of every signal and a status for each base."""
     found = found.filter("st >= 0 and end >= st and chrom is not null")
     frame = pileup(reads, found, cfg.indel.min_ins_size, cfg.indel.min_del_size, cfg.mapq.mapq_agg_fn)
+    frame = relabel_zero(frame, found, cfg.compat_zero_start)
     frame = rolling_mean(frame, {"cov": cfg.cov.rolling_mean_window, "mismatch": cfg.mismatch.rolling_mean_window, "indel": cfg.indel.rolling_mean_window}, dense=True)
     frame = binning.assign_bins(frame, bins) if bins is not None else frame.withColumn("bin", F.lit(0).cast("long"))
     # read by the statistics and by the bases they are joined to; the step from blocks to bases so runs once

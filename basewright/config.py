@@ -96,14 +96,22 @@ class Config:
     repeat: Repeats | None = field(default_factory=Repeats)
     group_by_ani: GroupByIdentity | None = field(default_factory=GroupByIdentity)
     minimum_size: MinimumSize = field(default_factory=MinimumSize)
+    #: Peaks and thresholds in 32-bit floats instead of doubles.
+    compat_single: bool = False
+    #: Labels of a region that starts at 0 are one less than the bases' positions, and one base without reads follows the last.
+    compat_zero_start: bool = False
 
     @classmethod
     def from_toml(cls, text: str) -> Config:
         """A file must have every section but repeat, group_by_ani and minimum_size, and every
-        field there that has no "none"; leaving out the first two turns those features off."""
+        field there that has no "none"; leaving out the first two turns those features off.  The two
+        choices without a section may stand at the top."""
         spec = tomllib.loads(text)
         parts: dict = {"repeat": None, "group_by_ani": None}
         for f in fields(cls):
+            if f.name not in SECTIONS:
+                parts[f.name] = bool(spec.get(f.name, False))
+                continue
             kind = SECTIONS[f.name]
             if f.name not in spec:
                 if f.name in ("repeat", "group_by_ani", "minimum_size"):

@@ -21,17 +21,22 @@ def signals(frame: DataFrame, cfg: Config, part: list[str] | None = None) -> Dat
     """
     c, m, i, s, q = cfg.cov, cfg.mismatch, cfg.indel, cfg.softclip, cfg.mapq
     both = lambda z, drop: (z, z, drop)
-    return find_peaks(frame, {"cov": (c.n_zscores_low, c.n_zscores_high, False), "mismatch": both(m.n_zscores_high, True), "indel": both(i.n_zscores_high, True), "softclip": both(s.n_zscores_high, True), "mapq": both(q.n_zscores_low, False)}, part or PART, "cov")
+    return find_peaks(frame, {"cov": (c.n_zscores_low, c.n_zscores_high, False), "mismatch": both(m.n_zscores_high, True), "indel": both(i.n_zscores_high, True), "softclip": both(s.n_zscores_high, True), "mapq": both(q.n_zscores_low, False)}, part or PART, "cov", cfg.compat_single)
 
 
 def classify_bases(frame: DataFrame, cfg: Config) -> DataFrame:
-    """Adds ``status`` to a frame of ``signals``.  Comparisons of ratios are free of divisions, so no coverage is a special case."""
+    """Adds ``status`` to a frame of ``signals``.  Comparisons of ratios are free of divisions, so no coverage is a special case;
+    in 32-bit floats they are quotients, and any value is a high share of no coverage."""
     base = F.lit(cfg.cov.baseline) if cfg.cov.baseline is not None else F.floor("__whole")
     frame = frame.withColumn("__base", base)
     cov, low_mapq = F.col("cov"), F.col("mapq_peak") == "low"
-    most = lambda ratio: F.floor(F.col("__base") * F.lit(float(ratio)))
+    kind = "float" if cfg.compat_single else "double"
+    number = lambda x: F.lit(float(x)).cast(kind)
+    most = lambda ratio: F.floor(F.col("__base").cast(kind) * number(ratio))
     high = lambda x: F.col(f"{x}_peak") == "high"
-    share = lambda x, ratio: F.coalesce(F.col(x) >= cov * F.lit(float(ratio)), F.lit(False)) & high(x)
+    part_of = lambda x: F.when(cov != 0, (x.cast(kind) / cov.cast(kind)).cast(kind))
+    enough = lambda x, ratio: F.when(cov == 0, x.isNotNull()).otherwise(part_of(x) >= number(ratio)) if cfg.compat_single else x >= cov * number(ratio)
+    share = lambda x, ratio: F.coalesce(enough(F.col(x), ratio), F.lit(False)) & high(x)
     collapse = high("cov") & (cov >= most(cfg.cov.ratio_collapse)) & low_mapq & (high("mismatch") | high("indel"))
     misjoin = (cov == 0) | (F.col("cov_peak") == "low") & low_mapq & (cov <= most(cfg.cov.ratio_misjoin))
     false_dupe = (cov <= most(cfg.cov.ratio_false_dupe)) & (F.col("mapq_max") == 0)

@@ -79,7 +79,8 @@ def check_repeats(itvs: DataFrame, chunks: DataFrame, cfg: Config) -> DataFrame:
 def suppress_boundaries(itvs: DataFrame, stats: DataFrame, ends: DataFrame | None = None) -> DataFrame:
     """Intervals at a contig's (or the region's) start and end turn good as long as their coverage is below their bin's median.
 
-    ``ends``: (chrom, length) where contig lengths are known; then the start is 0 and the end length + 1.
+    ``ends``: (chrom, length) where contig lengths are known; then the start is 0 or 1 (a region from 0 begins with base 1, or
+    with label 0) and the end length + 1.
     A bin without a median suppresses nothing.
     """
     w = Window.partitionBy("region_id")
@@ -94,7 +95,7 @@ def suppress_boundaries(itvs: DataFrame, stats: DataFrame, ends: DataFrame | Non
     rows = rows.withColumns({"__low": low, "__high": high, "__first_st": F.first("st").over(up), "__last_end": F.first("end").over(down)})
     stops = F.coalesce(F.col("cov") >= F.col("__med"), F.lit(True)).cast("int")
     rows = rows.withColumn("__stop", stops).withColumns({"__before": F.sum("__stop").over(up.rowsBetween(Window.unboundedPreceding, 0)), "__after": F.sum("__stop").over(down.rowsBetween(Window.unboundedPreceding, 0))})
-    at_start = F.col("__first_st") == F.when(F.col("__length").isNull(), F.col("__low")).otherwise(F.lit(0))
+    at_start = F.when(F.col("__length").isNull(), F.col("__first_st") == F.col("__low")).otherwise(F.col("__first_st") <= 1)
     at_end = F.col("__last_end") == F.when(F.col("__length").isNull(), F.col("__high")).otherwise(F.col("__length") + 1)
     gone = at_start & (F.col("__before") == 0) | at_end & (F.col("__after") == 0)
     return rows.withColumn("status", F.when(gone, GOOD).otherwise(F.col("status"))).select(itvs.columns)

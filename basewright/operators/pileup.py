@@ -155,6 +155,18 @@ def pileup(reads: DataFrame, regions: DataFrame, min_ins: int = 2, min_del: int
     return tiles.groupBy("region_id", "tile").cogroup(ends.groupBy("e_region", "e_tile")).applyInArrow(dense, schema)
 
 
+def relabel_zero(frame: DataFrame, regions: DataFrame, compat: bool = False) -> DataFrame:
+    """A pileup without the position 0 of regions that start there, as bases count from 1.
+
+    ``compat``: such a region's labels are one less than the positions instead, so that position 0, which has no reads, becomes the last label.
+    """
+    if not compat:
+        return frame.filter("pos > 0")
+    first = regions.filter("st = 0").select("region_id", (F.col("end") + 1).cast("long").alias("__n"))
+    shifted = F.when(F.col("__n").isNull(), F.col("pos")).otherwise(F.pmod(F.col("pos") - 1, F.col("__n")))
+    return frame.join(first, "region_id", "left").withColumn("pos", shifted).select(frame.columns)
+
+
 NAMES = ["region_id", "chrom", "pos", "cov", "mismatch", "mapq_max", "mapq", "indel", "softclip"]
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.status import COLOURS, MERGEABLE, OVER
-from .standins import BLOCKS, IGNORED, INTERVALS, LENGTH, MEAN_PILE, MEDIAN_PILE, SIGNAL
+from .standins import BLOCKS, IGNORED, INTERVALS, LENGTH, MEAN_PILE, MEDIAN_PILE, READS, SIGNAL, STATUSES
 
 RGB = "CASE status " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in COLOURS.items()) + " ELSE '0,0,0' END"
 
@@ -190,5 +190,41 @@ x AS (SELECT c.doc_id, c.i, c.j, pow(c.c / least(p.n, q.n), 1.0 / 7) * 100 AS id
 SELECT x.doc_id AS region_id, x.i, x.j, x.i * 60 + 1 AS st, x.i * 60 + 1 + length(v.win) AS "end", x.j * 60 + 1 AS other_st, x.j * 60 + 1 + length(w.win) AS other_end, round(ident, 4) AS ident
 FROM x JOIN w v ON v.doc_id = x.doc_id AND v.i = x.i JOIN w ON w.doc_id = x.doc_id AND w.i = x.j WHERE ident > 60""",
         "region_calls": _calls(),
+        "peaks_single": f"""WITH {SIGNAL}, a AS (SELECT region_id, pos, CAST(CASE WHEN cov <> 0 THEN cov END AS FLOAT) AS v FROM signal),
+b AS (SELECT *, CAST(median(CAST(v AS DOUBLE)) OVER w AS FLOAT) AS med, CAST(avg(CAST(v AS DOUBLE)) OVER w AS FLOAT) AS mean FROM a WINDOW w AS (PARTITION BY region_id)),
+c AS (SELECT *, CAST(median(CAST(abs(v - med) AS DOUBLE)) OVER w AS FLOAT) AS mad, CAST(avg(CAST(abs(v - mean) AS DOUBLE)) OVER w AS FLOAT) AS aad FROM b WINDOW w AS (PARTITION BY region_id)),
+d AS (SELECT *, CASE WHEN mad = 0 THEN aad * CAST(1.253314 AS FLOAT) ELSE mad * CAST(1.486 AS FLOAT) END AS scale FROM c),
+e AS (SELECT *, CASE WHEN scale = 0 THEN CAST('nan' AS FLOAT) ELSE (v - med) / scale END AS z FROM d)
+SELECT region_id, pos, CAST(v AS BIGINT) AS cov, round(CAST(CASE WHEN v IS NOT NULL THEN med END AS DOUBLE), 6) AS cov_median, round(CAST(CASE WHEN v IS NOT NULL THEN scale END AS DOUBLE), 6) AS cov_stdev, round(CAST(CASE WHEN v IS NOT NULL THEN z END AS DOUBLE), 6) AS cov_zscore,
+  CASE WHEN v IS NULL THEN 'null' WHEN scale = 0 OR z > CAST(1.5 AS FLOAT) THEN 'high' WHEN z < CAST(-1.5 AS FLOAT) THEN 'low' ELSE 'null' END AS cov_peak FROM e""",
+        "above_runs_by_user": """WITH s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, CAST(floor(value) AS BIGINT) AS cov FROM events),
+a AS (SELECT *, cov >= floor(median(cov) OVER p) AS above, min(pos) OVER p AS low, max(pos) OVER p AS high FROM s WINDOW p AS (PARTITION BY user_id)),
+b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY pos) - row_number() OVER (PARTITION BY user_id, above ORDER BY pos) AS grp FROM a)
+SELECT user_id, min(pos) AS above_st, max(pos) AS above_end FROM b WHERE above GROUP BY user_id, grp HAVING min(pos) = min(low) OR max(pos) = max(high)""",
+        "boundary_contigs": f"""WITH {INTERVALS}, l AS (SELECT *, CASE WHEN region_id % 2 = 0 THEN min(st) OVER (PARTITION BY region_id) ELSE -7 END AS low FROM itvs),
+t AS (SELECT * REPLACE (st - low AS st, "end" - low AS "end") FROM l),
+a AS (SELECT *, sum(CAST(cov >= 200 AS INT)) OVER (PARTITION BY region_id ORDER BY st, ord) AS before, sum(CAST(cov >= 200 AS INT)) OVER (PARTITION BY region_id ORDER BY st DESC, ord DESC) AS after, min(st) OVER (PARTITION BY region_id) AS first_st,
+  max("end") OVER (PARTITION BY chrom) AS high, last_value("end") OVER (PARTITION BY region_id ORDER BY st, ord ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_end FROM t)
+SELECT ord, region_id, st, "end", CASE WHEN (first_st <= 1 AND before = 0) OR (last_end = high AND after = 0) THEN 'good' ELSE status END AS status FROM a""",
+        "known_statuses": f"""WITH a AS (SELECT coalesce(({[*STATUSES, "scaffold", "homopolymer", "repeat", "null", "Indel"]})[o_orderkey % 13 + 1], o_orderpriority) AS name FROM orders)
+SELECT name, count(*) AS n, CASE WHEN name IN {tuple(k for k in COLOURS if k not in ("good", "null"))} THEN name ELSE 'good' END AS status FROM a GROUP BY name""",
+        "repeat_kinds": """WITH a AS (SELECT p_partkey, coalesce((['Scaffold', 'HOMOPOLYMER', 'repeat'])[p_partkey % 4 + 1], p_type) AS name FROM part)
+SELECT *, CASE lower(name) WHEN 'scaffold' THEN 'scaffold' WHEN 'homopolymer' THEN 'homopolymer' WHEN 'repeat' THEN 'repeat' END AS kind FROM a""",
+        "tsv_file": f"WITH {INTERVALS} SELECT * FROM itvs",
+        "bed_regions": """SELECT DISTINCT 'ctg' || (o_custkey % 4) AS chrom, o_custkey * 7 AS st, o_custkey * 7 + o_orderkey % 3 AS "end" FROM orders""",
+        "region_errors": """WITH f AS (SELECT o_orderkey AS region_id, CASE WHEN o_orderkey % 17 <> 0 THEN 'ctg' || (o_custkey % 5) END AS chrom, o_orderkey % 1000 - 20 AS st, o_orderkey % 1000 - 20 + o_orderkey % 29 - 3 AS "end" FROM orders),
+e AS (SELECT *, CASE WHEN chrom IS NULL THEN 'a field is missing' WHEN st < 0 THEN 'negative start' WHEN "end" < st THEN 'end before start' WHEN chrom NOT IN ('ctg0', 'ctg1', 'ctg2', 'ctg3') THEN 'unknown contig' END AS error FROM f)
+SELECT * FROM e WHERE error IS NOT NULL""",
+        "broken_regions": f"""WITH {INTERVALS}, {IGNORED} SELECT i.ord AS region_id, i.chrom, i.st, i."end", min('block ' || g.st) AS error FROM itvs i JOIN ignored g ON g.chrom = i.chrom AND g.st <= i."end" AND i.st <= g."end" GROUP BY ALL""",
+        "region_reads": f"""WITH {READS}, laid AS (
+  SELECT chrom, s AS start, n || 'S' || q || '=1X' || n || 'I' || q || '=' || n || 'D5=' AS cigar, mapq, 2 * q + n + 6 AS len FROM reads WHERE n <= 3
+  UNION ALL SELECT chrom, 600 + p % 12, '10=2D10=', 0, 22 FROM reads WHERE n = 4 UNION ALL SELECT chrom, 900 + p % 3, '5X', mapq, 5 FROM reads WHERE n = 5
+  UNION ALL SELECT chrom, 1100 + p % 2, '3=4D3=', mapq, 10 FROM reads WHERE n = 6 UNION ALL SELECT chrom, 1200, '9S1=', mapq, 1 FROM reads WHERE n = 7
+  UNION ALL SELECT 'ctg' || (c_custkey % 4), 1650 + c_custkey % 100, '40=', 0, 40 FROM customer),
+wanted AS (SELECT DISTINCT 'ctg' || (s_suppkey % 4) AS chrom, s_suppkey * 613 % 1999 + 1 AS st FROM supplier WHERE s_suppkey % 4 <> 3),
+spans AS (SELECT chrom, start, cigar, mapq, len, count(*) AS n FROM laid GROUP BY ALL)
+SELECT chrom, CAST(start AS INT) AS start, cigar, mapq, n FROM spans r WHERE EXISTS (SELECT 1 FROM wanted w WHERE w.chrom = r.chrom AND w.st <= r.start + r.len - 1 AND w.st + 2 >= r.start)""",
+        "fasta_chunks": """WITH a AS (SELECT 'p' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS chrom, replace(upper(rpad(p_name, 60, p_name)), ' ', 'N') AS whole FROM part)
+SELECT chrom, i * 20 + 1 AS start, substr(whole, i * 20 + 1, 20) AS seq FROM a, (SELECT unnest(range(3)) AS i)""",
         "range_medians": f'WITH {SIGNAL}, {BINS} SELECT b.region_id, b.st, b."end", CAST(coalesce(floor(median(s.cov)), 0) AS BIGINT) AS median FROM bins b LEFT JOIN signal s ON s.region_id = b.region_id AND s.pos BETWEEN b.st AND b."end" GROUP BY ALL',
     }

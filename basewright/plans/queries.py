@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import api
 from ..config import Config, General
-from ..functions.status import colour
+from ..functions.status import colour, known
 from ..operators import binning, classify, merge, peaks, pileup, repeats
 from ..operators.intervals import merge_intervals, overlap_length, range_join, subtract
-from ..sources.bed import parse_bed
+from ..shared import fresh
+from ..sources.bed import parse_bed, write_tsv
+from ..sources.fasta import read_fasta
+from ..sources.files import join_parts
+from ..sources.reads import read_reads, write_reads
 from ..sources.tiles import tiles
 from . import standins as s
 
@@ -192,6 +197,98 @@ def self_identity(spark, sf_dir):
     return pairs.select("region_id", "i", "j", "st", "end", "other_st", "other_end", F.round("ident", 4).alias("ident"))
 
 
+def peaks_single(spark, sf_dir):
+    """Peaks in 32-bit floats."""
+    out = peaks.find_peaks(s.signal(spark, sf_dir), {"cov": (1.5, 1.5, True)}, ["region_id"], single=True)
+    shown = lambda c: F.round(F.col(c).cast("double"), 6).alias(c)
+    return out.select("region_id", "pos", "cov", shown("cov_median"), shown("cov_stdev"), shown("cov_zscore"), "cov_peak")
+
+
+def above_runs_by_user(spark, sf_dir):
+    """Runs at or above a user's median value that hold the user's first or last event."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    frame = s.table(spark, sf_dir, "events").select("user_id", F.row_number().over(w).cast("long").alias("pos"), F.floor("value").cast("long").alias("cov"))
+    level = frame.groupBy("user_id").agg(F.floor(F.median("cov")).alias("level"))
+    return classify.above_runs(frame.join(level, "user_id"), "level", ["user_id"])
+
+
+def boundary_contigs(spark, sf_dir):
+    """Boundaries where contigs' lengths are known: even regions begin at 0, and one region of each contig ends with it."""
+    itvs = s.intervals(spark, sf_dir)
+    low = itvs.groupBy("region_id").agg(F.min("st").alias("low"))
+    moved = itvs.join(low, "region_id").withColumn("low", F.when(F.col("region_id") % 2 == 0, F.col("low")).otherwise(-7))
+    moved = moved.withColumns({"st": F.col("st") - F.col("low"), "end": F.col("end") - F.col("low")}).drop("low")
+    ends = moved.groupBy("chrom").agg((F.max("end") - 1).alias("length"))
+    stats = itvs.select("region_id", "bin").distinct().withColumn("median", F.lit(200.5))
+    return merge.suppress_boundaries(moved, stats, ends).select("ord", "region_id", "st", "end", "status")
+
+
+def known_statuses(spark, sf_dir):
+    """Names of statuses as they are read from files: what isn't the name of a misassembly is good."""
+    key, names = F.col("o_orderkey"), [*s.STATUSES, "scaffold", "homopolymer", "repeat", "null", "Indel"]
+    name = F.coalesce(F.try_element_at(F.array(*map(F.lit, names)), (key % 13 + 1).cast("int")), F.col("o_orderpriority"))
+    return s.table(spark, sf_dir, "orders").select(name.alias("name")).groupBy("name").agg(F.count("*").alias("n")).withColumn("status", known(F.col("name")))
+
+
+def repeat_kinds(spark, sf_dir):
+    name = F.coalesce(F.try_element_at(F.array(*map(F.lit, ("Scaffold", "HOMOPOLYMER", "repeat"))), (F.col("p_partkey") % 4 + 1).cast("int")), F.col("p_type"))
+    return s.table(spark, sf_dir, "part").select("p_partkey", name.alias("name")).withColumn("kind", repeats.parse_repeat(F.col("name")))
+
+
+def tsv_file(spark, sf_dir):
+    """Intervals written as one sorted file of tab-separated text, and read back."""
+    itvs, path = s.intervals(spark, sf_dir), fresh(spark, "tsv-file")
+    write_tsv(itvs, path, ["chrom", "st", "ord"], one_file=True)
+    return spark.read.option("sep", "\t").option("header", True).schema(itvs.schema).csv(path)
+
+
+def bed_regions(spark, sf_dir):
+    """Regions of a BED file in which some stand more than once."""
+    lines, path = F.concat_ws("\t", F.concat(F.lit("ctg"), F.col("o_custkey") % 4), F.col("o_custkey") * 7, F.col("o_custkey") * 7 + F.col("o_orderkey") % 3, F.lit("x")), fresh(spark, "bed-lines")
+    s.table(spark, sf_dir, "orders").select(lines.alias("value")).write.text(path)
+    return api.regions(spark, bed=path).select("chrom", "st", "end")
+
+
+def region_errors(spark, sf_dir):
+    """Regions that can't be called, with the reason."""
+    key = F.col("o_orderkey")
+    found = s.table(spark, sf_dir, "orders").select(key.alias("region_id"), F.when(key % 17 != 0, F.concat(F.lit("ctg"), F.col("o_custkey") % 5)).alias("chrom"), (key % 1000 - 20).alias("st"), (key % 1000 - 20 + key % 29 - 3).alias("end"))
+    contigs = s.regions(spark).select("chrom", F.col("end").alias("length"))
+    return api.region_errors(found, contigs).select("region_id", "chrom", "st", "end", "error")
+
+
+def broken_regions(spark, sf_dir):
+    """Regions that overlap parts of a file that can't be read."""
+    found = s.intervals(spark, sf_dir).select(F.col("ord").alias("region_id"), "chrom", "st", "end")
+    broken = s.ignored(spark, sf_dir).select("chrom", F.col("st").alias("start"), F.col("end").alias("until"), F.concat(F.lit("block "), "st").alias("error"))
+    return api.broken_regions(found, broken)
+
+
+def region_reads(spark, sf_dir):
+    """Reads of a table laid out by contig and tile that overlap regions, one of each supplier."""
+    path = fresh(spark, "reads-table")
+    write_reads(s.reads(spark, sf_dir), path, tile=256)
+    key = F.col("s_suppkey")
+    wanted = s.table(spark, sf_dir, "supplier").filter(key % 4 != 3).select(F.concat(F.lit("ctg"), (key % 4).cast("string")).alias("chrom"), (key * 613 % 1999 + 1).alias("st"), (key * 613 % 1999 + 3).alias("end"))
+    return read_reads(spark, path, wanted).groupBy("chrom", "start", "cigar", "mapq").agg(F.count("*").alias("n"))
+
+
+def fasta_chunks(spark, sf_dir):
+    """Sequences written as one FASTA file with its index, and read back in chunks by places.
+
+    Each is 60 letters in lines of 25 after a title of 12 bytes, so a sequence's place follows from its number.
+    """
+    path, parts = f"{fresh(spark, 'fasta')}.fa", fresh(spark, "fasta-lines")
+    title = F.concat(F.lit("p"), F.lpad(F.col("p_partkey").cast("string"), 9, "0"))
+    seq = F.translate(F.upper(F.rpad("p_name", 60, F.col("p_name"))), " ", "N")
+    rows = s.table(spark, sf_dir, "part").select("p_partkey", title.alias("title"), seq.alias("seq"))
+    lines = F.concat(F.lit(">"), "title", *[x for i, n in ((1, 25), (26, 25), (51, 10)) for x in (F.lit("\n"), F.col("seq").substr(i, n))])
+    rows.orderBy("p_partkey").select(lines.alias("value")).write.text(parts)
+    join_parts(spark, parts, path)
+    rows.select(F.concat_ws("\t", "title", F.lit(60), F.col("p_partkey") * 75 + 12, F.lit(25), F.lit(26)).alias("value")).write.text(path + ".fai")
+    return read_fasta(spark, path, chunk=20)
+
+
 def queries():
-    own = [cigar_blocks, pileup_mapq_mean, pileup_mapq_median, rolling_mean_signal, peaks_keep_zero, peaks_drop_zero, signals_joined, classify_bases, status_intervals, above_median_runs, rolling_median_stats, bin_stats, merge_intervals_distance, merge_intervals_status, merge_bad, overlap_length_join, overlap_semi_join, overlap_majority, subtract_ignored, boundary_suppress, mergeable_chunks, min_size_filter, final_collapse, bed9_projection, status_colours, bad_bases, whole_genome_tiles, bed_lines, largest_repeat, bin_assign, range_medians, gap_close, region_calls, self_identity]
+    own = [cigar_blocks, pileup_mapq_mean, pileup_mapq_median, rolling_mean_signal, peaks_keep_zero, peaks_drop_zero, signals_joined, classify_bases, status_intervals, above_median_runs, rolling_median_stats, bin_stats, merge_intervals_distance, merge_intervals_status, merge_bad, overlap_length_join, overlap_semi_join, overlap_majority, subtract_ignored, boundary_suppress, mergeable_chunks, min_size_filter, final_collapse, bed9_projection, status_colours, bad_bases, whole_genome_tiles, bed_lines, largest_repeat, bin_assign, range_medians, gap_close, region_calls, self_identity, peaks_single, above_runs_by_user, boundary_contigs, known_statuses, repeat_kinds, tsv_file, bed_regions, region_errors, broken_regions, region_reads, fasta_chunks]
     return {f.__name__: f for f in own}

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import fresh
+from .files import join_parts
+
 
 def parse_bed(lines: DataFrame) -> DataFrame:
     """Rows (chrom, st, end, tail) of a column ``value``; a line without three fields or whole-number ends is left out."""
@@ -29,9 +32,22 @@ def read_ignored(spark: SparkSession, path: str | None) -> DataFrame | None:
 
 
 def write_tsv(frame: DataFrame, path: str, order: list[str] | None = None, header: bool = True, one_file: bool = False) -> None:
-    """Tab-separated text; sorted by range unless one file is asked for, which goes through one task."""
-    out = frame.coalesce(1).sortWithinPartitions(*order) if one_file and order else frame.orderBy(*order) if order else frame
-    out.write.option("sep", "\t").option("header", header).option("comment", "\x01").csv(path)  # else a first "#" is quoted
+    """Tab-separated text in the folder ``path``, sorted by ranges that make a part each; with ``one_file`` these parts become one file."""
+    spark = frame.sparkSession
+    out = frame.orderBy(*order) if order else frame
+    save = lambda rows, to, titles: rows.write.option("sep", "\t").option("header", titles).option("comment", "\x01").csv(to)  # noqa: E731  else a first "#" is quoted
+    if not one_file:
+        save(out, path, header)
+        return
+    # the titles as the same writer quotes them
+    save(frame.limit(0).coalesce(1), f"{path}/_titles", header)
+    parts = fresh(spark, "tsv-parts")
+    save(out, parts, False)
+    titles = spark.read.text(f"{path}/_titles").head()
+    join_parts(spark, parts, f"{path}/part-00000.csv", (titles[0] + "\n").encode() if titles else b"")
+    for done in (parts, f"{path}/_titles"):
+        where = spark._jvm.org.apache.hadoop.fs.Path(done)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def write_bed9(calls: DataFrame, path: str) -> None:

@@ -5,6 +5,7 @@ import json
 import random
 import statistics
 import struct
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from basewright import api
 from basewright.config import Config, General, GroupByIdentity, preset, read_config
 from basewright.functions.status import over
-from basewright.operators import binning, merge, peaks, pileup
+from basewright.operators import binning, classify, merge, peaks, pileup
 from basewright.operators.intervals import merge_intervals, subtract
 from basewright.operators.repeats import largest_repeat
 from basewright.sources.bed import parse_bed
@@ -516,6 +517,61 @@ def test_write_intervals(spark, tmp_path):
     assert [f.read_text() for f in (tmp_path / "t").glob("part-*")] == ["st\tend\tname\n1\t3\ta\n5\t9\tb\n"]
 
 
+def test_one_file_without_one_task(spark, tmp_path, monkeypatch):
+    """Many sorted parts become the bytes that one task would have written, in pieces of any size; titles and tabs are quoted alike."""
+    from basewright.sources import bed, files
+
+    rows = [(i * 7919 % 5003, f"a\tb{i}" if i % 3 else "#x", None if i % 5 else i) for i in range(5000)]
+    frame = spark.createDataFrame(rows, "`#at` long, name string, n long").repartition(5)
+    frame.coalesce(1).sortWithinPartitions("#at").write.options(sep="\t", header=True, comment="\x01").csv(str(tmp_path / "small"))
+    want = next((tmp_path / "small").glob("part-*")).read_bytes()
+    for piece in (1 << 28, 1000):
+        monkeypatch.setattr(files, "PIECE", piece)
+        out = tmp_path / f"one{piece}"
+        bed.write_tsv(frame, str(out), ["#at"], one_file=True)
+        assert [f.read_bytes() for f in out.glob("part-*")] == [want]
+        assert sorted(f.name for f in out.iterdir() if not f.name.startswith(".")) == ["part-00000.csv"]
+    with pytest.raises(FileExistsError):
+        files.join_parts(spark, str(tmp_path / "small"), str(out / "part-00000.csv"))
+    bed.write_tsv(frame.limit(0), str(tmp_path / "none"), ["#at"], one_file=True)
+    assert next((tmp_path / "none").glob("part-*")).read_bytes() == b"#at\tname\tn\n"
+    bed.write_tsv(frame.limit(0), str(tmp_path / "bare"), header=False, one_file=True)
+    assert next((tmp_path / "bare").glob("part-*")).read_bytes() == b""
+
+
+def test_single_precision(spark):
+    """In 32-bit floats each step is rounded, as plain arithmetic on floats does it."""
+    f4, values = np.float32, [random.Random(i).uniform(0, 40) for i in range(301)]
+    frame = spark.createDataFrame([(0, i, v) for i, v in enumerate(values)], "g int, pos int, x double")
+    v = np.array(values, "f4")
+    mid = f4(np.median(v))
+    scale = f4(np.median(np.abs(v - mid))) * f4(1.486)
+    score = (v - mid) / scale
+    got = peaks.find_peaks(frame, {"x": (1.0, float(score.max()), False)}, ["g"], single=True).orderBy("pos").collect()
+    assert [f4(r.x_zscore) for r in got] == score.tolist()
+    # at the greatest score itself nothing is above it
+    assert [r.x_peak for r in got] == ["low" if z < -1 else "null" for z in score.tolist()]
+    one = replace(Config(), compat_single=True)
+    base = spark.createDataFrame([(0, 0, i, 10, 1, 0, 0, 60, 60) for i in range(50)] + [(0, 0, 50, 10, 9, 0, 0, 60, 60), (0, 0, 51, 0, 0, 0, 0, 0, 0)], "region_id int, bin int, pos long, cov long, mismatch long, indel long, softclip long, mapq int, mapq_max int")
+    both = [sorted((r.pos, r.status) for r in classify.classify_bases(classify.signals(base, c), c).collect()) for c in (Config(), one)]
+    assert both[0] == both[1] and {s for _, s in both[0]} == {"good", "low_quality", "misjoin"}
+    kinds = dict(classify.signals(base, one).dtypes)
+    assert kinds["cov_zscore"] == kinds["mapq_stdev"] == "float" and dict(classify.signals(base, Config()).dtypes)["cov_zscore"] == "double"
+
+
+def test_regions_from_zero(spark):
+    """No base 0; with the older labels position 1 is label 0 and a base without reads comes last."""
+    reads = spark.createDataFrame([("c", s, "5=", 60) for s in range(1, 60)], "chrom string, start int, cigar string, mapq int")
+    found = spark.createDataFrame([(0, "c", 0, 50), (1, "c", 10, 50)], "region_id long, chrom string, st long, end long")
+    depth = lambda cfg: {(r.region_id, r.pos): r.cov for r in api.classified_pileup(reads, found, cfg).collect()}
+    now, older = depth(Config()), depth(replace(Config(), compat_zero_start=True))
+    true = {p: min(p, 5) for p in range(1, 51)}
+    assert now == {(0, p): n for p, n in true.items()} | {(1, p): 5 for p in range(10, 51)}
+    assert older == {(0, p - 1): n for p, n in true.items()} | {(0, 50): 0} | {(1, p): 5 for p in range(10, 51)}
+    spec = Config.from_toml("compat_zero_start = true\n" + TOML)
+    assert spec.compat_zero_start and not spec.compat_single and spec.merge(preset("hifi")).compat_zero_start
+
+
 def test_gap_close_and_bins(spark, monkeypatch):
     frame = spark.createDataFrame([("r", i, 10 if i < 50 else 30) for i in range(100)], "region_id string, pos long, cov long")
     bins = spark.createDataFrame([("r", 1, 0, 30), ("r", 2, 40, 90)], "region_id string, bin long, st long, end long")
