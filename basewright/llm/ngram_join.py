@@ -169,46 +169,38 @@ def sliced(batches):
             yield b.slice(at, SLICE)
 
 
-def _digests(docs: DataFrame, width: int) -> DataFrame:
-    """Rows (id, n, h1, h2, sketch): size, 128-bit hash and parity sketch of each row's set."""
+def _digests(docs: DataFrame, width: int, p: int, q: int) -> DataFrame:
+    """Rows (id, n, h1, h2, sketch, sigs): size, 128-bit hash, parity sketch and signatures of each row's set, from one
+    pass over the texts.  Rows without an id, and sets that the same task has met with one, send no signatures."""
 
     def run(batches):
+        scheme, seen = PartEnum(p, q), set()
         for b in sliced(batches):
-            n, h1, h2, marks = [], [], [], []
-            for text in b.column(1):
+            n, h1, h2, marks, sigs = [], [], [], [], []
+            for id, text in zip(b.column(0), b.column(1)):
                 s = shingles(text.as_py(), width)
                 n.append(len(s))
                 h1.append(mix(s, 3).sum(dtype="u8").astype("i8"))
                 h2.append(mix(s, 5).sum(dtype="u8").astype("i8"))
                 marks.append(sketch(s))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(marks, pa.list_(pa.int64()))], names=["id", "n", "h1", "h2", "sketch"])
-        at_rest(hash_of)
-
-    return docs.mapInArrow(run, "id long, n long, h1 long, h2 long, sketch array<long>")
-
-
-def _signatures(docs: DataFrame, width: int, p: int, q: int) -> DataFrame:
-    """Rows (sig, id), none for a set that the same task has met."""
-
-    def run(batches):
-        scheme, seen = PartEnum(p, q), set()
-        for b in sliced(batches):
-            rows = []
-            for text in b.column(1):
-                s = shingles(text.as_py(), width)
-                key = int(mix(s, 3).sum(dtype="u8")) << 64 | int(mix(s, 5).sum(dtype="u8"))
-                if len(s) and key not in seen:
+                key = int(h1[-1]), int(h2[-1])
+                if len(s) and id.is_valid and key not in seen:
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(key)
-                    rows.append(scheme.signatures(s).astype("i8"))
+                    sigs.append(scheme.signatures(s).astype("i8"))
                 else:
-                    rows.append(np.empty(0, "i8"))
-            at = np.cumsum([0] + [len(x) for x in rows])
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(rows) if rows else [], pa.int64())), b.column(0)], names=["sigs", "id"])
+                    sigs.append(np.empty(0, "i8"))
+            sketches, signatures = (pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in rows]), pa.int32()), pa.array(np.concatenate(rows) if rows else [], pa.int64())) for rows in (marks, sigs))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), sketches, signatures], names=["id", "n", "h1", "h2", "sketch", "sigs"])
         at_rest(hash_of)
 
-    return docs.mapInArrow(run, "sigs array<long>, id long").select(F.explode("sigs").alias("sig"), "id")
+    return docs.mapInArrow(run, "id long, n long, h1 long, h2 long, sketch array<long>, sigs array<long>")
+
+
+def _signatures(digests: DataFrame) -> DataFrame:
+    """Rows (sig, id)."""
+    return digests.select(F.explode("sigs").alias("sig"), "id")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -263,7 +255,7 @@ def _hot(docs: DataFrame, rows: int, width: int, p: int, q: int) -> DataFrame |
     if rows <= limit:
         return None
     some = docs.filter(F.pmod(F.xxhash64("id"), F.lit(every)) == 0)
-    return _signatures(some, width, p, q).groupBy("sig").agg(F.count("*").alias("n")).filter(F.col("n") >= HOT_SEEN).select("sig", F.ceil(F.col("n") * every / (limit / 8)).cast("int").alias("parts"))
+    return _signatures(_digests(some, width, p, q)).groupBy("sig").agg(F.count("*").alias("n")).filter(F.col("n") >= HOT_SEEN).select("sig", F.ceil(F.col("n") * every / (limit / 8)).cast("int").alias("parts"))
 
 
 def _dealt(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
@@ -303,7 +295,8 @@ def link(docs: DataFrame, width: int = 5, p: int = 4, q: int = 5, id_col: str =
     """
     docs = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     scratch = Scratch(docs.sparkSession)
-    sizes = scratch.written(_digests(docs, width), "set-digests")
+    digests = scratch.written(_digests(docs, width, p, q), "set-digests")
+    sizes = scratch.written(digests.drop("sigs"), "set-sizes")
     known = sizes.filter("n > 0 and id is not null")
     groups = scratch.written(known.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1"), "equal-sets")
     # copies of an equal set, each with the smallest id among them
@@ -316,7 +309,8 @@ def link(docs: DataFrame, width: int = 5, p: int = 4, q: int = 5, id_col: str =
     hot = _hot(senders, known.count(), width, p, q)
     if hot is not None:
         hot = scratch.written(hot, "hot-signatures")
-    shared = scratch.written(_shared(_signatures(senders, width, p, q), hot), "shared-signatures")
+    shared = scratch.written(_shared(_signatures(digests), hot), "shared-signatures")
+    scratch.drop(digests)
     of_reps = shared.join(small_or_shuffled(stand), "id", "left").select("sig", F.coalesce("rep", "id").alias("id")).distinct()
     chained = scratch.written(_chained(of_reps, hot), "chained-signatures")
     scratch.drop(shared)
