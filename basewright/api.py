@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .config import Config, read_config
 from .operators import binning
 from .operators.classify import above_runs, bin_stats, classify_bases, signals, status_intervals
-from .operators.intervals import range_join
+from .operators.intervals import range_join, range_least
 from .operators.merge import bed9, merge_misassemblies
 from .operators.pileup import pileup, relabel_zero, rolling_mean
 from .shared import written
@@ -52,7 +52,8 @@ def broken_regions(found: DataFrame, broken: DataFrame) -> DataFrame:
     """Regions that overlap parts of the alignment file that can't be read, with the reason.  ``broken``: (chrom, start, until, error);
     a part without a contig's name may hold reads of any."""
     parts = broken.select("chrom", F.col("start").cast("long").alias("b_st"), F.col("until").alias("b_end"), "error")
-    met = range_join(found, parts.filter("chrom <> ''"), ["chrom"], ("st", "end"), ("b_st", "b_end"))
+    # the reason depends on the range alone; regions and parts never meet in pairs
+    met = found.join(range_least(found, parts.filter("chrom <> ''"), ["chrom"], ("st", "end"), ("b_st", "b_end"), "error"), ["chrom", "st", "end"])
     anywhere = parts.filter("chrom = ''").agg(F.min("error").alias("error")).filter("error is not null")  # one row
     met = met.select("region_id", "chrom", "st", "end", "error").unionByName(found.join(F.broadcast(anywhere)).select("region_id", "chrom", "st", "end", "error"))
     return met.groupBy("region_id", "chrom", "st", "end").agg(F.min("error").alias("error"))

@@ -28,12 +28,60 @@ def range_join(left: DataFrame, right: DataFrame, keys: list[str], left_range: t
     overlap = (F.col(a) <= F.col(d)) & (F.col(b) >= F.col(c))
     if how == "left_semi":
         # whether a range is hit depends on the range alone
-        hit = range_join(left.select(*keys, a, b).distinct(), right.select(*keys, c, d), keys, left_range, right_range, bucket=bucket).select(*keys, a, b)
+        hit = range_least(left, right.withColumn("__hit", F.lit(1)), keys, left_range, right_range, "__hit").select(*keys, a, b)
         return left.join(hit, [*keys, a, b], "left_semi")
     x, y = left.withColumn("__bucket", cells(a, b)), right.withColumn("__bucket", cells(c, d))
     return x.join(y, [*keys, "__bucket"]).filter(first & overlap).drop("__bucket")
 
 
+def _block(at: Column, level: Column) -> Column:
+    return F.call_function("shiftright", at.cast("long"), level)
+
+
+def _level(st: str, end: str) -> Column:
+    """The highest level whose blocks may fit into the closed range."""
+    return F.length(F.bin(F.col(end).cast("long") - F.col(st).cast("long") + 1)) - 1
+
+
+def _inside(kind: str, st: Column, end: Column, top: Column) -> Column:
+    """The blocks (kind, level, block) that a closed range is made of, two of a level at most.  A block of a level is 2 ** level positions, from a multiple of that on."""
+
+    def at(level):
+        first, after = -_block(-st, level), _block(end + 1, level)
+        some = lambda n, odd: F.when((first < after) & (odd % 2 != 0), F.struct(F.lit(kind).alias("__kind"), level.alias("__level"), n.alias("__block")))
+        return F.array(some(first, first), some(after - 1, after))
+
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), top), at)))
+
+
+def _around(kind: str, at: Column, top: Column) -> Column:
+    """The blocks (kind, level, block) that hold a position, one of each level up to ``top``."""
+    return F.transform(F.sequence(F.lit(0), top), lambda level: F.struct(F.lit(kind).alias("__kind"), level.alias("__level"), _block(at, level).alias("__block")))
+
+
+def range_least(left: DataFrame, right: DataFrame, keys: list[str], left_range: tuple[str, str], right_range: tuple[str, str], value: str) -> DataFrame:
+    """Rows (keys, left_range, value), one for each different range of ``left`` that overlaps one of ``right``: the least value of those that it overlaps.
+
+    Ranges are closed and agree in ``keys``; column names must differ but for these.  No pairs are made: a range of ``right`` holds the start of the
+    one of ``left``, or starts in the rest of it.  In either case a position lies in a range, so one of the blocks around the position is among
+    those that the range is made of.  A block of ``right`` keeps its least value only; a range has some blocks for each doubling of its length.
+    Ranges that end before they start, which files don't have, overlap what holds both their ends; they go through pairs.
+    """
+    (a, b), (c, d) = left_range, right_range
+    mine, other = left.select(*keys, a, b).distinct(), right.groupBy(*keys, c, d).agg(F.min(value).alias(value))
+    own, theirs = mine.filter(F.col(a) <= F.col(b)), other.filter(F.col(c) <= F.col(d))
+    top = lambda rows, st, end, name: rows.filter(F.col(st) <= F.col(end)).agg(F.coalesce(F.max(_level(st, end)), F.lit(0)).alias(name))
+    tops = F.broadcast(top(left, a, b, "__own").join(F.broadcast(top(right, c, d, "__theirs"))))  # one row
+    x = own.join(tops).select(*keys, a, b, F.inline(F.concat(_around("start", F.col(a), F.col("__theirs")), _inside("rest", F.col(a) + 1, F.col(b), F.col("__own")))))
+    y = theirs.join(tops).select(*keys, value, F.inline(F.concat(_inside("start", F.col(c), F.col(d), F.col("__theirs")), _around("rest", F.col(c), F.col("__own")))))
+    block = [*keys, "__kind", "__level", "__block"]
+    met = x.join(y.groupBy(*block).agg(F.min(value).alias(value)), block)
+    odd = [range_join(mine.filter(F.col(b) < F.col(a)), other, keys, left_range, right_range), range_join(own, other.filter(F.col(d) < F.col(c)), keys, left_range, right_range)]
+    for pairs in odd:
+        met = met.select(*keys, a, b, value).unionByName(pairs.select(*keys, a, b, value))
+    return met.groupBy(*keys, a, b).agg(F.min(value).alias(value))
+
+
 def overlap_length(a_st: Column, a_end: Column, b_st: Column, b_end: Column) -> Column:
     return F.least(a_end, b_end) - F.greatest(a_st, b_st)
 
@@ -153,7 +201,7 @@ def subtract_pieces(st: Column, end: Column, others: Column) -> Column:
 
 def subtract(frame: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
     """``frame`` (with st, end) without the parts that ``others`` (keys, st, end) cover; untouched intervals stay as they are."""
-    cut = others.select(*keys, F.col("st").alias("__st"), F.col("end").alias("__end"))
+    cut = others.select(*keys, F.col("st").alias("__st"), F.col("end").alias("__end")).distinct()
     # what is cut off depends on the range alone, so no row needs a number of its own
     met = range_join(frame.select(*keys, "st", "end").distinct(), cut, keys, ("st", "end"), ("__st", "__end"))
     hit = met.groupBy(*keys, "st", "end").agg(F.collect_set(F.struct(F.col("__st").alias("st"), F.col("__end").alias("end"))).alias("__cuts"))

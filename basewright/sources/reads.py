@@ -37,7 +37,7 @@ def read_reads(spark: SparkSession, path: str, regions: DataFrame | None = None)
     if regions is None:
         return reads.select("chrom", "start", "cigar", "mapq")
     parts = spark.read.parquet(f"{path}/parts").filter("farthest >= first")
-    wanted = regions.select("chrom", F.col("st").cast("long").alias("r_st"), F.col("end").cast("long").alias("r_end"))
+    wanted = regions.select("chrom", F.col("st").cast("long").alias("r_st"), F.col("end").cast("long").alias("r_end")).distinct()
     # as many rows as there are parts at most, which were one row a tile of the axis when they were written
     needed = range_join(parts, wanted, ["chrom"], ("first", "farthest"), ("r_st", "r_end")).select("chrom", "tile").distinct()
     rows = reads.join(F.broadcast(needed), ["chrom", "tile"], "left_semi").select("chrom", F.col("start").cast("long").alias("x_st"), F.col("end").alias("x_end"), "start", "cigar", "mapq")

@@ -15,7 +15,7 @@ from basewright import api
 from basewright.config import Config, General, GroupByIdentity, preset, read_config
 from basewright.functions.status import over
 from basewright.operators import binning, classify, merge, peaks, pileup
-from basewright.operators.intervals import merge_intervals, subtract
+from basewright.operators.intervals import merge_intervals, range_join, subtract
 from basewright.operators.repeats import largest_repeat
 from basewright.sources.bed import parse_bed
 from basewright.sources.fasta import read_fasta
@@ -277,6 +277,44 @@ def test_one_island_of_many_intervals(spark):
     assert (got.st, got.end, got.status, got.cov) == (0, n * 10 - 5, "collapse", cov)
 
 
+def rows_made(df):
+    """The most rows that a step of a frame's plan made as it ran."""
+    df.collect()
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        below = [node.executedPlan()] if name == "AdaptiveSparkPlanExec" else [node.plan()] if name.endswith("QueryStageExec") else [node.children().apply(n) for n in range(node.children().size())]
+        todo += below
+        if node.metrics().contains("numOutputRows"):
+            most = max(most, node.metrics().apply("numOutputRows").value())
+    return most
+
+
+def test_regions_and_parts_without_pairs(spark):
+    """Regions that overlap parts get the least reason, whatever the ranges; many regions over many parts don't meet in pairs."""
+    r = random.Random(8)
+    span = lambda far, size: (lambda at: (at, at + r.choice([0, 1, 7, size, r.randrange(size), -r.randrange(9)])))(r.randrange(-far, far))
+    ranges = lambda n, far, size: [(r.choice("cd"), *span(far, size)) for _ in range(n)]
+    for far, size in ((30, 12), (3000, 900), (10**8, 10**8)):
+        mine = [*ranges(150, far, size), (None, 1, 5), ("c", None, 5), ("c", 5, None)]
+        parts = [(*x, f"e{r.randrange(99)}") for x in [*ranges(60, far, size), ("c", None, 3), ("c", 3, None)]]
+        found = spark.createDataFrame([(n // 2, *mine[n // 3]) for n in range(3 * len(mine))], "region_id long, chrom string, st long, end long")
+        some = spark.createDataFrame(parts, "chrom string, start long, until long, error string")
+        whole = lambda x: None not in x
+        want = {x: min(e) for x in {(n // 2, *mine[n // 3]) for n in range(3 * len(mine))} if whole(x) if (e := [p[3] for p in parts if whole(p) and p[0] == x[1] and p[1] <= x[3] and x[2] <= p[2]])}
+        got = [tuple(x) for x in api.broken_regions(found, some).collect()]
+        assert {x[:4]: x[4] for x in got} == want and len(got) == len(want) > 20
+        hit = range_join(found, some.toDF("chrom", "b_st", "b_end", "error"), ["chrom"], ("st", "end"), ("b_st", "b_end"), "left_semi")
+        assert sorted(map(tuple, hit.select(found.columns).collect())) == sorted(y for n in range(3 * len(mine)) if (y := (n // 2, *mine[n // 3])) in want)
+    n = 3000
+    found = spark.range(n).selectExpr("id as region_id", "'c' as chrom", "id as st", "id + 9000 as end")
+    some = spark.range(n).selectExpr("'c' as chrom", "id + 2000 as start", "id + 5000 as until", "'block ' || id as error")
+    assert rows_made(api.broken_regions(found, some)) < 60 * n  # pairs are n * n
+    anywhere = some.unionByName(spark.createDataFrame([("", None, None, "a")], "chrom string, start long, until long, error string"))
+    assert {x.error for x in api.broken_regions(found, anywhere).collect()} == {"a"}
+
+
 def test_bed_and_tiles(spark):
     lines = spark.createDataFrame([("a\t1\t5",), ("a\tx\t5",), ("short\t1",), ("b\t2\t9\tn\tmore",), (None,)], "value string")
     assert sorted(map(str, map(tuple, parse_bed(lines).collect()))) == ["('a', 1, 5, None)", "('b', 2, 9, 'n\\tmore')"]
