@@ -16,32 +16,58 @@ K = 21
 SKETCH = 8
 #: Windows in a block of the identity matrix.
 BLOCK = 64
+#: Letters whose k-mers are made at once.
+LETTERS = 1 << 20
 #: Two bits a base; anything else ends a k-mer.
 BASES = "ACGT"
 
 
 def kmers(seq: str, k: int = K, sketch: int = SKETCH) -> np.ndarray:
     """Sorted distinct k-mers of a sequence, of at most 31 bases, each the lesser of itself and its reverse complement; of these one in ``sketch``, picked by a hash."""
+    return _kmers([seq], k, sketch)[1]
+
+
+def _kmers(seqs: list[str], k: int, sketch: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many k-mers each sequence has, and all these, by one pass over the joined sequences."""
     table = np.full(256, 4, "u1")
     for n, base in enumerate(BASES):
         table[ord(base)] = table[ord(base.lower())] = n
-    codes = table[np.frombuffer(seq.encode("latin-1", "replace"), "u1")]
+    sizes = np.array([len(x) for x in seqs], "i8")
+    codes = table[np.frombuffer("".join(seqs).encode("latin-1", "replace"), "u1")]
     n = len(codes) - k + 1
     if n < 1:
-        return np.empty(0, "i8")
+        return np.zeros(len(seqs), "i8"), np.empty(0, "i8")
     other = np.concatenate([[0], np.cumsum(codes == 4)])
     codes = np.where(codes == 4, 0, codes).astype("u8")
     forward, back = np.zeros(n, "u8"), np.zeros(n, "u8")
     for t in range(k):
         forward = forward << np.uint64(2) | codes[t : t + n]
         back |= np.uint64(3) - codes[t : t + n] << np.uint64(2 * t)
-    found = np.unique(np.minimum(forward, back)[other[k:] == other[:n]])
+    row = np.repeat(np.arange(len(seqs)), sizes)
+    whole = (other[k:] == other[:n]) & (row[:n] == row[k - 1 :])  # no other letter, and all in one sequence
+    found, row = np.minimum(forward, back)[whole], row[:n][whole]
     if sketch > 1:
         with np.errstate(over="ignore"):
             h = (found ^ found >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
             h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-        found = found[(h ^ h >> np.uint64(31)) % np.uint64(sketch) == 0]
-    return found.astype("i8")
+        kept = (h ^ h >> np.uint64(31)) % np.uint64(sketch) == 0
+        found, row = found[kept], row[kept]
+    order = np.lexsort((found, row))
+    found, row = found[order], row[order]
+    new = np.ones(len(found), bool)
+    new[1:] = (found[1:] != found[:-1]) | (row[1:] != row[:-1])
+    return np.bincount(row[new], minlength=len(seqs)), found[new].astype("i8")
+
+
+def _pieces(sizes: np.ndarray, most: int) -> list[int]:
+    """Where runs of neighbours begin that add up to ``most`` or are one, and the end."""
+    cuts, sum_ = [0], 0
+    for n, size in enumerate(sizes.tolist()):
+        if n > cuts[-1] and sum_ + size > most:
+            cuts.append(n)
+            sum_ = 0
+        sum_ += size
+    return [*cuts, len(sizes)] if len(sizes) else cuts
 
 
 def self_identity(chunks: DataFrame, window: int, least: float = 0.0, band: int | None = None, k: int = K, sketch: int = SKETCH) -> DataFrame:
@@ -53,43 +79,72 @@ def self_identity(chunks: DataFrame, window: int, least: float = 0.0, band: int
 
     The matrix of all pairs is made block by block: each pair of blocks of BLOCK windows is a group, whose shared k-mers are
     counted by one product of the windows' k-mer vectors, so a k-mer that all windows have costs no more than any other.
+    Groups stream through tasks in their order, and small ones share a product, as regions of a few windows are many.
     """
+    code = "int" if 2 * k < 32 else "long"
 
-    @F.arrow_udf("array<long>")
+    @F.arrow_udf(f"array<{code}>")
     def sketches(seqs: pa.Array) -> pa.Array:
-        return pa.array([kmers(x.as_py() or "", k, sketch) for x in seqs], pa.list_(pa.int64()))
-
-    low = F.min("st").over(Window.partitionBy("region_id"))
-    rows = chunks.select("region_id", F.col("st").cast("long").alias("st"), F.length("seq").alias("size"), sketches("seq").alias("s"))
-    rows = rows.withColumn("i", F.floor((F.col("st") - low) / window)).withColumn("block", F.floor(F.col("i") / BLOCK))
-    last = F.max("block").over(Window.partitionBy("region_id"))
+        texts, kind = [x or "" for x in seqs.to_pylist()], pa.int32() if code == "int" else pa.int64()
+        cuts = _pieces(np.array([len(x) for x in texts], "i8"), LETTERS)
+        made = [_kmers(texts[a:b], k, sketch) for a, b in zip(cuts, cuts[1:])]
+        ends = np.cumsum(np.concatenate([[0], *(n for n, _ in made)]))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, "i8"), *(x for _, x in made)]), kind))
+
+    own = Window.partitionBy("region_id")
+    rows = chunks.select("region_id", F.col("st").cast("long").alias("st"), F.coalesce(F.length("seq"), F.lit(0)).alias("size"), sketches("seq").alias("s")).withColumns({"low": F.min("st").over(own), "high": F.max("st").over(own)})
+    place = lambda st: F.floor((F.col(st) - F.col("low")) / window)
+    rows = rows.select("region_id", "st", "size", "s", place("st").alias("i"), F.floor(place("st") / BLOCK).alias("block"), F.floor(place("high") / BLOCK).alias("last"))
     reach = None if band is None else -(-band // BLOCK)
-    near = F.sequence(F.lit(0).cast("long") if reach is None else F.greatest(F.col("block") - reach, F.lit(0)), last if reach is None else F.least(F.col("block") + reach, last))
-    rows = rows.withColumn("near", near).select("*", F.explode("near").alias("other")).select("region_id", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "i", "st", "size", "s")
+    first, last = F.lit(0).cast("long"), F.col("last")
+    near = F.sequence(first, last) if reach is None else F.sequence(F.greatest(F.col("block") - reach, first), F.least(F.col("block") + reach, last))
+    rows = rows.select("*", F.explode(near).alias("other")).select("region_id", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "i", "st", "size", "s")
     kind = dict(chunks.dtypes)["region_id"]
     out = f"region_id {kind}, i long, j long, st long, end long, other_st long, other_end long, ident double"
-
-    def meet(own: pa.Table) -> pa.Table:
-        own = own.combine_chunks().sort_by("i")
-        region, i, block, st = own.column("region_id"), own.column("i").to_numpy(), own.column("block").to_numpy(), own.column("st").to_numpy()
-        end = st + own.column("size").to_numpy()
-        a, b = own.column("a")[0].as_py(), own.column("b")[0].as_py()
-        lists = [np.array(x, "i8") for x in own.column("s").to_pylist()]
-        sizes = np.array([len(x) for x in lists])
-        words, place = np.unique(np.concatenate(lists) if lists else [], return_inverse=True)
-        held = np.zeros((len(lists), max(1, len(words))), "f4")
-        held[np.repeat(np.arange(len(lists)), sizes), place] = 1
-        left, right = np.flatnonzero(block == a), np.flatnonzero(block == b)
-        shared = held[left] @ held[right].T
-        fewest = np.maximum(1, np.minimum(sizes[left][:, None], sizes[right][None, :]))
-        ident = np.power(shared.astype("f8") / fewest, 1 / k) * 100
-        apart = i[right][None, :] - i[left][:, None]
-        x, y = np.nonzero((shared > 0) & (ident > least) & (apart > 0) & (apart <= (band or np.iinfo("i8").max)))
-        u, v = left[x], right[y]
-        columns = [region.take(pa.array(u)), *(pa.array(c) for c in (i[u], i[v], st[u], end[u], st[v], end[v], ident[x, y]))]
-        return pa.table(columns, names=[c.split()[0] for c in out.split(", ")])
-
-    return rows.groupBy("region_id", "a", "b").applyInArrow(meet, out)
+    names = [c.split()[0] for c in out.split(", ")]
+
+    def meet(own: pa.Table, groups: np.ndarray) -> pa.RecordBatch:
+        """Pairs of whole groups; ``groups``: where each begins, and the end."""
+        i, block, a, b, st, size = (own.column(c).to_numpy() for c in ("i", "block", "a", "b", "st", "size"))
+        lists = own.column("s").combine_chunks()
+        ends, values = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]), lists.flatten().to_numpy()
+        sizes, group = np.diff(ends), np.repeat(np.arange(len(groups) - 1), np.diff(groups))
+        pairs = []
+        cuts = groups[_pieces(np.diff(groups), BLOCK)]
+        for x, y in zip(cuts, cuts[1:]):
+            words, spot = np.unique(values[ends[x] : ends[y]], return_inverse=True)
+            held = np.zeros((y - x, max(1, len(words))), "f4")
+            held[np.repeat(np.arange(y - x), sizes[x:y]), spot] = 1
+            left, right = np.flatnonzero(block[x:y] == a[x:y]), np.flatnonzero(block[x:y] == b[x:y])
+            shared = held[left] @ held[right].T
+            u, v = left + x, right + x
+            apart = i[v][None, :] - i[u][:, None]
+            u_at, v_at = np.nonzero((shared > 0) & (group[u][:, None] == group[v][None, :]) & (apart > 0) & (apart <= (band or np.iinfo("i8").max)))
+            u, v = u[u_at], v[v_at]
+            ident = np.power(shared[u_at, v_at].astype("f8") / np.minimum(sizes[u], sizes[v]), 1 / k) * 100
+            high = ident > least
+            pairs.append((u[high], v[high], ident[high]))
+        u, v, ident = (np.concatenate(x) for x in zip(*pairs))
+        columns = [own.column("region_id").take(pa.array(u)).combine_chunks(), *(pa.array(c) for c in (i[u], i[v], st[u], st[u] + size[u], st[v], st[v] + size[v], ident))]
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    def stream(batches):
+        rest = None
+        for batch in batches:
+            own = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])]).combine_chunks()
+            if not own.num_rows:
+                continue
+            region = own.column("region_id").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            keys = np.stack([region, own.column("a").to_numpy(), own.column("b").to_numpy()])
+            begins = np.concatenate([[0], 1 + np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0))])
+            if len(begins) > 1:
+                yield meet(own.slice(0, begins[-1]), begins)
+            rest = own.slice(begins[-1])  # the last group may go on
+        if rest is not None:
+            yield meet(rest, np.array([0, rest.num_rows]))
+
+    group = ["region_id", "a", "b"]
+    return rows.repartition(*group).sortWithinPartitions(*group, "i").mapInArrow(stream, out)
 
 
 def group_identity(pairs: DataFrame, min_ident: float) -> DataFrame:

@@ -190,9 +190,10 @@ def region_calls(spark, sf_dir):
 
 def self_identity(spark, sf_dir):
     """Pairs of windows of 60 letters of each document, of whose letters A, C, G and T are kept."""
-    seq = F.regexp_replace(F.translate("text", "acgt", "ACGT"), "[^ACGT]", "")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("region_id"), seq.alias("whole")).filter("whole <> ''")
-    windows = docs.select("region_id", "whole", F.explode(F.sequence(F.lit(0), F.length("whole") - 1, F.lit(60))).alias("at")).select("region_id", (F.col("at") + 1).alias("st"), F.col("whole").substr(F.col("at") + 1, F.lit(60)).alias("seq"))
+    seq = F.upper(F.regexp_replace("text", "[^ACGTacgt]+", ""))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    cut = docs.select(F.col("doc_id").alias("region_id"), F.posexplode(F.regexp_extract_all(seq, F.lit("[ACGT]{1,60}"), F.lit(0))).alias("n", "seq"))
+    windows = cut.select("region_id", (F.col("n") * 60 + 1).alias("st"), "seq")
     pairs = binning.self_identity(windows, 60, least=60.0, band=100, k=7, sketch=1)
     return pairs.select("region_id", "i", "j", "st", "end", "other_st", "other_end", F.round("ident", 4).alias("ident"))
 

@@ -687,6 +687,37 @@ def test_identity_of_all_windows(spark, monkeypatch):
     assert set(binning.kmers(seq, 21, 8)) == set(binning.kmers(flip(seq), 21, 8)) < set(binning.kmers(seq, 21, 1))
 
 
+def test_identity_of_many_small_regions(spark):
+    """Regions of a few windows share batches and products, whose ends may lie anywhere in a region; their pairs are those of plain sets."""
+    r = random.Random(12)
+    flip = lambda x: x[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    unit = [x for _ in range(9) for x in ["".join(r.choices("ACGTN", weights=[9, 9, 9, 9, 1], k=30))] * 2]
+    made = {f"r{n}": [r.choice([flip, str, str.lower])(r.choice(unit))[: r.choice([30, 30, 4])] for _ in range(r.choice([1, 2, 3, 3, 5, 70, 140] if n % 20 == 0 else [1, 2, 3, 5]))] for n in range(300)} | {None: ["ACGTTGCATC", "é", None, "GATGCAACGT"]}
+    rows = [(name, 5 + 30 * n, x) for name, own in made.items() for n, x in enumerate(own)]
+    r.shuffle(rows)
+    windows = spark.createDataFrame(rows, "region_id string, st long, seq string")
+    cut = lambda x, k: {min(u, flip(u)) for p in range(len(x or "") - k + 1) if set(u := x[p : p + k].upper()) <= set("ACGT")}
+    want = {}
+    for name, own in made.items():
+        sets = [cut(x, 5) for x in own]
+        for j, b in enumerate(sets):
+            for i in range(max(0, j - 80), j):
+                if (a := sets[i]) & b and (ident := (len(a & b) / min(len(a), len(b))) ** 0.2 * 100) > 70:
+                    want[name, i, j, 5 + 30 * i, 5 + 30 * i + len(own[i]), 5 + 30 * j, 5 + 30 * j + len(own[j])] = ident
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("3", before):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            pairs = binning.self_identity(windows, 30, 70.0, band=80, k=5, sketch=1)
+            got = pairs.collect()
+            assert {tuple(x)[:7]: x.ident for x in got} == pytest.approx(want) and len(got) == len(want) > 500
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    # no region is a group, that is a message to Python, of its own
+    assert "FlatMapGroupsInArrow" not in pairs._jdf.queryExecution().toString()
+    assert binning._pieces(np.array([2, 62, 1, 70, 3, 3]), 64) == [0, 2, 3, 4, 6] and binning._pieces(np.array([]), 64) == [0]
+
+
 def test_check_repeats(spark):
     itvs = spark.createDataFrame([(1, "c", 20, 30, 1, "misjoin"), (1, "c", 60, 70, 2, "indel"), (1, "c", 100, 110, 3, "indel"), (1, "c", 140, 150, 4, "collapse"), (1, "d", 5, 9, 5, "misjoin")], "region_id long, chrom string, st long, end long, ord long, own_status string").withColumn("status", F.col("own_status"))
     r = random.Random(1)
