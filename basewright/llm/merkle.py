@@ -27,7 +27,9 @@ import hashlib
 import re
 from base64 import urlsafe_b64encode
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -37,8 +39,9 @@ from pyspark.sql import functions as F
 
 from .common import dealt_in_order, set_aside, shuffle_partitions, small_batches, text_hash
 
-#: Words in a leaf at most; bytes of a node's hash.
+#: Words in a leaf at most; bytes of a node's hash, a multiple of three, so that hashes in a row become text together; characters of that text.
 LEAF_WORDS, HASH_BYTES = 6, 9
+HASH_CHARS = HASH_BYTES // 3 * 4
 #: Documents sent on together.
 SLICE = 256
 blank_line = re.compile(r"(\n[^\S\n]*\n\s*)")
@@ -59,9 +62,16 @@ class Node(NamedTuple):
     children: tuple
 
 
-def leaf(text: str) -> Node:
-    h = urlsafe_b64encode(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=HASH_BYTES).digest()).decode()
-    return Node(f"{h}.{len(text):x}", len(text), ())
+def leaf_nodes(texts: list[str]) -> list[Node]:
+    """Their leaves; the hashes become text in one step."""
+    blake2b = hashlib.blake2b
+    try:
+        digests = [blake2b(x.encode(), digest_size=HASH_BYTES).digest() for x in texts]
+    except UnicodeEncodeError:
+        digests = [blake2b(x.encode("utf-8", "surrogatepass"), digest_size=HASH_BYTES).digest() for x in texts]
+    names, sizes = urlsafe_b64encode(b"".join(digests)).decode(), list(map(len, texts))
+    marks = [f"{names[at : at + HASH_CHARS]}.{size:x}" for at, size in zip(range(0, len(names), HASH_CHARS), sizes)]
+    return list(map(Node, marks, sizes, repeat(())))
 
 
 def over(children: list[Node]) -> Node:
@@ -114,8 +124,17 @@ def leaves(paragraph: str) -> list[str]:
     return out
 
 
-def tree(text: str | None) -> Node:
-    return over([over([over([leaf(x) for x in leaves(p)]) for p in paragraphs(s)]) for s in sections(text or "")])
+def tree(text: str | None, known: dict[str, Node] | None = None) -> Node:
+    """``known``: nodes of paragraphs by their text, which are taken from there; new ones are added."""
+    known = {} if known is None else known
+
+    def paragraph(p: str) -> Node:
+        node = known.get(p)
+        if node is None:
+            node = known[p] = over(leaf_nodes(leaves(p)))
+        return node
+
+    return over([over([paragraph(p) for p in paragraphs(s)]) for s in sections(text or "")])
 
 
 def shown(root: Node) -> str:
@@ -153,7 +172,7 @@ def common(a: list[Node], b: list[Node]) -> int:
     held, size = Counter([x.mark for x in b]), 0
     left_a = []
     for x in a:
-        if held[x.mark] > 0:
+        if held.get(x.mark, 0) > 0:
             held[x.mark] -= 1
             size += x.size
         else:
@@ -161,7 +180,7 @@ def common(a: list[Node], b: list[Node]) -> int:
     if a[0].children:
         left_b = []
         for x in b:
-            if held[x.mark] > 0:
+            if held.get(x.mark, 0) > 0:
                 held[x.mark] -= 1
                 left_b.append(x)
         size += common([y for x in left_a for y in x.children], [y for x in left_b for y in x.children])
@@ -217,6 +236,25 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
+def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (run, extra, doc_id, text) in order; each but a run's last meets its follower.  An edited text takes the nodes of the paragraphs it
+    shares with the two texts it is made of, so only those at its seam and its end are cut and hashed anew."""
+    held = None
+    for b in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
+        out = []
+        for run, extra, i, text in zip(*(b.column(k).to_pylist() for k in range(4))):
+            known: dict[str, Node] = {}
+            root = tree(text, known)
+            if held is not None and held[0] == run:
+                _, i0, t0, r0, known0 = held
+                edited = edited_text(t0, text)
+                e = tree(edited, known0 | known)
+                out.append((i0, len(t0), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), shown(r0), shown(e), likeness(r0, e), likeness(r0, root)))
+            held = None if extra else (run, i, text, root, known)
+        columns = list(zip(*out)) if out else [[]] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, KINDS)], names=[x.split()[0] for x in OUT.split(", ")])
+
+
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and its edited text, and their likenesses.
 
@@ -239,22 +277,6 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     heads = heads.select("doc_id", "text", "tie", known(back).cast("int").alias("run"), F.lit(1).alias("extra"))
     dealt = rows.withColumn("extra", F.lit(0)).unionByName(heads).repartitionById(n, "run")
     dealt = dealt.sortWithinPartitions("run", "extra", F.col("doc_id").desc_nulls_last(), "tie").select("run", "extra", "doc_id", "text")
-
-    def walk(batches):
-        held = None
-        for b in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
-            out = []
-            for run, extra, i, text in zip(*(b.column(k).to_pylist() for k in range(4))):
-                root = tree(text)
-                if held is not None and held[0] == run:
-                    _, i0, t0, r0 = held
-                    edited = edited_text(t0, text)
-                    e = tree(edited)
-                    out.append((i0, len(t0), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), shown(r0), shown(e), likeness(r0, e), likeness(r0, root)))
-                held = None if extra else (run, i, text, root)
-            columns = list(zip(*out)) if out else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, KINDS)], names=[x.split()[0] for x in OUT.split(", ")])
-
     return dealt.mapInArrow(walk, OUT)
 
 
